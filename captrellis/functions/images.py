@@ -7,6 +7,7 @@ import struct
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
 # Colour modes the gate accepts and its smallest side in pixels.
 ACCEPTED_MODES = ["RGB", "RGBA", "YCbCr", "P", "L", "CMYK", "LA", "1"]
@@ -34,7 +35,15 @@ EXTENSIONS = {
     "text/xml": ".xml",
 }
 
-PROBE = "struct<format:string,width:int,height:int,mode:string,ok:boolean>"
+PROBE = StructType(
+    [
+        StructField("format", StringType()),
+        StructField("width", IntegerType()),
+        StructField("height", IntegerType()),
+        StructField("mode", StringType()),
+        StructField("ok", BooleanType()),
+    ]
+)
 
 # Mode of a PNG by (colour type, bit depth), and of a JPEG by component count.
 _PNG_MODES = {

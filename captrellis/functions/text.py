@@ -1,9 +1,7 @@
-"""Caption normalisation, tokens and per-sentence n-gram counts as column expressions."""
+"""Caption normalisation, tokens and n-grams as column expressions."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,11 +35,6 @@ _PTB_SHAPES = "|".join(
 )
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once per row and use it several times in ``body``."""
-    return F.transform(F.array(value), body)[0]
-
-
 def normalize(text: Column | str) -> Column:
     """A sentence on a single line."""
     return F.replace(_col(text), F.lit("\n"), F.lit(" "))
@@ -68,103 +61,28 @@ def tokens(text: Column | str, mode: str = "words") -> Column:
     raise ValueError(f"unknown tokeniser {mode!r}; use 'words' or 'ptb_lite'")
 
 
-def ngrams(toks: Column, k: int) -> Column:
-    """All k-grams of a token array, in order, tokens joined by one space."""
-    if k == 1:
-        return toks
-
-    def gram(i: Column) -> Column:
-        parts = [F.get(toks, i)]
-        for j in range(1, k):
-            parts += [F.lit(" "), F.get(toks, i + j)]
-        return F.concat(*parts)
-
-    return F.when(
-        F.size(toks) >= k, F.transform(F.sequence(F.lit(0), F.size(toks) - k), gram)
-    ).otherwise(F.array().cast("array<string>"))
-
-
-def _runs(ordered: Column, same: Callable[[Column, Column], Column]) -> Column:
-    """1-based positions at which a new value starts in a sorted array."""
-    return F.when(
-        F.size(ordered) > 0,
-        F.filter(
-            F.sequence(F.lit(1), F.size(ordered)),
-            lambda i: (i == 1) | ~same(F.get(ordered, i - 1), F.get(ordered, i - 2)),
-        ),
-    ).otherwise(F.array().cast("array<int>"))
-
-
-def _count_runs(ordered: Column, k: int) -> Column:
-    """``[(k, gram, tf)]`` of a sorted gram array by run lengths."""
-    return let(
-        _runs(ordered, lambda a, b: a == b),
-        lambda starts: F.transform(
-            starts,
-            lambda p, j: F.struct(
-                F.lit(k).alias("n"),
-                F.get(ordered, p - 1).alias("gram"),
-                (F.coalesce(F.get(starts, j + 1), F.size(ordered) + 1) - p).alias("tf"),
-            ),
-        ),
-    )
-
-
-def gram_counts(toks: Column, n: int = 4) -> Column:
-    """``array<struct<n, gram, tf>>`` for k = 1..n of one sentence.
-
-    Counting happens inside the row (sort, then run lengths), so a sentence's
-    grams need no shuffle to be counted.
-    """
-
-    def one(t: Column, k: int) -> Column:
-        return let(F.sort_array(ngrams(t, k)), lambda s: _count_runs(s, k))
+def grams(toks: Column | str, n: int, mine: int = 1) -> Column:
+    """``array<struct<n, gram, mine>>``: all 1- to n-grams in order, words joined by one space.
 
-    return let(toks, lambda t: F.concat(*[one(t, k) for k in range(1, n + 1)]))
-
-
-def paired_gram_counts(ref: Column, cand: Column, n: int = 4) -> Column:
-    """``array<struct<n, gram, tf, tf_cand>>`` over the grams of ``ref``.
-
-    Grams of both sentences are sorted together, tagged 0 for the candidate and
-    1 for the reference; a gram's two runs are then neighbours.
+    Repeats stay; ``mine`` tags the sentence the grams come from. Pass a column
+    that exists already rather than an expression: it is used many times.
     """
-
-    def one(r: Column, c: Column, k: int) -> Column:
-        tagged = F.sort_array(
-            F.concat(
-                F.transform(ngrams(c, k), lambda g: F.struct(g.alias("gram"), F.lit(0).alias("side"))),
-                F.transform(ngrams(r, k), lambda g: F.struct(g.alias("gram"), F.lit(1).alias("side"))),
-            )
-        )
-
-        def count(s: Column) -> Column:
-            return let(
-                _runs(s, lambda a, b: a == b),
-                lambda starts: F.filter(
-                    F.transform(
-                        starts,
-                        lambda p, j: F.struct(
-                            F.lit(k).alias("n"),
-                            F.get(s, p - 1)["gram"].alias("gram"),
-                            (F.coalesce(F.get(starts, j + 1), F.size(s) + 1) - p).alias("tf"),
-                            F.when(
-                                (j > 0) & (F.get(s, F.get(starts, j - 1) - 1)["gram"] == F.get(s, p - 1)["gram"]),
-                                p - F.get(starts, j - 1),
-                            ).otherwise(F.lit(0)).alias("tf_cand"),
-                            F.get(s, p - 1)["side"].alias("side"),
-                        ),
-                    ),
-                    lambda e: e["side"] == 1,
-                ),
-            )
-
-        return let(tagged, count)
-
-    return let(
-        F.struct(ref.alias("r"), cand.alias("c")),
-        lambda s: F.concat(*[one(s["r"], s["c"], k) for k in range(1, n + 1)]),
-    )
+    toks = _col(toks)
+
+    def of(k: int) -> Column:
+        def gram(i: Column) -> Column:
+            words = [F.get(toks, i)]
+            for j in range(1, k):
+                words += [F.lit(" "), F.get(toks, i + j)]
+            text = F.concat(*words) if k > 1 else words[0]
+            return F.struct(F.lit(k).alias("n"), text.alias("gram"), F.lit(mine).alias("mine"))
+
+        empty = F.array().cast("array<struct<n:int,gram:string,mine:int>>")
+        return F.when(
+            F.size(toks) >= k, F.transform(F.sequence(F.lit(0), F.size(toks) - k), gram)
+        ).otherwise(empty)
+
+    return F.concat(*[of(k) for k in range(1, n + 1)])
 
 
 def _col(c: Column | str) -> Column:

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 #: Variance offset of the layer norm.
 EPSILON = 1e-5
@@ -30,7 +31,7 @@ def _rows(matrix: np.ndarray) -> pa.Array:
 def per_batch(fn: Callable[[np.ndarray], np.ndarray], width: int) -> Callable[[Column | str], Column]:
     """Lift a matrix function to a column function."""
 
-    @F.arrow_udf("array<double>")
+    @F.arrow_udf(ArrayType(DoubleType()))
     def run(v: pa.Array) -> pa.Array:
         return _rows(fn(_matrix(v, width)))
 

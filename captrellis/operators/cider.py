@@ -1,9 +1,11 @@
 """CIDEr-D caption scores as one distributed TF-IDF aggregation.
 
-A sentence's grams are counted inside its row, and a candidate's counts are
-matched to each reference inside the row as well, so only three gram-level
-steps shuffle: document frequency, the look-up of that frequency, and the sum
-per sentence. No sentence, item or gram is ever collected into one group.
+Sentences are spread by ``(item, reference)`` while they are still text. The
+exploded grams inherit that partitioning, so counting them per sentence, and
+counting the candidate's grams beside each reference's, needs no further
+exchange. Three gram-level steps shuffle: document frequency, the look-up of that
+frequency, and the sum per sentence. No sentence, item or gram is ever collected
+into one group.
 
 Input is a :class:`Captions`: the candidates, one row per item, and the pairs,
 one row per reference with the candidate beside it.
@@ -16,7 +18,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from captrellis.functions.text import gram_counts, paired_gram_counts, tokens
+from captrellis.functions.text import grams, tokens
 from captrellis.operators.skew import HOT_ROWS, lookup, salted_join
 
 #: ``ref_no`` that marks the candidate sentence among an item's sentences.
@@ -56,42 +58,70 @@ def captions_from_tables(preds: DataFrame, refs: DataFrame, threshold: int = HOT
     return Captions(cands, pairs.select("item_id", "pred", "ref_no", "ref"))
 
 
-def sentence_grams(caps: Captions, n: int = 4, tokenizer: str = "words") -> DataFrame:
+def sentence_words(caps: Captions, tokenizer: str = "words") -> DataFrame:
+    """``item_id, ref_no, cand, mine``: tokens of every sentence, references beside their candidate's.
+
+    The candidate itself has ``ref_no`` = -1 and an empty ``cand``. Rows are spread
+    by ``(item_id, ref_no)``, a unique key, while they are still text.
+    """
+    nobody = F.lit(None).cast("string")
+    sentences = caps.pairs.select("item_id", "ref_no", F.col("pred").alias("cand"), F.col("ref").alias("mine")).unionByName(
+        caps.cands.select("item_id", F.lit(CANDIDATE).alias("ref_no"), nobody.alias("cand"), F.col("pred").alias("mine"))
+    )
+    return sentences.repartition("item_id", "ref_no").select(
+        "item_id",
+        "ref_no",
+        F.when(F.col("ref_no") != CANDIDATE, tokens(F.coalesce("cand", F.lit("")), tokenizer))
+        .otherwise(F.array().cast("array<string>"))
+        .alias("cand"),
+        tokens(F.coalesce("mine", F.lit("")), tokenizer).alias("mine"),
+    )
+
+
+def reference_words(refs: DataFrame, tokenizer: str = "words") -> DataFrame:
+    """``item_id, ref_no, mine`` of ``refs(item_id, ref_no, ref)`` alone."""
+    return refs.repartition("item_id", "ref_no").select(
+        "item_id", "ref_no", tokens(F.coalesce("ref", F.lit("")), tokenizer).alias("mine")
+    )
+
+
+def sentence_grams(words: DataFrame, n: int = 4) -> DataFrame:
     """Long form ``item_id, ref_no, cand_tokens, tokens, n, gram, tf, tf_cand``.
 
-    References carry the candidate's count of the same gram in ``tf_cand``. The
-    candidate itself appears once per item with ``ref_no`` = -1. A sentence
-    without any gram keeps one row whose gram is NULL. Narrow: no shuffle.
+    References carry the candidate's count of the same gram in ``tf_cand``. Every
+    sentence also has one row with ``n`` = 0 and no gram, so that empty ones are
+    not lost. The rows inherit the partitioning of ``words``: no exchange.
     """
-    refs = caps.pairs.select(
-        "item_id", "ref_no", tokens("pred", tokenizer).alias("cand"), tokens("ref", tokenizer).alias("mine")
-    ).select(
+    marker = F.array(F.struct(F.lit(0).alias("n"), F.lit(None).cast("string").alias("gram"), F.lit(1).alias("mine")))
+    long = words.select(
         "item_id",
         "ref_no",
         F.size("cand").alias("cand_tokens"),
         F.size("mine").alias("tokens"),
-        F.explode_outer(paired_gram_counts(F.col("mine"), F.col("cand"), n)).alias("g"),
+        F.inline(F.concat(marker, grams("mine", n, 1), grams("cand", n, 0))).alias("n", "gram", "side"),
     )
-    cands = caps.cands.select("item_id", tokens("pred", tokenizer).alias("mine")).select(
-        "item_id",
-        F.lit(CANDIDATE).alias("ref_no"),
-        F.size("mine").alias("cand_tokens"),
-        F.size("mine").alias("tokens"),
-        F.explode_outer(gram_counts(F.col("mine"), n)).alias("g"),
+    return (
+        long.groupBy("item_id", "ref_no", "n", "gram")
+        .agg(
+            F.max("cand_tokens").alias("cand_tokens"),
+            F.max("tokens").alias("tokens"),
+            F.count_if(F.col("side") == 1).alias("tf"),
+            F.count_if(F.col("side") == 0).alias("tf_cand"),
+        )
+        .where(F.col("tf") > 0)
     )
-    base = ["item_id", "ref_no", "cand_tokens", "tokens", "g.n", "g.gram", "g.tf"]
-    return refs.select(*base, "g.tf_cand").unionByName(cands.select(*base, F.lit(0).alias("tf_cand")))
 
 
-def document_frequency(grams: DataFrame) -> DataFrame:
-    """``gram, df, uses``: items whose references hold the gram, and sentence rows using it.
+def document_frequency(words: DataFrame, n: int = 4) -> DataFrame:
+    """``gram, df, uses``: items whose references hold the gram, and its occurrences in all sentences.
 
     Both phases combine map-side, so a gram found in every item costs one row
     per map task.
     """
-    per_item = grams.where(F.col("gram").isNotNull()).groupBy("gram", "item_id").agg(
-        F.max((F.col("ref_no") != CANDIDATE).cast("int")).alias("in_refs"),
-        F.count("*").alias("rows"),
+    per_item = (
+        words.select("item_id", "ref_no", F.inline(grams("mine", n)).alias("n", "gram", "mine"))
+        .groupBy("gram", "item_id")
+        .agg(F.max((F.col("ref_no") != CANDIDATE).cast("int")).alias("in_refs"), F.count("*").alias("rows"))
     )
     return per_item.groupBy("gram").agg(
         F.sum("in_refs").cast("bigint").alias("df"), F.sum("rows").alias("uses")
@@ -105,10 +135,10 @@ def _idf(n_items: Column) -> Column:
 
 def weighted_grams(caps: Captions, n: int = 4, tokenizer: str = "words", threshold: int = HOT_ROWS) -> DataFrame:
     """:func:`sentence_grams` with ``idf = ln N - ln max(1, df)``."""
-    grams = sentence_grams(caps, n, tokenizer)
+    words = sentence_words(caps, tokenizer)
     n_items = caps.cands.agg(F.count("*")).scalar()
     found = lookup(
-        grams, document_frequency(grams), "gram", "df", spread_by=["item_id", "ref_no", "gram"], uses="uses",
+        sentence_grams(words, n), document_frequency(words, n), "gram", "df", spread_by=["item_id", "ref_no", "gram"], uses="uses",
         threshold=threshold,
     )
     return found.withColumn("idf", _idf(n_items))
@@ -138,16 +168,16 @@ def score_items(
     if sigma <= 0:
         raise ValueError("sigma must be positive")
     w = weighted_grams(caps, n, tokenizer, threshold)
-    squared = F.pow(F.coalesce(F.col("idf"), F.lit(0.0)), 2)
-    mine = F.coalesce(F.col("tf"), F.lit(0))
-    shared = F.least(F.coalesce(F.col("tf_cand"), F.lit(0)), mine) * mine
+    squared = F.pow("idf", 2)
+    mine = F.col("tf")
+    shared = F.least("tf_cand", "tf") * mine
 
     def at(k: int, c: Column) -> Column:
         return F.sum(F.when(F.col("n") == k, c).otherwise(F.lit(0.0)))
 
     sentences = w.groupBy("item_id", "ref_no").agg(
-        F.first("cand_tokens").alias("cand_tokens"),
-        F.first("tokens").alias("tokens"),
+        F.max("cand_tokens").alias("cand_tokens"),
+        F.max("tokens").alias("tokens"),
         *[F.sqrt(at(k, mine * mine * squared)).alias(f"norm{k}") for k in range(1, n + 1)],
         *[at(k, shared * squared).alias(f"dot{k}") for k in range(1, n + 1)],
     )

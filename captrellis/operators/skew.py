@@ -80,10 +80,10 @@ def lookup(
 ) -> DataFrame:
     """Add ``value`` from ``table`` (one row per ``key``, a string) to every row of ``big``.
 
-    ``table`` carries in ``uses`` how many rows of ``big`` need each key. The
+    ``table`` carries in ``uses`` about how many rows of ``big`` need each key. The
     hottest keys, at most ``MAX_HOT``, are answered from a broadcast; their rows
-    are then scattered evenly through the shuffle that serves all other keys.
-    Keys missing from ``table`` give NULL.
+    are then scattered evenly through the shuffle that serves all other keys, and
+    so are rows without a key. Keys missing from ``table`` give NULL.
     """
     hot = F.broadcast(
         table.where(F.col(uses) > threshold)
@@ -95,10 +95,18 @@ def lookup(
     scattered = F.concat(F.lit("\x00"), F.xxhash64(*[F.col(c) for c in spread_by]).cast("string"))
     # Filtering on ``uses`` here too keeps both branches on one shuffle of ``table``
     # (exchange reuse); keys nobody uses would not be found anyway.
-    cold = table.where(F.col(uses) > 0).select(F.col(key).alias("_probe"), F.col(value).alias("_cold_value"))
+    # The merge hint rules out a broadcast by size estimate: exploded tables are far
+    # larger than the files they are estimated from.
+    cold = (
+        table.where(F.col(uses) > 0)
+        .select(F.col(key).alias("_probe"), F.col(value).alias("_cold_value"))
+        .hint("merge")
+    )
     return (
         big.join(hot, key, "left")
-        .withColumn("_probe", F.when(F.col("_hot_value").isNull(), F.col(key)).otherwise(scattered))
+        .withColumn(
+            "_probe", F.when(F.col("_hot_value").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(scattered)
+        )
         .join(cold, "_probe", "left")
         .withColumn(value, F.coalesce("_hot_value", "_cold_value"))
         .drop("_hot_value", "_cold_value", "_probe")

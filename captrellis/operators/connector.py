@@ -285,7 +285,7 @@ def scatter_merge(tokens: DataFrame, features: DataFrame, image_token_id: int, p
         "pos",
         "block_idx",
         "local_idx",
-        F.coalesce("_feat", F.raise_error(F.lit("missing feature row for an image token")).cast("array<double>")).alias("_feat"),
+        F.coalesce("_feat", F.raise_error(F.lit("missing feature row for an image token")).cast(features.schema["vec"].dataType.simpleString())).alias("_feat"),
     )
     is_image = F.col("token_id") == image_token_id
     text = tokens.where(~is_image | F.col("token_id").isNull()).select(
@@ -294,7 +294,7 @@ def scatter_merge(tokens: DataFrame, features: DataFrame, image_token_id: int, p
     )
     image = placed.select(
         "batch_id", "sample_id", "pos", F.lit(image_token_id).cast(tokens.schema["token_id"].dataType).alias("token_id"),
-        "block_idx", "local_idx", F.col("_feat").cast(tokens.schema["vec"].dataType).alias("vec"),
+        "block_idx", "local_idx", F.col("_feat").alias("vec"),
     )
     return text.unionByName(image)
 

@@ -165,18 +165,18 @@ def few_shot_draws(
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    numbered = number_shuffled(df.select(key, *columns), [key], seed, rn="_rn", total="_total")
-    asked = numbered.select(key, "_rn", "_total", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("shot"))
-    others = F.col("_total") - 1
+    numbered = number_shuffled(df.select(key, *columns), [key], seed, rn="_rn", total="_n")
+    asked = numbered.select(key, "_rn", "_n", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("shot"))
+    others = F.col("_n") - 1
     if exclude_self:
         # Skip over the row's own number; a table of one row has nobody else to draw.
         draw = F.when(others > 0, pick(F.greatest(others, F.lit(1)), seed, key, "shot") + 1)
         draw = draw + F.when(draw >= F.col("_rn"), 1).otherwise(0)
     else:
-        draw = pick(F.col("_total"), seed, key, "shot") + 1
+        draw = pick(F.col("_n"), seed, key, "shot") + 1
     shots = numbered.select(
         F.col("_rn").alias("_draw"),
         F.col(key).alias(f"shot_{key}"),
         *[F.col(c).alias(f"shot_{c}") for c in columns],
     )
-    return asked.withColumn("_draw", draw).drop("_rn", "_total").join(shots, "_draw").drop("_draw")
+    return asked.withColumn("_draw", draw).drop("_rn", "_n").join(shots, "_draw").drop("_draw")

@@ -1,2 +1,230 @@
-QUERIES = {}
-ORACLES = {}
+"""Vector-table queries over ``embeddings``."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from captrellis.functions.hashing import pick
+from captrellis.functions.vectors import image_seq_len, layer_norm, project
+from captrellis.operators import connector
+from captrellis.queries.twins import draw
+from captrellis.sources.tables import read_table
+
+WIDTH, OUT = 64, 8
+IMAGE_TOKEN, PER_BLOCK = 2, 4
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    table = read_table(spark, f"{d}/embeddings.parquet")
+    return table.select("vec_id", F.col("embedding").cast("array<double>").alias("vec"), "label")
+
+
+def _long(df: DataFrame, keys: list[str], vec: str, name: str = "value") -> DataFrame:
+    return df.select(*keys, F.posexplode(vec).alias("pos", name)).select(
+        *keys, F.col("pos").cast("bigint").alias("pos"), F.round(name, 6).alias(name)
+    )
+
+
+def patch_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Sixteen vectors are a 4 x 4 image (a rest of four is 2 x 2); 2 x 2 tiles become one row."""
+    patches = _vectors(spark, d).select(
+        F.floor(F.col("vec_id") / 16).alias("image_id"), (F.col("vec_id") % 16).cast("int").alias("patch_idx"), "vec"
+    )
+    merged = connector.patch_merge(patches, 2)
+    expected = image_seq_len(4 * 14, 14, 2)
+    return _long(merged.withColumn("full_length", expected), ["image_id", "patch_idx", "full_length"], "vec")
+
+
+def projection_weights() -> tuple[np.ndarray, np.ndarray]:
+    o, i = np.arange(OUT)[:, None], np.arange(WIDTH)[None, :]
+    return ((o * 31 + i * 17) % 13 - 6) / 10.0, (np.arange(OUT) - 3) / 10.0
+
+
+def project_norm(spark: SparkSession, d: str) -> DataFrame:
+    """A fixed 8 x 64 projection with bias, then the layer norm of its result."""
+    y = _vectors(spark, d).select("vec_id", project("vec", *projection_weights()).alias("y"))
+    both = y.select("vec_id", F.posexplode(F.arrays_zip(F.col("y"), layer_norm("y").alias("z"))).alias("pos", "p"))
+    return both.select(
+        "vec_id", F.col("pos").cast("bigint").alias("pos"), F.round("p.y", 6).alias("y"), F.round("p.z", 6).alias("z")
+    )
+
+
+def centroids(vectors: DataFrame) -> DataFrame:
+    """``code_id, vec``: mean vector per label; numbers are averaged in long form before a code is assembled."""
+    means = (
+        vectors.where(F.col("label").isNotNull())
+        .select("label", F.posexplode("vec").alias("pos", "x"))
+        .groupBy("label", "pos")
+        .agg(F.avg("x").alias("x"))
+    )
+    return means.groupBy(F.col("label").alias("code_id")).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("vec")
+    )
+
+
+def soft_assign(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector as softmax-weighted mixture of the label centroids."""
+    vectors = _vectors(spark, d)
+    return _long(connector.soft_assign(vectors, centroids(vectors), "vec_id"), ["vec_id"], "soft")
+
+
+def _sequences(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Token sequences and the feature blocks their image tokens refer to.
+
+    Sixteen neighbouring vectors are the features of one batch: blocks of four.
+    Two samples share the batch; a draw says how many blocks the first one has.
+    A sample is one text token, its image tokens and two more text tokens.
+    """
+    numbered = _vectors(spark, d).select(
+        F.floor(F.col("vec_id") / 16).alias("batch_id"), (F.col("vec_id") % 16).alias("slot"), "vec"
+    )
+    features = numbered.select(
+        "batch_id",
+        F.floor(F.col("slot") / PER_BLOCK).alias("block_idx"),
+        (F.col("slot") % PER_BLOCK).cast("int").alias("local_idx"),
+        "vec",
+    )
+    sizes = numbered.groupBy("batch_id").agg(F.floor(F.count("*") / PER_BLOCK).alias("blocks"))
+    first = pick(F.col("blocks") + 1, "share", "batch_id") * PER_BLOCK
+    samples = sizes.select(
+        "batch_id",
+        F.inline(
+            F.array(
+                F.struct((F.col("batch_id") * 2).alias("sample_id"), first.alias("images")),
+                F.struct((F.col("batch_id") * 2 + 1).alias("sample_id"), (F.col("blocks") * PER_BLOCK - first).alias("images")),
+            )
+        ),
+    )
+    positions = samples.select("batch_id", "sample_id", "images", F.explode(F.sequence(F.lit(0), F.col("images") + 2)).alias("pos"))
+    is_image = F.col("pos").between(1, F.col("images"))
+    tokens = positions.select(
+        "batch_id",
+        "sample_id",
+        F.col("pos").cast("bigint").alias("pos"),
+        F.when(is_image, IMAGE_TOKEN).otherwise(F.lit(10) + F.col("pos")).cast("int").alias("token_id"),
+        F.array_repeat(F.col("pos").cast("double"), WIDTH).alias("vec"),
+    )
+    return tokens, features
+
+
+def scatter_merge(spark: SparkSession, d: str) -> DataFrame:
+    tokens, features = _sequences(spark, d)
+    merged = connector.scatter_merge(tokens, features, IMAGE_TOKEN, PER_BLOCK)
+    return merged.select(
+        "batch_id",
+        "sample_id",
+        "pos",
+        F.col("token_id").cast("bigint").alias("token_id"),
+        "block_idx",
+        F.col("local_idx").cast("bigint").alias("local_idx"),
+        F.round(F.get("vec", F.lit(0)), 6).alias("first"),
+        F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x), 6).alias("total"),
+    )
+
+
+def surplus_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Feature blocks left over if only the first sample of each batch is kept."""
+    tokens, features = _sequences(spark, d)
+    return connector.surplus_blocks(tokens.where(F.col("sample_id") % 2 == 0), features, IMAGE_TOKEN, PER_BLOCK)
+
+
+def drop_zero_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Every seventh vector and every fifth batch of eight is blank."""
+    blank = (F.col("vec_id") % 7 == 0) | (F.floor(F.col("vec_id") / 8) % 5 == 0)
+    images = _vectors(spark, d).select(
+        F.floor(F.col("vec_id") / 8).alias("batch_id"),
+        (F.col("vec_id") % 8).alias("pos"),
+        F.when(blank, F.transform("vec", lambda _: F.lit(0.0))).otherwise(F.col("vec")).alias("vec"),
+    )
+    kept = connector.drop_zero_images(images)
+    return kept.select("batch_id", "pos", F.round(F.get("vec", F.lit(0)), 6).alias("first"))
+
+
+def tile_mask(spark: SparkSession, d: str) -> DataFrame:
+    """An 8 x 8 grid per vector, 3 x 3 tiles. Most cells carry a mask, on where the number exceeds 0.2; the others are on."""
+    cells = _vectors(spark, d).select("vec_id", F.posexplode("vec").alias("p", "x")).select(
+        F.col("vec_id").alias("image_id"), F.floor(F.col("p") / 8).alias("y"), (F.col("p") % 8).cast("bigint").alias("x"),
+        F.col("x").alias("v"),
+    )
+    masked = pick(20, "mask", "image_id", "y", "x") != 0
+    mask = cells.where(masked).select("image_id", "y", "x", (F.col("v") > 0.2).alias("on"))
+    return connector.tile_mask(connector.full_mask(cells, mask), 3, 8, 8)
+
+
+QUERIES = {
+    "patch_merge": patch_merge,
+    "project_norm": project_norm,
+    "soft_assign": soft_assign,
+    "scatter_merge": scatter_merge,
+    "surplus_blocks": surplus_blocks,
+    "drop_zero_vectors": drop_zero_vectors,
+    "tile_mask": tile_mask,
+}
+
+_NUMBERS = """
+    numbers AS (
+      SELECT vec_id, label, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings
+    )"""
+
+_SEQUENCES = f"""
+    sizes AS (SELECT vec_id // 16 AS batch_id, count(*) // 4 AS blocks FROM embeddings GROUP BY 1),
+    shares AS (SELECT *, {draw('(blocks + 1)', 'share', 'batch_id')} * 4 AS n0 FROM sizes),
+    samples AS (
+      SELECT batch_id, batch_id * 2 AS sample_id, n0 AS images, 0 AS before FROM shares
+      UNION ALL SELECT batch_id, batch_id * 2 + 1, blocks * 4 - n0, n0 FROM shares
+    )"""
+
+ORACLES = {
+    "patch_merge": f"""WITH {_NUMBERS},
+        sides AS (SELECT vec_id // 16 AS image_id, sqrt(count(*))::BIGINT AS side FROM embeddings GROUP BY 1),
+        placed AS (
+          SELECT image_id, side, (vec_id % 16) // side AS h, (vec_id % 16) % side AS w, i, x
+          FROM numbers JOIN sides ON image_id = vec_id // 16
+        )
+        SELECT image_id, ((h // 2) * (side // 2) + w // 2)::BIGINT AS patch_idx, 4::BIGINT AS full_length,
+               (((h % 2) * 2 + w % 2) * {WIDTH} + i)::BIGINT AS pos, round(x, 6) AS value
+        FROM placed""",
+    "project_norm": f"""WITH {_NUMBERS},
+        y AS (
+          SELECT vec_id, o AS pos, sum(x * (((o * 31 + i * 17) % 13 - 6) / 10.0::DOUBLE)) + (o - 3) / 10.0::DOUBLE AS y
+          FROM numbers CROSS JOIN (SELECT unnest(range({OUT})) AS o) GROUP BY vec_id, o
+        )
+        SELECT vec_id, pos, round(y, 6) AS y,
+               round((y - avg(y) OVER v) / sqrt(var_pop(y) OVER v + 1e-5), 6) AS z
+        FROM y WINDOW v AS (PARTITION BY vec_id)""",
+    "soft_assign": f"""WITH {_NUMBERS},
+        codes AS (SELECT label AS code, i, avg(x) AS c FROM numbers WHERE label IS NOT NULL GROUP BY ALL),
+        logits AS (SELECT vec_id, code, sum(x * c) AS l FROM numbers JOIN codes USING (i) GROUP BY ALL),
+        shifted AS (SELECT *, exp(l - max(l) OVER (PARTITION BY vec_id)) AS e FROM logits),
+        probs AS (SELECT vec_id, code, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM shifted)
+        SELECT vec_id, i AS pos, round(sum(p * c), 6) AS value FROM probs JOIN codes USING (code) GROUP BY vec_id, i""",
+    "scatter_merge": f"""WITH {_SEQUENCES},
+        toks AS (SELECT *, unnest(range(images + 3)) AS pos FROM samples),
+        marked AS (SELECT *, pos BETWEEN 1 AND images AS is_image, before + pos - 1 AS slot FROM toks)
+        SELECT batch_id, sample_id, pos,
+               CASE WHEN is_image THEN 2 ELSE 10 + pos END::BIGINT AS token_id,
+               CASE WHEN is_image THEN slot // 4 END::BIGINT AS block_idx,
+               CASE WHEN is_image THEN slot % 4 END::BIGINT AS local_idx,
+               round(CASE WHEN is_image THEN embedding[1]::DOUBLE ELSE pos::DOUBLE END, 6) AS "first",
+               round(CASE WHEN is_image THEN list_sum(embedding::DOUBLE[]) ELSE pos::DOUBLE * {WIDTH} END, 6) AS total
+        FROM marked LEFT JOIN embeddings ON is_image AND vec_id = batch_id * 16 + slot""",
+    "surplus_blocks": f"""WITH {_SEQUENCES}
+        SELECT batch_id, (blocks - n0 // 4)::BIGINT AS surplus FROM shares""",
+    "drop_zero_vectors": """WITH images AS (
+          SELECT vec_id // 8 AS batch_id, vec_id % 8 AS pos,
+                 CASE WHEN vec_id % 7 = 0 OR (vec_id // 8) % 5 = 0 THEN 0 ELSE embedding[1]::DOUBLE END AS f,
+                 NOT (vec_id % 7 = 0 OR (vec_id // 8) % 5 = 0) AND list_bool_or(list_transform(embedding, lambda x: x <> 0)) AS is_real
+          FROM embeddings
+        ),
+        seen AS (
+          SELECT *, bool_or(is_real) OVER (PARTITION BY batch_id) AS any_real, row_number() OVER (PARTITION BY batch_id ORDER BY pos) AS k
+          FROM images
+        )
+        SELECT batch_id, pos, round(f, 6) AS "first" FROM seen WHERE is_real OR (NOT any_real AND k = 1)""",
+    "tile_mask": f"""WITH {_NUMBERS},
+        cells AS (SELECT vec_id AS image_id, i // 8 AS y, i % 8 AS x, x AS v FROM numbers),
+        lit AS (SELECT image_id, y, x, CASE WHEN {draw(20, 'mask', 'image_id', 'y', 'x')} <> 0 THEN v > 0.2 ELSE true END AS "on" FROM cells)
+        SELECT image_id, y // 3 AS ty, x // 3 AS tx, bool_or("on") AS "on" FROM lit WHERE y < 6 AND x < 6 GROUP BY ALL""",
+}

@@ -32,7 +32,13 @@ def build_vocab(df: DataFrame, tokens: str) -> DataFrame:
 
     Counting combines map-side. The rank is a global order over distinct words.
     """
-    words = df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("uses"))
+    # The filter stands here so that all three uses of the counts share one shuffle.
+    words = (
+        df.select(F.explode(tokens).alias("token"))
+        .where(F.col("token").isNotNull())
+        .groupBy("token")
+        .agg(F.count("*").alias("uses"))
+    )
     # Rank without one task sorting every word: words with equal counts share a
     # bucket, buckets are chained by a running total over the distinct counts.
     per_count = words.groupBy("uses").agg(F.count("*").alias("_words"))
@@ -96,12 +102,12 @@ def encode(
     """``keys, ids``: token arrays as id arrays in the same order; unknown tokens give ``unk_id``.
 
     ``vocab`` should be a stored table: its size is checked first (see ``_find``).
-    One id array is as long as its token array, so the collection per row is
-    bounded by the row, and it starts on the map side, where a row's tokens are
-    still together.
+    Rows are spread by ``keys`` while their tokens are still together; with a
+    broadcast vocabulary the id arrays, each as long as its token array, are then
+    put together again without another exchange.
     """
     keys = list(keys)
-    long = df.select(*keys, F.posexplode_outer(tokens).alias("_pos", "token"))
+    long = df.repartition(*keys).select(*keys, F.posexplode_outer(tokens).alias("_pos", "token"))
     found = _find(long, vocab.select("token", "id"), "token", "id", [*keys, "_pos"], broadcast_words, threshold)
     known = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("id", F.lit(unk_id)).alias("id")))
     return (
@@ -122,7 +128,7 @@ def decode(
 ) -> DataFrame:
     """``keys, text``: id arrays as words joined by one space, special tokens left out."""
     keys = list(keys)
-    long = df.select(*keys, F.posexplode_outer(ids).alias("_pos", "_id")).withColumn("_key", F.col("_id").cast("string"))
+    long = df.repartition(*keys).select(*keys, F.posexplode_outer(ids).alias("_pos", "_id")).withColumn("_key", F.col("_id").cast("string"))
     words = vocab.where(~F.col("is_special")).select(F.col("id").cast("string").alias("_key"), "token")
     found = _find(long, words, "_key", "token", [*keys, "_pos"], broadcast_words, threshold)
     word = F.when(F.col("token").isNotNull(), F.struct("_pos", "token"))

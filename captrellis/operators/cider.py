@@ -120,6 +120,9 @@ def document_frequency(words: DataFrame, n: int = 4) -> DataFrame:
     """
     per_item = (
         words.select("item_id", "ref_no", F.inline(grams("mine", n)).alias("n", "gram", "mine"))
+        # Never NULL; said here so that every use of the table plans the same filter
+        # and shares one shuffle instead of counting again.
+        .where(F.col("gram").isNotNull())
         .groupBy("gram", "item_id")
         .agg(F.max((F.col("ref_no") != CANDIDATE).cast("int")).alias("in_refs"), F.count("*").alias("rows"))
     )

@@ -107,9 +107,10 @@ def encode(
     put together again without another exchange.
     """
     keys = list(keys)
-    long = df.repartition(*keys).select(*keys, F.posexplode_outer(tokens).alias("_pos", "token"))
-    found = _find(long, vocab.select("token", "id"), "token", "id", [*keys, "_pos"], broadcast_words, threshold)
-    known = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("id", F.lit(unk_id)).alias("id")))
+    long = df.repartition(*keys).select(*keys, F.posexplode_outer(tokens).alias("_pos", "_token"))
+    table = vocab.select(F.col("token").alias("_token"), F.col("id").alias("_id"))
+    found = _find(long, table, "_token", "_id", [*keys, "_pos"], broadcast_words, threshold)
+    known = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("_id", F.lit(unk_id)).alias("id")))
     return (
         found.groupBy(*keys)
         .agg(F.sort_array(F.collect_list(known)).alias("_pairs"))
@@ -129,9 +130,9 @@ def decode(
     """``keys, text``: id arrays as words joined by one space, special tokens left out."""
     keys = list(keys)
     long = df.repartition(*keys).select(*keys, F.posexplode_outer(ids).alias("_pos", "_id")).withColumn("_key", F.col("_id").cast("string"))
-    words = vocab.where(~F.col("is_special")).select(F.col("id").cast("string").alias("_key"), "token")
-    found = _find(long, words, "_key", "token", [*keys, "_pos"], broadcast_words, threshold)
-    word = F.when(F.col("token").isNotNull(), F.struct("_pos", "token"))
+    words = vocab.where(~F.col("is_special")).select(F.col("id").cast("string").alias("_key"), F.col("token").alias("_token"))
+    found = _find(long, words, "_key", "_token", [*keys, "_pos"], broadcast_words, threshold)
+    word = F.when(F.col("_token").isNotNull(), F.struct("_pos", F.col("_token").alias("token")))
     return (
         found.groupBy(*keys)
         .agg(F.sort_array(F.collect_list(word)).alias("_pairs"))

@@ -151,7 +151,7 @@ def soft_assign_blocks(
 
     def cell(vecs: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if vecs.empty or block.empty:
-            return pd.DataFrame({"_key": [], "_m": [], "_s": [], "_v": []})
+            return pd.DataFrame({"_key": [], "_m": [], "_s": [], "_v": []}, dtype=object)
         x = np.stack([np.asarray(v, dtype=np.float64) for v in vecs["_vec"]])
         e = np.stack([np.asarray(v, dtype=np.float64) for v in block["_code"]])
         logits = x @ np.stack([np.asarray(v, dtype=np.float64) for v in block["_logit"]]).T

@@ -35,6 +35,9 @@ EXTENSIONS = {
     "text/xml": ".xml",
 }
 
+#: Bytes in which nearly every header ends.
+HEAD_BYTES = 64 * 1024
+
 PROBE = StructType(
     [
         StructField("format", StringType()),
@@ -136,8 +139,15 @@ def _probe(content: pd.Series) -> pd.DataFrame:
 
 
 def probe(content: Column | str) -> Column:
-    """Header probe of a binary column as ``struct<format,width,height,mode,ok>``."""
-    return _probe(content)
+    """Header probe of a binary column as ``struct<format,width,height,mode,ok>``.
+
+    Only the first ``HEAD_BYTES`` of an image go to Python. A header that ends
+    later (long metadata before the frame) is read again from the whole content.
+    """
+    c = F.col(content) if isinstance(content, str) else content
+    head = _probe(F.substring(c, 1, HEAD_BYTES))
+    late = ~head["ok"] & (F.octet_length(c) > HEAD_BYTES)
+    return F.when(late, _probe(F.when(late, c))).otherwise(head)
 
 
 def probe_png(content: Column | str) -> Column:

@@ -39,32 +39,27 @@ def build_vocab(df: DataFrame, tokens: str) -> DataFrame:
         .groupBy("token")
         .agg(F.count("*").alias("uses"))
     )
-    # Rank without one task sorting every word: words with equal counts share a
-    # bucket, buckets are chained by a running total over the distinct counts.
-    per_count = words.groupBy("uses").agg(F.count("*").alias("_words"))
-    chained = per_count.select(
-        "uses",
-        (F.sum("_words").over(Window.orderBy(F.col("uses").desc())) - F.col("_words")).alias("_before"),
-    )
-    # Rare counts (1, 2, ...) hold most words, so each count is split by the words' first letters.
-    lead = F.substring("token", 1, 2)
+    # A global rank without one task sorting every word: words with equal counts and
+    # equal first letters form a small window; the tables of counts and of leads,
+    # far smaller than the words, tell how many words come before it.
+    lead = F.substring("token", 1, 3)
     per_lead = words.groupBy("uses", lead.alias("_lead")).agg(F.count("*").alias("_words"))
-    leads = per_lead.select(
+    per_count = per_lead.groupBy("uses").agg(F.sum("_words").alias("_words"))
+    higher = per_count.select(
+        "uses", (F.sum("_words").over(Window.orderBy(F.col("uses").desc())) - F.col("_words")).alias("_higher")
+    )
+    earlier = per_lead.select(
         "uses",
         "_lead",
-        (F.sum("_words").over(Window.partitionBy("uses").orderBy("_lead")) - F.col("_words")).alias("_lead_before"),
+        (F.sum("_words").over(Window.partitionBy("uses").orderBy("_lead")) - F.col("_words")).alias("_earlier"),
     )
+    before = earlier.join(higher, "uses").select("uses", "_lead", (F.col("_higher") + F.col("_earlier")).alias("_before"))
     inside = Window.partitionBy("uses", "_lead").orderBy("token")
-    ranked = (
-        words.withColumn("_lead", lead)
-        .withColumn("_pos", F.row_number().over(inside))
-        .join(leads, ["uses", "_lead"])
-        .join(chained, "uses")
-    )
+    ranked = words.withColumn("_lead", lead).withColumn("_pos", F.row_number().over(inside)).join(before, ["uses", "_lead"])
     first = len(SPECIAL_TOKENS)
     ids = ranked.select(
         "token",
-        (F.col("_before") + F.col("_lead_before") + F.col("_pos") - 1 + first).cast("int").alias("id"),
+        (F.col("_before") + F.col("_pos") - 1 + first).cast("int").alias("id"),
         F.lit(False).alias("is_special"),
         "uses",
     )
@@ -93,7 +88,7 @@ def encode(
     df: DataFrame,
     vocab: DataFrame,
     keys: Sequence[str],
-    tokens: str,
+    tokens: Column | str,
     ids: str = "ids",
     unk_id: int = UNK_ID,
     broadcast_words: int = BROADCAST_WORDS,
@@ -102,9 +97,10 @@ def encode(
     """``keys, ids``: token arrays as id arrays in the same order; unknown tokens give ``unk_id``.
 
     ``vocab`` should be a stored table: its size is checked first (see ``_find``).
-    Rows are spread by ``keys`` while their tokens are still together; with a
-    broadcast vocabulary the id arrays, each as long as its token array, are then
-    put together again without another exchange.
+    ``tokens`` is a column or an expression over ``df``. Rows are spread by ``keys``
+    before it is evaluated, so an expression over text moves the text, not its
+    tokens; with a broadcast vocabulary the id arrays, each as long as its token
+    array, are then put together without another exchange.
     """
     keys = list(keys)
     long = df.repartition(*keys).select(*keys, F.posexplode_outer(tokens).alias("_pos", "_token"))

@@ -112,6 +112,12 @@ def sentence_grams(words: DataFrame, n: int = 4) -> DataFrame:
     )
 
 
+def reference_grams(words: DataFrame, n: int = 4) -> DataFrame:
+    """``item_id, ref_no, n, gram, tf`` of :func:`reference_words`; no exchange."""
+    long = words.select("item_id", "ref_no", F.inline(grams("mine", n)).alias("n", "gram", "side"))
+    return long.groupBy("item_id", "ref_no", "n", "gram").agg(F.count("*").alias("tf"))
+
+
 def document_frequency(words: DataFrame, n: int = 4) -> DataFrame:
     """``gram, df, uses``: items whose references hold the gram, and its occurrences in all sentences.
 

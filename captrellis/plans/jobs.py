@@ -127,7 +127,7 @@ def build_batches(
     prompts = data.select(
         key, "split", chat.render(chat.messages(image, user, assistant), template).alias("prompt")
     )
-    ids = batching.encode(prompts.select(key, "split", image_tokens("prompt", tokenize).alias("toks")), vocab, [key, "split"], "toks")
+    ids = batching.encode(prompts, vocab, [key, "split"], image_tokens("prompt", tokenize))
     ids = stage(ids, "encoded")
     parts = []
     for split in ("train", "test"):

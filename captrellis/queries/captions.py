@@ -61,11 +61,22 @@ def caption_tokens(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _assistant_refs(spark: SparkSession, d: str) -> DataFrame:
+    said = spark.read.parquet(f"{d}/conversations.parquet").where(F.col("role") == "assistant")
+    return said.select(F.col("conv_id").alias("item_id"), F.col("turn").alias("ref_no"), F.col("text").alias("ref"))
+
+
+def ngram_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct and all 1- to 4-grams per assistant turn and length."""
+    counted = cider.reference_grams(cider.reference_words(_assistant_refs(spark, d)))
+    return counted.groupBy("item_id", "ref_no", F.col("n").cast("bigint").alias("n")).agg(
+        F.count("*").alias("grams"), F.sum("tf").alias("occurrences")
+    )
+
+
 def ngram_df(spark: SparkSession, d: str) -> DataFrame:
     """1- to 4-grams that occur in the assistant turns of at least two conversations."""
-    said = spark.read.parquet(f"{d}/conversations.parquet").where(F.col("role") == "assistant")
-    refs = said.select(F.col("conv_id").alias("item_id"), F.col("turn").alias("ref_no"), F.col("text").alias("ref"))
-    freq = cider.document_frequency(cider.reference_words(refs)).where(F.col("df") >= 2)
+    freq = cider.document_frequency(cider.reference_words(_assistant_refs(spark, d))).where(F.col("df") >= 2)
     return freq.select(F.size(F.split("gram", " ")).cast("bigint").alias("n"), "gram", "df")
 
 
@@ -104,6 +115,7 @@ QUERIES = {
     "cider_corpus": cider_corpus,
     "cider_perturbed": cider_perturbed,
     "caption_tokens": caption_tokens,
+    "ngram_counts": ngram_counts,
     "ngram_df": ngram_df,
     "tfidf_norms": tfidf_norms,
     "evaluate_end_to_end": evaluate_end_to_end,
@@ -134,6 +146,11 @@ ORACLES = {
         {cider_scores()} {_ITEM_SCORES}""",
     "caption_tokens": f"""SELECT doc_id, len(t)::BIGINT AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5
         FROM (SELECT doc_id, {tok('text')} AS t FROM documents)""",
+    "ngram_counts": f"""WITH
+        cand AS (SELECT conv_id AS item_id, '' AS text FROM conversations WHERE false),
+        refs AS (SELECT conv_id AS item_id, turn AS ref_no, text FROM conversations WHERE role = 'assistant'),
+        {cider_tables()}
+        SELECT item_id, ref_no, n::BIGINT AS n, count(*) AS grams, sum(tf)::BIGINT AS occurrences FROM grams GROUP BY ALL""",
     "ngram_df": f"""WITH
         cand AS (SELECT DISTINCT conv_id AS item_id, '' AS text FROM conversations),
         refs AS (SELECT conv_id AS item_id, turn AS ref_no, text FROM conversations WHERE role = 'assistant'),

@@ -141,8 +141,8 @@ def vocab_ids(spark: SparkSession, d: str) -> DataFrame:
 def _encoded(spark: SparkSession, d: str) -> DataFrame:
     """Documents behind one image marker, as ids of the ``benchmark`` vocabulary."""
     marked = F.concat(F.lit("<image>"), F.col("text"))
-    docs = read_table(spark, f"{d}/documents.parquet").select("doc_id", image_tokens(marked).alias("t"))
-    return batching.encode(docs, _vocab(spark, d), ["doc_id"], "t")
+    docs = read_table(spark, f"{d}/documents.parquet")
+    return batching.encode(docs, _vocab(spark, d), ["doc_id"], image_tokens(marked))
 
 
 def _md5(ids: str):

@@ -49,6 +49,14 @@ def test_probe_column(spark):
     assert got == {i: w for i, (_, w) in enumerate(HEADERS)}
 
 
+def test_header_behind_long_metadata(spark):
+    """Frame after 200 kB of application segments: found by reading the whole image."""
+    late = b"\xff\xd8" + (b"\xff\xe1" + struct.pack(">H", 50_002) + b"m" * 50_000) * 4 + jpeg(90, 91, 3)[8:]
+    df = spark.createDataFrame([(1, bytearray(late)), (2, bytearray(png(60, 60) + b"z" * 100_000)), (3, bytearray(b"x" * 70_000))], "k int, content binary")
+    got = {r["k"]: tuple(r["h"]) for r in df.select("k", probe("content").alias("h")).collect()}
+    assert got == {1: ("JPEG", 90, 91, "RGB", True), 2: ("PNG", 60, 60, "RGB", True), 3: (None, None, None, None, False)}
+
+
 @pytest.mark.parametrize(
     "body, limit, want",
     [

@@ -61,28 +61,22 @@ def tokens(text: Column | str, mode: str = "words") -> Column:
     raise ValueError(f"unknown tokeniser {mode!r}; use 'words' or 'ptb_lite'")
 
 
-def grams(toks: Column | str, n: int, mine: int = 1) -> Column:
+def grams(toks: str, n: int, mine: int = 1) -> Column:
     """``array<struct<n, gram, mine>>``: all 1- to n-grams in order, words joined by one space.
 
-    Repeats stay; ``mine`` tags the sentence the grams come from. Pass a column
-    that exists already rather than an expression: it is used many times.
+    Repeats stay; ``mine`` tags the sentence the grams come from. ``toks`` names a
+    column, so that the tokens, used many times here, are computed once.
     """
-    toks = _col(toks)
-
-    def of(k: int) -> Column:
-        def gram(i: Column) -> Column:
-            words = [F.get(toks, i)]
-            for j in range(1, k):
-                words += [F.lit(" "), F.get(toks, i + j)]
-            text = F.concat(*words) if k > 1 else words[0]
-            return F.struct(F.lit(k).alias("n"), text.alias("gram"), F.lit(mine).alias("mine"))
-
-        empty = F.array().cast("array<struct<n:int,gram:string,mine:int>>")
-        return F.when(
-            F.size(toks) >= k, F.transform(F.sequence(F.lit(0), F.size(toks) - k), gram)
-        ).otherwise(empty)
-
-    return F.concat(*[of(k) for k in range(1, n + 1)])
+
+    def of(k: int) -> str:
+        words = ", ' ', ".join(f"get({toks}, i + {j})" for j in range(k))
+        return f"""
+            CASE WHEN size({toks}) >= {k} THEN transform(
+                sequence(0, size({toks}) - {k}),
+                i -> named_struct('n', {k}, 'gram', concat({words}), 'mine', {mine})
+            ) ELSE cast(array() AS array<struct<n:int,gram:string,mine:int>>) END"""
+
+    return F.expr(f"concat({', '.join(of(k) for k in range(1, n + 1))})")
 
 
 def _col(c: Column | str) -> Column:

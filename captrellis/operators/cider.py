@@ -86,25 +86,28 @@ def reference_words(refs: DataFrame, tokenizer: str = "words") -> DataFrame:
 
 
 def sentence_grams(words: DataFrame, n: int = 4) -> DataFrame:
-    """Long form ``item_id, ref_no, cand_tokens, tokens, n, gram, tf, tf_cand``.
+    """Long form ``item_id, ref_no, n, gram, gap, tf, tf_cand``.
 
-    References carry the candidate's count of the same gram in ``tf_cand``. Every
+    References carry the candidate's count of the same gram in ``tf_cand`` and the
+    difference of both sentences' bigram counts in ``gap``. Every
     sentence also has one row with ``n`` = 0 and no gram, so that empty ones are
     not lost. The rows inherit the partitioning of ``words``: no exchange.
     """
+
+    def bigrams(c: str) -> Column:
+        return F.greatest(F.size(c) - 1, F.lit(0))
+
     marker = F.array(F.struct(F.lit(0).alias("n"), F.lit(None).cast("string").alias("gram"), F.lit(1).alias("mine")))
     long = words.select(
         "item_id",
         "ref_no",
-        F.size("cand").alias("cand_tokens"),
-        F.size("mine").alias("tokens"),
+        (bigrams("cand") - bigrams("mine")).alias("gap"),
         F.inline(F.concat(marker, grams("mine", n, 1), grams("cand", n, 0))).alias("n", "gram", "side"),
     )
     return (
         long.groupBy("item_id", "ref_no", "n", "gram")
         .agg(
-            F.max("cand_tokens").alias("cand_tokens"),
-            F.max("tokens").alias("tokens"),
+            F.max("gap").alias("gap"),
             F.count_if(F.col("side") == 1).alias("tf"),
             F.count_if(F.col("side") == 0).alias("tf_cand"),
         )
@@ -181,30 +184,20 @@ def score_items(
     mine = F.col("tf")
     shared = F.least("tf_cand", "tf") * mine
 
-    def at(k: int, c: Column) -> Column:
-        return F.sum(F.when(F.col("n") == k, c).otherwise(F.lit(0.0)))
-
-    sentences = w.groupBy("item_id", "ref_no").agg(
-        F.max("cand_tokens").alias("cand_tokens"),
-        F.max("tokens").alias("tokens"),
-        *[F.sqrt(at(k, mine * mine * squared)).alias(f"norm{k}") for k in range(1, n + 1)],
-        *[at(k, shared * squared).alias(f"dot{k}") for k in range(1, n + 1)],
+    # One narrow row per sentence and gram length; lengths become columns only per item.
+    sentences = w.groupBy("item_id", "ref_no", "n").agg(
+        F.max("gap").alias("gap"),
+        F.sqrt(F.sum(mine * mine * squared)).alias("norm"),
+        F.sum(shared * squared).alias("dot"),
     )
     is_ref = F.col("ref_no") != CANDIDATE
-
-    def bigrams(c: str) -> Column:
-        return F.greatest(F.col(c) - 1, F.lit(0))
-
     # The length in the penalty is the number of bigrams, which a unigram score never counts.
-    penalty = F.lit(1.0) if n == 1 else F.exp(-F.pow(bigrams("cand_tokens") - bigrams("tokens"), 2) / F.lit(2.0 * sigma * sigma))
+    penalty = F.lit(1.0) if n == 1 else F.exp(-F.pow("gap", 2) / F.lit(2.0 * sigma * sigma))
+    sim = F.when(is_ref & (F.col("norm") > 0), F.col("dot") * penalty / F.col("norm")).otherwise(0.0)
     items = sentences.groupBy("item_id").agg(
-        F.count_if(is_ref).alias("n_refs"),
-        *[F.max(F.when(~is_ref, F.col(f"norm{k}"))).alias(f"norm{k}") for k in range(1, n + 1)],
-        *[
-            F.sum(F.when(is_ref & (F.col(f"norm{k}") > 0), F.col(f"dot{k}") * penalty / F.col(f"norm{k}")).otherwise(0.0))
-            .alias(f"sim{k}")
-            for k in range(1, n + 1)
-        ],
+        F.count_if(is_ref & (F.col("n") == 0)).alias("n_refs"),
+        *[F.max(F.when(~is_ref & (F.col("n") == k), F.col("norm"))).alias(f"norm{k}") for k in range(1, n + 1)],
+        *[F.sum(F.when(F.col("n") == k, sim).otherwise(0.0)).alias(f"sim{k}") for k in range(1, n + 1)],
     )
     total = sum(
         (F.when(F.col(f"norm{k}") > 0, F.col(f"sim{k}") / F.col(f"norm{k}")).otherwise(0.0) for k in range(1, n + 1)),

@@ -7,8 +7,8 @@ Jaccard similarity. Only points up to the time by which all registers are likely
 empty the time is doubled, so the signature does not depend on that choice.
 
 Texts with the same multiset become one class first. Classes whose signatures share a band are candidates,
-which are compared exactly. Nothing compares all pairs of a bucket: each round, a bucket's pivots are compared
-with its members from other components, and a bucket is finished as soon as all its members are connected.
+which are compared exactly: first all of a bucket with its most typical member, which connects most of it, and
+then only what is left outside with the rest, in blocks. Pairs of a bucket are never emitted.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: 24 bands of 4 registers miss a pair of similarity 0.8 with probability 3e-6.
 BANDS, ROWS = 24, 4
+#: Members and queries in one cell of the comparison within a group.
+BLOCK = 400
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -192,36 +194,26 @@ def near_duplicates(
     copies = worded.groupBy("digest").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"))
     copies = stage(copies, "bag-copies")
     banded = copies.selectExpr("rep AS id", "posexplode(keys) AS (band, bucket)")
-    shared = banded.groupBy("band", "bucket").agg(F.count("*").alias("members")).where("members > 1").drop("members")
-    members = stage(banded.join(shared, ["band", "bucket"]), "bag-members")
+    shared = banded.groupBy("band", "bucket").agg(F.count("*").alias("size")).where("size > 1")
+    members = stage(banded.join(shared, ["band", "bucket"]), "bag-buckets")
+    # A member of large buckets in many bands resembles most of its group: it makes the best pivot.
+    degrees = members.groupBy("id").agg(F.sum("size").alias("degree"))
+    members = stage(members.drop("size").join(degrees, "id"), "bag-members")
     labels = members.select("id").distinct().withColumn("label", F.col("id"))
     labels = stage(labels, "bag-labels")
     # Only classes that share a bucket are compared, so only their texts are read again.
     elements = source.where("_text IS NOT NULL").join(labels.select("id"), "id", "left_semi").dropDuplicates(["id"])
     elements = stage(_elements(elements, "_text"), "bag-elements")
-    tested = edges = spent = None
-    pace = 0
-    while True:
-        pivots = _pivots(members, labels, spent, pace)
-        pairs = (
-            members.join(labels, "id")
-            .join(pivots.selectExpr("band", "bucket", "id AS pivot", "label AS other"), ["band", "bucket"])
-            .where("label <> other")
-            .selectExpr("least(id, pivot) AS a", "greatest(id, pivot) AS b")
-            .distinct()
-        )
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "bag-pairs")
-        used = stage(pivots.select("band", "bucket", "id"), "bag-pivots")
-        if used.isEmpty():
-            break
-        tested = pairs if tested is None else tested.union(pairs)
-        spent = used if spent is None else spent.union(used)
-        new = stage(_similar(pairs, elements, threshold), "bag-links")
-        edges = new if edges is None else edges.union(new)
-        labels = connect(labels, edges)
-        pace += 1
+    # First every member meets the one member of its bucket that resembles most others.
+    central = F.max(F.struct("degree", F.negative("id").alias("minus"))).alias("best")
+    centers = members.groupBy("band", "bucket").agg(central).selectExpr("band", "bucket", "-best.minus AS center")
+    groups = stage(members.join(centers, ["band", "bucket"]).select("center", "id").distinct(), "bag-groups")
+    stars = groups.where("center <> id").selectExpr("least(id, center) AS a", "greatest(id, center) AS b").distinct()
+    links = stage(_similar(stars, elements, threshold), "bag-stars")
+    labels = connect(labels, links)
+    # Then those that it does not connect meet all members of the group.
+    rest = stage(_outside(groups, labels, elements, threshold), "bag-links")
+    labels = connect(labels, rest)
     classes = labels.selectExpr("id AS rep", "label")
     of = copies.join(classes, "rep", "left").selectExpr("digest", "rep AS copy_of", "coalesce(label, rep) AS class_id")
     held = found.withColumn("_digest", F.expr("IF(n_shingles > 0 AND id IS NOT NULL, digest, NULL)"))
@@ -232,20 +224,44 @@ def near_duplicates(
     return out
 
 
-def _pivots(members: DataFrame, labels: DataFrame, spent: DataFrame | None, pace: int) -> DataFrame:
-    """Pivots of unfinished buckets, with their labels.
+def _outside(groups: DataFrame, labels: DataFrame, elements: DataFrame, threshold: float) -> DataFrame:
+    """Links ``a, b`` that join components within a group (``center, id``).
 
-    The first round takes the smallest member of each bucket. Later ones take members outside the component of
-    the smallest label, a growing number per bucket and round, each member of a bucket once: a bucket ends when
-    it is connected or when each such member has met all members of other components, so no pair is left out.
+    Of two components in a group at least one lies outside its center's. So the members outside are compared with
+    all members, block by block: rows are copied to the cells of a grid of blocks, never paired, and a cell counts
+    shared elements by one look-up per query and gives at most one link per query and component. A group inside
+    one component has no queries and is left out.
     """
-    named = members.join(labels, "id")
-    groups = named.groupBy("band", "bucket").agg(F.min("label").alias("_low"), F.max("label").alias("_high"))
-    if pace == 0:
-        return groups.where("_low <> _high").selectExpr("_low AS id", "band", "bucket", "_low AS label")
-    open_ = named.join(groups.where("_low <> _high"), ["band", "bucket"]).where("label <> _low")
-    if spent is not None:
-        open_ = open_.join(spent, ["band", "bucket", "id"], "left_anti")
-    salt = F.pmod(F.xxhash64("id"), F.lit(4**pace))
-    best = open_.groupBy("band", "bucket", salt.alias("_salt")).agg(F.min(F.struct("id", "label")).alias("m"))
-    return best.select("m.id", "band", "bucket", "m.label")
+    own = labels.selectExpr("id AS center", "label AS central")
+    named = groups.join(labels, "id").join(own, "center").withColumn("outside", F.expr("label <> central"))
+    sizes = named.groupBy("center").agg(F.count("*").alias("members"), F.count_if("outside").alias("queries")).where("queries > 0")
+    sizes = sizes.selectExpr("center", f"ceil(members / {BLOCK}) AS rows", f"ceil(queries / {BLOCK}) AS columns")
+    open_ = named.join(sizes, "center").join(elements, "id")
+    place = "pmod(xxhash64(id), {0})"
+    members = open_.selectExpr("center", place.format("rows") + " AS row", "explode(sequence(0, columns - 1)) AS column", "id", "label", "false AS query", "elements")
+    queries = open_.where("outside").selectExpr("center", "explode(sequence(0, rows - 1)) AS row", place.format("columns") + " AS column", "id", "label", "true AS query", "elements")
+
+    def cell(table: pa.Table) -> pa.Table:
+        query = table.column("query").to_numpy(zero_copy_only=False).astype(bool)
+        ids, of = (table.column(c).to_numpy() for c in ("id", "label"))
+        held = [np.frombuffer(e, np.uint64) for e in table.column("elements").to_pylist()]
+        there = np.flatnonzero(~query)
+        sizes = np.array([len(held[i]) for i in there], np.int64)
+        values = np.concatenate([held[i] for i in there]) if len(there) else np.empty(0, np.uint64)
+        owner = np.repeat(np.arange(len(there)), sizes)
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        a, b = [], []
+        for q in np.flatnonzero(query):
+            low = np.searchsorted(values, held[q], "left")
+            count = np.searchsorted(values, held[q], "right") - low
+            at = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+            shared = np.bincount(owner[at], minlength=len(there))
+            fits = (of[there] != of[q]) & (shared >= threshold * (sizes + len(held[q]) - shared) - 1e-9)
+            for i in np.unique(of[there][fits], return_index=True)[1]:
+                other = ids[there][fits][i]
+                a.append(min(ids[q], other))
+                b.append(max(ids[q], other))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return members.unionByName(queries).groupBy("center", "row", "column").applyInArrow(cell, "a long, b long").distinct()

@@ -79,8 +79,11 @@ def license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         # The closing row is the last one; a pair that happens to hash to -1 is no closing row.
         "IF(label IS NULL, p = greatest(size(w) - 1, 0), w[p] = first AND w[p + 1] = second)"
     )
-    diagonals = votes.groupBy("_row", "_key", "label", "exact", "length", F.expr("IF(label IS NULL, 0, p - q)").alias("diagonal")).agg(
-        F.count("*").alias("n"), F.collect_set("q").alias("pairs"), F.min("p").alias("start"), F.max(F.expr("IF(label IS NULL, size(w), 0)")).alias("n_words")
+    # The words end here: sorts and exchanges see numbers and labels only.
+    votes = votes.selectExpr("_row", "_key", "label", "exact", "length", "q", "p", "IF(label IS NULL, size(w), 0) AS n_words",
+                             "IF(label IS NULL, 0, p - q) AS diagonal")
+    diagonals = votes.groupBy("_row", "_key", "label", "exact", "length", "diagonal").agg(
+        F.count("*").alias("n"), F.collect_set("q").alias("pairs"), F.min("p").alias("start"), F.max("n_words").alias("n_words")
     )
     along = Window.partitionBy("_row", "_key", "label").orderBy("diagonal")
     fresh = F.expr("exact OR diagonal - before > " + str(DRIFT))

@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,9 @@ WORD_END = "</w>"
 #: Last symbols of words are moved to this plane, so that "a" and "a</w>" are two symbols of one character each.
 END_PLANE = 0xE000
 #: Chunks remembered by a Python worker; half of them are forgotten at a time.
-CACHED_CHUNKS = 500_000
+CACHED_CHUNKS = 1_000_000
+#: Stands for the last token of an empty prefix.
+FIRST = (1 << 20) - 1
 
 
 def byte_letters() -> list[str]:
@@ -120,26 +124,28 @@ class Encoder:
             self.parts[whole] = (a, b)
             self.born[whole] = rank
         self.letters = byte_letters()
-        symbols, self.automaton = {}, SuffixAutomaton()
-        for text, i in vocab.items():
-            if text in self.special:
-                continue
-            if text.endswith(WORD_END) and text != WORD_END:
-                body = text[: -len(WORD_END)]
-                text = body[:-1] + chr(END_PLANE + ord(body[-1]))
-            if len(text) == 1:
-                symbols[text] = i
-            self.automaton.add(text, i)
-        self.automaton.close()
-        self.symbols = symbols
+        self.vocab = vocab
         self.spelled: dict[int, bool] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.chunks = re.compile(f"[^{WHITE_SPACE}]+")
         self.pieces = regex.compile(PIECES)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    @cached_property
+    def automaton(self) -> SuffixAutomaton:
+        """Automaton of all tokens; decoding does without it."""
+        automaton = SuffixAutomaton()
+        for text, i in self.vocab.items():
+            if text in self.special:
+                continue
+            if text.endswith(WORD_END) and text != WORD_END:
+                body = text[: -len(WORD_END)]
+                text = body[:-1] + chr(END_PLANE + ord(body[-1]))
+            automaton.add(text, i)
+        return automaton.close()
+
     def _pair_fits(self, left: int, right: int) -> bool:
         """Whether encoding ``left + right`` leaves the border between them alone.
 
@@ -183,57 +189,71 @@ class Encoder:
         finally:
             self.merges[left, right] = whole
 
+    def _fits(self, before: int, token: int) -> bool:
+        """Whether ``token`` may follow the last token of a prefix (:data:`FIRST`: the empty one)."""
+        return self._reachable(token) and (before == FIRST or self._pair_fits(before, token))
+
+    @cached_property
+    def _endings(self) -> list:
+        return [()] + [None] * len(self.automaton.size)
+
+    def _tokens_at(self, state: int) -> tuple:
+        """Tokens, with their lengths, that end where the automaton is in ``state``, longest first."""
+        auto, found, at = self.automaton, [], state
+        while at:
+            if auto.token[at] >= 0:
+                found.append((auto.token[at], auto.size[at]))
+            at = auto.shorter[at]
+        self._endings[state] = tuple(found)
+        return self._endings[state]
+
     def word(self, piece: str) -> list[int]:
         """Ids of one word, given in byte letters."""
         text = piece[:-1] + chr(END_PLANE + ord(piece[-1]))
-        auto, fits = self.automaton, self.fits
+        auto, fits, endings = self.automaton, self.fits, self._endings
         moves, link, size, token, shorter = auto.next, auto.link, auto.size, auto.token, auto.shorter
-        last = [-1] * len(text)
+        last, lengths = [FIRST], [0]
         state = length = 0
-        for end, char in enumerate(text):
-            while state and char not in moves[state]:
+        for char in text:
+            then = moves[state].get(char, 0)
+            while state and not then:
                 state = link[state]
                 length = size[state]
-            state = moves[state].get(char, 0)
+                then = moves[state].get(char, 0)
+            state = then
             length = length + 1 if state else 0
-            at = state if size[state] == length and token[state] >= 0 else shorter[state]
-            while at:
-                t, start = token[at], end - size[at]
-                if self._reachable(t):
-                    if start < 0:
-                        last[end] = t
-                        break
-                    pair = (last[start], t)
-                    ok = fits.get(pair)
-                    if ok is None:
-                        ok = fits[pair] = self._pair_fits(*pair)
-                    if ok:
-                        last[end] = t
-                        break
-                at = shorter[at]
-        ids, end = [], len(text) - 1
-        lengths = self.lengths
-        while end >= 0:
+            at = state if size[state] == length else shorter[state]
+            end = len(last)
+            for t, n in endings[at] or self._tokens_at(at):
+                before = last[end - n]
+                key = before << 20 | t
+                ok = fits.get(key)
+                if ok is None:
+                    ok = fits[key] = self._fits(before, t)
+                if ok:
+                    last.append(t)
+                    lengths.append(n)
+                    break
+        ids, end = [], len(last) - 1
+        while end:
             ids.append(last[end])
-            end -= lengths[last[end]]
-        return ids[::-1]
-
-    @property
-    def lengths(self) -> list[int]:
-        """Symbols in each token."""
-        if "_lengths" not in self.__dict__:
-            self._lengths = [len(t) - len(WORD_END) if t.endswith(WORD_END) and t != WORD_END else len(t) for t in self.texts]
-        return self._lengths
+            end -= lengths[end]
+        ids.reverse()
+        return ids
 
     def chunk(self, chunk: str) -> bytes:
         """Packed ids of a text without white space."""
         found = self.old.get(chunk)
         if found is None:
-            text = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+            plain = chunk.isascii()
+            text = chunk.lower() if plain else unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
             letters, ids = self.letters, []
-            for piece in self.pieces.findall(text):
-                ids += self.word("".join([letters[b] for b in piece.encode()]))
-            found = np.array(ids, dtype="<u4").tobytes()
+            for piece in [text] if plain and text.isalpha() else self.pieces.findall(text):
+                if plain:  # printable ASCII stands for itself
+                    ids += self.word(piece if piece.isprintable() else "".join([letters[b] for b in piece.encode()]))
+                else:
+                    ids += self.word("".join([letters[b] for b in piece.encode()]))
+            found = struct.pack(f"<{len(ids)}I", *ids)
         if len(self.young) >= CACHED_CHUNKS // 2:
             self.old, self.young = self.young, {}
         if len(chunk) <= 64:

@@ -30,12 +30,13 @@ def special_id(token: str, ids: Sequence[int] = (PAD_ID, UNK_ID, IMAGE_ID), toke
 def build_vocab(df: DataFrame, tokens: str) -> DataFrame:
     """``token, id, is_special, uses``: words ranked by (count descending, word), after the specials.
 
+    Special tokens among the words are not ranked again.
     Counting combines map-side. The rank is a global order over distinct words.
     """
     # The filter stands here so that all three uses of the counts share one shuffle.
     words = (
         df.select(F.explode(tokens).alias("token"))
-        .where(F.col("token").isNotNull())
+        .where(F.col("token").isNotNull() & ~F.col("token").isin(*SPECIAL_TOKENS))
         .groupBy("token")
         .agg(F.count("*").alias("uses"))
     )
@@ -84,6 +85,15 @@ def _find(
     return lookup(long, table.join(uses, key), key, value, spread_by, uses="_uses", threshold=threshold)
 
 
+def _first_places() -> Column:
+    """How often a group's first position occurs: more than once if keys or vocabulary entries repeat."""
+    return F.count_if(F.coalesce("_pos", F.lit(0)) == 0)
+
+
+def _if_single(value: Column) -> Column:
+    return F.when(F.col("_rows") > 1, F.raise_error(F.lit("repeated key, or repeated vocabulary entry"))).otherwise(value)
+
+
 def encode(
     df: DataFrame,
     vocab: DataFrame,
@@ -109,8 +119,8 @@ def encode(
     known = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("_id", F.lit(unk_id)).alias("id")))
     return (
         found.groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(known)).alias("_pairs"))
-        .select(*keys, F.transform("_pairs", lambda p: p["id"]).alias(ids))
+        .agg(F.sort_array(F.collect_list(known)).alias("_pairs"), _first_places().alias("_rows"))
+        .select(*keys, _if_single(F.transform("_pairs", lambda p: p["id"])).alias(ids))
     )
 
 
@@ -131,8 +141,8 @@ def decode(
     word = F.when(F.col("_token").isNotNull(), F.struct("_pos", F.col("_token").alias("token")))
     return (
         found.groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(word)).alias("_pairs"))
-        .select(*keys, F.array_join(F.transform("_pairs", lambda p: p["token"]), " ").alias(text))
+        .agg(F.sort_array(F.collect_list(word)).alias("_pairs"), _first_places().alias("_rows"))
+        .select(*keys, _if_single(F.array_join(F.transform("_pairs", lambda p: p["token"]), " ")).alias(text))
     )
 
 

@@ -149,8 +149,11 @@ def weighted_grams(caps: Captions, n: int = 4, tokenizer: str = "words", thresho
     """:func:`sentence_grams` with ``idf = ln N - ln max(1, df)``."""
     words = sentence_words(caps, tokenizer)
     n_items = caps.cands.agg(F.count("*")).scalar()
+    # A gram of one item weighs the same as one that is not found, so most grams need no look-up. Very frequent
+    # ones stay in the table, which spreads their rows.
+    needed = document_frequency(words, n).where((F.col("df") >= 2) | (F.col("uses") > threshold))
     found = lookup(
-        sentence_grams(words, n), document_frequency(words, n), "gram", "df", spread_by=["item_id", "ref_no", "gram"], uses="uses",
+        sentence_grams(words, n), needed, "gram", "df", spread_by=["item_id", "ref_no", "gram"], uses="uses",
         threshold=threshold,
     )
     return found.withColumn("idf", _idf(n_items))

@@ -98,14 +98,12 @@ def with_few_shots(
 ) -> DataFrame:
     """Add ``shots``: ``k`` drawn rows as ``array<struct<image, answer>>`` in draw order.
 
-    Only the first two draws and of each only the first two answers can appear
-    in a prompt, so no more is moved.
+    All draws and answers are kept; the prompt builder picks those that it shows.
     """
-    lean = df.select(key, "image", F.slice("answer", 1, 2).alias("answer"))
+    lean = df.select(key, "image", "answer")
     drawn = ordering.few_shot_draws(lean, key, k, seed, exclude_self, columns=["image", "answer"])
     shots = (
-        drawn.where(F.col("shot") <= 2)
-        .groupBy(key)
+        drawn.groupBy(key)
         .agg(F.sort_array(F.collect_list(F.struct("shot", F.col("shot_image").alias("image"), F.col("shot_answer").alias("answer")))).alias("shots"))
     )
     return df.join(shots, key)
@@ -127,7 +125,7 @@ def build_batches(
     prompts = data.select(
         key, "split", chat.render(chat.messages(image, user, assistant), template).alias("prompt")
     )
-    ids = batching.encode(prompts, vocab, [key, "split"], image_tokens("prompt", tokenize))
+    ids = batching.encode(prompts, vocab, [key, "split"], image_tokens("prompt", tokenize, template.image_marker))
     ids = stage(ids, "encoded")
     parts = []
     for split in ("train", "test"):
@@ -143,7 +141,7 @@ def build_batches(
 
 def image_tokens(prompt: Column | str, tokenize=tokens, marker: str = "<image>") -> Column:
     """Tokens of a rendered prompt with every image marker as one special token."""
-    parts = F.split(prompt, marker.replace("|", "\\|"), -1)
+    parts = F.split(prompt, f"\\Q{marker}\\E", -1)
     return F.flatten(
         F.transform(
             parts,

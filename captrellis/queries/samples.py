@@ -83,13 +83,12 @@ def chat_samples(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evaluation_items(spark: SparkSession, d: str) -> DataFrame:
-    """Conversations with at least two assistant turns; these are the answers (the first two are used)."""
+    """Conversations with at least two assistant turns; these are the answers."""
     said = read_table(spark, f"{d}/conversations.parquet").where(F.col("role") == "assistant")
-    two = first_k(said.select("conv_id", "turn", "text"), ["conv_id"], ["turn"], 2)
     return (
-        two.groupBy("conv_id")
+        said.groupBy("conv_id")
         .agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("pairs"))
-        .where(F.size("pairs") == 2)
+        .where(F.size("pairs") >= 2)
         .select(
             "conv_id",
             F.concat(F.lit("img/"), F.col("conv_id").cast("string")).alias("image"),

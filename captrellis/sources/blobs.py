@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -47,7 +48,7 @@ def blob_name(key: Column | str, extension: Column) -> Column:
 
 def write_blob(fs: pafs.FileSystem, path: str, body: bytes) -> None:
     """Write next to the target and move into place; a failed write leaves nothing behind."""
-    partial = path + ".part"
+    partial = f"{path}.{uuid.uuid4().hex}.part"  # attempts of one task never share it
     try:
         with fs.open_output_stream(partial) as out:
             for at in range(0, len(body), CHUNK):

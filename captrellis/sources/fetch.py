@@ -24,9 +24,12 @@ from captrellis.functions.images import extension_for
 from captrellis.sources.blobs import blob_name
 from captrellis.sources.tables import extended, require_columns
 
+#: Attempts, seconds until a timeout, seconds between attempts.
 ATTEMPTS = 2
 TIMEOUT_SECONDS = 10
 DELAY_SECONDS = 2.0
+#: Bytes of bodies that a task collects before it hands them on.
+FLUSH_BYTES = 32 * 1024 * 1024
 
 
 class FetchTimeout(Exception):
@@ -43,26 +46,44 @@ class Response(NamedTuple):
 
 
 def http_fetcher(timeout: float = TIMEOUT_SECONDS) -> Callable[[str, int], Response]:
-    """A fetcher over HTTP(S) built on the standard library."""
+    """A fetcher over HTTP(S) built on the standard library; other schemes are refused, also after redirects."""
 
     def fetch(url: str, attempt: int) -> Response:
+        import http.client
         import urllib.error
         import urllib.request
 
+        # The URLs are not trusted: an opener without file, FTP and data handlers cannot read executors' files.
+        opener = urllib.request.OpenerDirector()
+        for handler in (
+            urllib.request.ProxyHandler(),
+            urllib.request.HTTPHandler(),
+            urllib.request.HTTPSHandler(),
+            urllib.request.HTTPRedirectHandler(),
+            urllib.request.HTTPErrorProcessor(),
+            urllib.request.HTTPDefaultErrorHandler(),
+            urllib.request.UnknownHandler(),
+        ):
+            opener.add_handler(handler)
         try:
-            reply = urllib.request.urlopen(url, timeout=timeout)
+            if not url.lower().startswith(("http://", "https://")):
+                raise FetchError(f"not an HTTP address: {url}")
+            reply = opener.open(url, timeout=timeout)
         except TimeoutError as e:
             raise FetchTimeout(str(e)) from e
         except urllib.error.URLError as e:
             if isinstance(e.reason, TimeoutError):
                 raise FetchTimeout(str(e)) from e
             raise FetchError(str(e)) from e
-        except ValueError as e:  # not a usable URL
+        except (OSError, http.client.HTTPException, ValueError) as e:  # a broken reply, or not a usable URL
             raise FetchError(str(e)) from e
 
         def body() -> bytes:
-            with reply:
-                return reply.read()
+            try:
+                with reply:
+                    return reply.read()
+            except http.client.HTTPException as e:
+                raise OSError(str(e)) from e
 
         return Response(reply.headers.get("content-type"), body)
 
@@ -129,12 +150,17 @@ def fetch(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            done = [fetch_one(u, fetcher, attempts, delay) for u in batch[url]]
-            yield batch.assign(
-                download_status=[s for s, _, _ in done],
-                _content_type=[t for _, t, _ in done],
-                content=[b for _, _, b in done],
-            )
+            done, held, start = [], 0, 0
+            for i, u in enumerate(batch[url]):
+                done.append(fetch_one(u, fetcher, attempts, delay))
+                held += len(done[-1][2] or b"")
+                # Bodies leave the task as soon as they add up, however many rows the batch has.
+                if held >= FLUSH_BYTES or i == len(batch) - 1:
+                    status, kind, content = zip(*done)
+                    yield batch.iloc[start : i + 1].assign(
+                        download_status=list(status), _content_type=list(kind), content=list(content)
+                    )
+                    done, held, start = [], 0, i + 1
 
     spread = df.repartition(tasks, key) if tasks else df
     name = blob_name(key, extension_for("_content_type", unknown=unknown_extension))

@@ -191,3 +191,20 @@ def test_table_checks(spark, tmp_path):
     assert [r["k"] for r in tables.read_table(spark, str(tmp_path / "t"), "val", ["k"]).collect()] == [2]
     assert tables.extended(df.schema, "image_path").names == ["k", "split", "image_path"]
     assert df.schema.names == ["k", "split"]
+
+
+def test_fetcher_speaks_http_only():
+    from captrellis.sources.fetch import FetchError, http_fetcher
+
+    for url in ("file:///etc/hostname", "ftp://x/y", "data:text/plain,a", "x", "HTTP:/"):
+        with pytest.raises(FetchError):
+            http_fetcher(1)(url, 0)
+
+
+def test_fetch_hands_bodies_on_as_they_add_up(spark, monkeypatch):
+    from captrellis.sources import fetch as stage
+
+    monkeypatch.setattr(stage, "FLUSH_BYTES", 10)
+    df = spark.createDataFrame([(i, f"http://h/{i}") for i in range(20)], "k long, image_url string").coalesce(1)
+    out = stage.fetch(df, lambda url, attempt: stage.Response("image/png", b"1234"), "k").collect()
+    assert sorted(r.k for r in out) == list(range(20)) and all(bytes(r.content) == b"1234" for r in out)

@@ -89,3 +89,17 @@ def test_custom_collate_and_map(spark):
     assert sorted((r["batch_id"], r["width"]) for r in got) == [(0, 3), (1, 2), (2, 1)]
     doubled = map_rows(spark.range(5), lambda pdf: pdf.assign(id=pdf["id"] * 2), "id long", tasks=2, key=["id"])
     assert sorted(r["id"] for r in doubled.collect()) == [0, 2, 4, 6, 8]
+
+
+def test_special_tokens_are_not_ranked_again(spark):
+    df = spark.createDataFrame([(1, ["<image>", "a", "cat", "a"])], "k long, t array<string>")
+    vocab = batching.build_vocab(df, "t")
+    assert vocab.groupBy("token").count().where("count > 1").isEmpty()
+    assert batching.encode(df, vocab, ["k"], "t").first().ids == [2, 3, 4, 3]
+
+
+def test_repeated_keys_are_an_error(spark):
+    df = spark.createDataFrame([(1, ["a"]), (1, ["b"])], "k long, t array<string>")
+    vocab = batching.build_vocab(df, "t")
+    with pytest.raises(Exception, match="repeated key"):
+        batching.encode(df, vocab, ["k"], "t").collect()

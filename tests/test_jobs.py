@@ -87,3 +87,10 @@ def test_stateless_operators_on_a_stream(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out"))
     batch = jobs.chat_samples(rows, "id").select("id", chat.render(F.col("messages")).alias("text"))
     assert sorted(got.collect()) == sorted(batch.collect())
+
+
+def test_image_marker_is_no_pattern(spark):
+    from captrellis.plans.jobs import image_tokens
+
+    df = spark.createDataFrame([("[IMG]MIG a",)], "p string")
+    assert df.select(image_tokens("p", marker="[IMG]").alias("t")).first().t == ["[IMG]", "mig", "a"]

@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 EPSILON = 1e-5
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
+def as_matrix(column: pa.Array, width: int) -> np.ndarray:
     """Rows of a list column as a float64 matrix; every row must have ``width`` numbers."""
     lengths = column.value_lengths().to_numpy(zero_copy_only=False)
     if column.null_count or (lengths != width).any():
@@ -22,7 +22,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
-def _rows(matrix: np.ndarray) -> pa.Array:
+def as_rows(matrix: np.ndarray) -> pa.Array:
     n, width = matrix.shape
     offsets = pa.array(np.arange(0, (n + 1) * width, width, dtype=np.int32))
     return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(matrix).ravel()))
@@ -33,7 +33,7 @@ def per_batch(fn: Callable[[np.ndarray], np.ndarray], width: int) -> Callable[[C
 
     @F.arrow_udf(ArrayType(DoubleType()))
     def run(v: pa.Array) -> pa.Array:
-        return _rows(fn(_matrix(v, width)))
+        return as_rows(fn(as_matrix(v, width)))
 
     return run
 

@@ -12,8 +12,8 @@ from captrellis.operators.skew import HOT_ROWS, lookup
 
 IGNORED_LABEL = -100
 
-#: Largest vocabulary that is broadcast; about 40 MB of words and ids.
-BROADCAST_WORDS = 500_000
+#: Largest vocabulary that is broadcast, measured in bytes of its words and ids.
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 # Special tokens in front of every vocabulary; the id is the position.
 SPECIAL_TOKENS = ["<pad>", "<unk>", "<image>"]
@@ -60,26 +60,27 @@ def build_vocab(df: DataFrame, tokens: str) -> DataFrame:
     first = len(SPECIAL_TOKENS)
     ids = ranked.select(
         "token",
-        (F.col("_before") + F.col("_pos") - 1 + first).cast("int").alias("id"),
+        (F.col("_before") + F.col("_pos") - 1 + first).cast("bigint").alias("id"),
         F.lit(False).alias("is_special"),
         "uses",
     )
     specials = df.sparkSession.createDataFrame(
         [(t, i, True, 0) for i, t in enumerate(SPECIAL_TOKENS)],
-        "token string, id int, is_special boolean, uses bigint",
+        "token string, id bigint, is_special boolean, uses bigint",
     )
     return specials.unionByName(ids)
 
 
 def _find(
-    long: DataFrame, table: DataFrame, key: str, value: str, spread_by: list[str], broadcast_words: int, threshold: int
+    long: DataFrame, table: DataFrame, key: str, value: str, spread_by: list[str], broadcast_bytes: int, threshold: int
 ) -> DataFrame:
-    """Left join of ``long`` with ``table``: broadcast up to ``broadcast_words`` rows, else shuffled.
+    """Left join of ``long`` with ``table``: broadcast up to ``broadcast_bytes``, else shuffled.
 
     The shuffled way spreads hot words evenly (``lookup``), for which it counts
     the words of ``long`` first.
     """
-    if table.limit(broadcast_words + 1).count() <= broadcast_words:
+    size = table.agg(F.sum(F.octet_length(F.concat_ws("", key, value)) + 32).alias("bytes")).first()["bytes"] or 0
+    if size <= broadcast_bytes:
         return long.join(F.broadcast(table), key, "left")
     uses = long.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_uses"))
     return lookup(long, table.join(uses, key), key, value, spread_by, uses="_uses", threshold=threshold)
@@ -101,7 +102,7 @@ def encode(
     tokens: Column | str,
     ids: str = "ids",
     unk_id: int = UNK_ID,
-    broadcast_words: int = BROADCAST_WORDS,
+    broadcast_bytes: int = BROADCAST_BYTES,
     threshold: int = HOT_ROWS,
 ) -> DataFrame:
     """``keys, ids``: token arrays as id arrays in the same order; unknown tokens give ``unk_id``.
@@ -115,7 +116,7 @@ def encode(
     keys = list(keys)
     long = df.repartition(*keys).select(*keys, F.posexplode_outer(tokens).alias("_pos", "_token"))
     table = vocab.select(F.col("token").alias("_token"), F.col("id").alias("_id"))
-    found = _find(long, table, "_token", "_id", [*keys, "_pos"], broadcast_words, threshold)
+    found = _find(long, table, "_token", "_id", [*keys, "_pos"], broadcast_bytes, threshold)
     known = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("_id", F.lit(unk_id)).alias("id")))
     return (
         found.groupBy(*keys)
@@ -130,14 +131,14 @@ def decode(
     keys: Sequence[str],
     ids: str = "ids",
     text: str = "text",
-    broadcast_words: int = BROADCAST_WORDS,
+    broadcast_bytes: int = BROADCAST_BYTES,
     threshold: int = HOT_ROWS,
 ) -> DataFrame:
     """``keys, text``: id arrays as words joined by one space, special tokens left out."""
     keys = list(keys)
     long = df.repartition(*keys).select(*keys, F.posexplode_outer(ids).alias("_pos", "_id")).withColumn("_key", F.col("_id").cast("string"))
     words = vocab.where(~F.col("is_special")).select(F.col("id").cast("string").alias("_key"), F.col("token").alias("_token"))
-    found = _find(long, words, "_key", "_token", [*keys, "_pos"], broadcast_words, threshold)
+    found = _find(long, words, "_key", "_token", [*keys, "_pos"], broadcast_bytes, threshold)
     word = F.when(F.col("_token").isNotNull(), F.struct("_pos", F.col("_token").alias("token")))
     return (
         found.groupBy(*keys)

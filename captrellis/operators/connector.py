@@ -6,18 +6,22 @@ vector belongs, so nothing depends on row order or on a dense tensor.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from captrellis.functions.vectors import is_zero, layer_norm_matrix, per_batch, softmax_matrix
+from captrellis.functions.vectors import as_matrix, as_rows, is_zero, layer_norm_matrix, per_batch
 from captrellis.operators.skew import HOT_ROWS, salted_join
+from captrellis.session import stage
 from captrellis.sources.tables import require_columns
 
-#: Largest codebook (bytes as float64) that is copied to every executor.
-BROADCAST_BYTES = 512 * 1024 * 1024
+#: Bytes of the codebook that are broadcast at a time.
+BLOCK_BYTES = 64 * 1024 * 1024
+#: Vectors and codes of one matrix product: 16 MB of logits.
+ROWS, CODES = 1024, 2048
 #: A window of a running count spans 2 ** CHUNK_BITS neighbouring positions or ids.
 CHUNK_BITS = 16
 
@@ -66,116 +70,83 @@ def patch_merge(
     )
 
 
-def codebook_matrices(
-    codes: DataFrame, limit_bytes: int = BROADCAST_BYTES
-) -> tuple[np.ndarray, np.ndarray] | None:
-    """``(logit rows, code rows)`` ordered by ``code_id``, or None beyond ``limit_bytes``.
-
-    A codebook is a model's vocabulary, so its size does not follow the data; it
-    is measured all the same before anything leaves the executors.
-    """
-    columns = [_logit_column(codes), "vec"]
-    size = codes.agg(
-        F.sum(sum(F.size(c).cast("bigint") * 8 for c in dict.fromkeys(columns))).alias("bytes")
-    ).first()["bytes"]
-    if not size:
-        raise ValueError("codebook is empty")
-    if size > limit_bytes:
-        return None
-    frame = codes.select("code_id", *dict.fromkeys(columns)).toPandas().sort_values("code_id")
-    return tuple(np.stack([np.asarray(v, dtype=np.float64) for v in frame[c]]) for c in columns)
-
-
 def _logit_column(codes: DataFrame) -> str:
     """Rows of the output projection; by default the codes themselves."""
     return "logit_vec" if "logit_vec" in codes.columns else "vec"
 
 
+def code_blocks(codes: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(logit rows, code rows)`` in order of ``code_id``, at most ``block_bytes`` (or one code) at a time."""
+    rows: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
+    ordered = codes.orderBy("code_id").select(F.col(_logit_column(codes)).alias("logit"), F.col("vec").alias("code"))
+    for row in ordered.toLocalIterator():
+        pair = np.asarray(row["logit"], dtype=np.float64), np.asarray(row["code"], dtype=np.float64)
+        size = pair[0].nbytes + pair[1].nbytes
+        if rows and held + size > block_bytes:
+            yield np.stack([r[0] for r in rows]), np.stack([r[1] for r in rows])
+            rows, held = [], 0
+        rows.append(pair)
+        held += size
+    if rows:
+        yield np.stack([r[0] for r in rows]), np.stack([r[1] for r in rows])
+
+
 def soft_assign(
-    vectors: DataFrame,
-    codes: DataFrame,
-    key: str,
-    vec: str = "vec",
-    limit_bytes: int = BROADCAST_BYTES,
-    block_codes: int = 8192,
-    slice_rows: int = 20_000,
+    vectors: DataFrame, codes: DataFrame, key: str, vec: str = "vec", block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """``key, soft``: softmax over all codes, then the weighted sum of code vectors.
 
     ``codes(code_id, vec[, logit_vec])``: a vector's logit for a code is its
-    inner product with ``logit_vec``, or with ``vec`` if there is none. A codebook
-    within ``limit_bytes`` is multiplied in place, batch by batch, without a
-    shuffle; a larger one goes through blocks. ``key`` is unique.
+    inner product with ``logit_vec``, or with ``vec`` if there is none.
+
+    The codebook passes over the vectors in broadcast blocks of ``block_bytes``, so
+    neither the driver nor a task ever holds more of it. Each vector carries its
+    largest logit so far, the sum of exponentials and the weighted code sum; a
+    later block rescales them. Vectors are not shuffled. Between two blocks they
+    are staged, so a lost executor repeats one block at most.
     """
-    book = codebook_matrices(codes, limit_bytes)
-    if book is None:
-        return soft_assign_blocks(vectors, codes, key, vec, block_codes, slice_rows)
-    logit, code = book
-    run = per_batch(lambda x: softmax_matrix(x @ logit.T) @ code, logit.shape[1])
-    return vectors.select(key, run(F.col(vec)).alias("soft"))
+    state = None
+    for logit, code in code_blocks(codes, block_bytes):
+        if state is None:
+            zero = F.array_repeat(F.lit(0.0), code.shape[1])
+            state = vectors.select(
+                F.col(key).alias("_key"),
+                F.col(vec).cast("array<double>").alias("_vec"),
+                F.lit(float("-inf")).alias("_m"),
+                F.lit(0.0).alias("_s"),
+                zero.alias("_v"),
+            )
+        else:
+            state = stage(state, "soft-assign")
+        state = _pass_block(state, vectors.sparkSession.sparkContext.broadcast((logit, code)))
+    if state is None:
+        raise ValueError("codebook is empty")
+    return state.select(F.col("_key").alias(key), F.transform("_v", lambda x: x / F.col("_s")).alias("soft"))
 
 
-def soft_assign_blocks(
-    vectors: DataFrame, codes: DataFrame, key: str, vec: str = "vec", block_codes: int = 8192, slice_rows: int = 20_000
-) -> DataFrame:
-    """:func:`soft_assign` for a codebook that fits no executor.
+def _pass_block(state: DataFrame, block) -> DataFrame:
+    """The running softmax of every vector, carried on over one block of codes."""
+    names = state.columns
 
-    Vectors fall into even slices and codes into blocks; every (slice, block)
-    cell is one bounded task input and yields, per vector, the running maximum,
-    the sum of exponentials and the weighted code sum. Partial results of a
-    vector, one per block, are rescaled to the common maximum and added.
-    """
-    n_codes, n_vectors = codes.count(), vectors.count()
-    blocks = max(1, -(-n_codes // block_codes))
-    slices = max(1, -(-n_vectors // slice_rows))
-    left = vectors.select(
-        F.col(key).alias("_key"),
-        F.col(vec).alias("_vec"),
-        F.pmod(F.xxhash64(key), F.lit(slices)).alias("_slice"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"),
-    )
-    right = codes.select(
-        F.col("vec").alias("_code"),
-        F.col(_logit_column(codes)).alias("_logit"),
-        F.pmod(F.xxhash64("code_id"), F.lit(blocks)).cast("int").alias("_block"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint"))).alias("_slice"),
-    )
-    schema = StructType(
-        [
-            StructField("_key", vectors.schema[key].dataType),
-            StructField("_m", DoubleType()),
-            StructField("_s", DoubleType()),
-            StructField("_v", ArrayType(DoubleType())),
-        ]
-    )
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logit, code = block.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                x, v = as_matrix(part.column("_vec"), logit.shape[1]), as_matrix(part.column("_v"), code.shape[1])
+                m, s = (part.column(c).to_numpy(zero_copy_only=False).copy() for c in ("_m", "_s"))
+                for first in range(0, len(logit), CODES):
+                    logits = x @ logit[first : first + CODES].T
+                    top = np.maximum(m, logits.max(axis=1))
+                    shrink = np.exp(m - top)
+                    p = np.exp(logits - top[:, None])
+                    m, s = top, s * shrink + p.sum(axis=1)
+                    v = v * shrink[:, None] + p @ code[first : first + CODES]
+                columns = [part.column("_key"), part.column("_vec"), pa.array(m), pa.array(s), as_rows(v)]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    def cell(vecs: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        if vecs.empty or block.empty:
-            return pd.DataFrame({"_key": [], "_m": [], "_s": [], "_v": []}, dtype=object)
-        x = np.stack([np.asarray(v, dtype=np.float64) for v in vecs["_vec"]])
-        e = np.stack([np.asarray(v, dtype=np.float64) for v in block["_code"]])
-        logits = x @ np.stack([np.asarray(v, dtype=np.float64) for v in block["_logit"]]).T
-        m = logits.max(axis=1)
-        p = np.exp(logits - m[:, None])
-        return pd.DataFrame({"_key": vecs["_key"], "_m": m, "_s": p.sum(axis=1), "_v": list(p @ e)})
-
-    partial = left.groupBy("_slice", "_block").cogroup(right.groupBy("_slice", "_block")).applyInPandas(cell, schema)
-    # At most one partial result per block and vector.
-    merged = partial.groupBy("_key").agg(F.collect_list(F.struct("_m", "_s", "_v")).alias("_parts"))
-    top = F.array_max(F.transform("_parts", lambda q: q["_m"]))
-    width = F.size(F.get(F.col("_parts"), 0)["_v"])
-    total = F.aggregate("_parts", F.lit(0.0), lambda s, q: s + q["_s"] * F.exp(q["_m"] - F.col("_top")))
-    summed = F.aggregate(
-        "_parts",
-        F.array_repeat(F.lit(0.0), width),
-        lambda s, q: F.zip_with(s, q["_v"], lambda a, b: a + b * F.exp(q["_m"] - F.col("_top"))),
-    )
-    return (
-        merged.withColumn("_top", top)
-        .withColumn("_total", total)
-        .withColumn("_sum", summed)
-        .select(F.col("_key").alias(key), F.transform("_sum", lambda x: x / F.col("_total")).alias("soft"))
-    )
+    return state.mapInArrow(apply, state.schema)
 
 
 def align(
@@ -185,7 +156,7 @@ def align(
     w1: np.ndarray,
     b1: np.ndarray | None = None,
     side: Column | int | None = None,
-    limit_bytes: int = BROADCAST_BYTES,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """The whole connector: patch merge, projection, layer norm, logits, softmax, weighted code sum.
 
@@ -198,7 +169,7 @@ def align(
     merged = patch_merge(patches, scale, side).select(
         F.struct("image_id", "patch_idx").alias("at"), hidden(F.col("vec")).alias("vec")
     )
-    return soft_assign(merged, codes, "at", limit_bytes=limit_bytes).select("at.image_id", "at.patch_idx", "soft")
+    return soft_assign(merged, codes, "at", block_bytes=block_bytes).select("at.image_id", "at.patch_idx", "soft")
 
 
 def check_image_tokens(tokens: DataFrame, image_token_id: int, patch_size: int) -> DataFrame:

@@ -1,8 +1,8 @@
 """Joins that stay balanced when a few keys own a large share of the rows.
 
 The hot set is the top :data:`MAX_HOT` keys by row count. Its size is therefore
-bounded whatever the data, so broadcasting it is safe; and a key outside it
-holds at most ``1 / MAX_HOT`` of all rows. The hot set steers *where* rows go,
+bounded whatever the data, so broadcasting it is safe; a key outside it holds at
+most ``1 / MAX_HOT`` of all rows, and adaptive execution splits what that leaves. The hot set steers *where* rows go,
 never *which* rows are kept: results are the same with any threshold.
 """
 
@@ -13,8 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_HOT = 1024
-MAX_SALTS = 4096
+MAX_HOT = 65_536
 #: Rows of one key that a single task may comfortably hold.
 HOT_ROWS = 1_000_000
 
@@ -29,7 +28,7 @@ def _hot(counts: DataFrame, keys: Sequence[str], threshold: int) -> DataFrame:
         counts.where(F.col("rows") > threshold)
         .orderBy(F.col("rows").desc())
         .limit(MAX_HOT)
-        .select(*keys, F.least(F.ceil(F.col("rows") / threshold), F.lit(MAX_SALTS)).cast("int").alias("_salts"))
+        .select(*keys, F.ceil(F.col("rows") / threshold).cast("int").alias("_salts"))
     )
 
 

@@ -10,7 +10,7 @@ from captrellis.operators import cider
 from captrellis.operators.skew import salted_join
 from captrellis.plans.jobs import evaluate_captions
 from captrellis.queries.twins import cider_scores, cider_tables, tok
-from captrellis.sources.tables import read_spread
+from captrellis.sources.tables import read_table
 
 
 def conversation_captions(spark: SparkSession, d: str) -> cider.Captions:
@@ -46,7 +46,7 @@ def cider_corpus(spark: SparkSession, d: str) -> DataFrame:
 
 def cider_perturbed(spark: SparkSession, d: str) -> DataFrame:
     """Every fifth token of a document changed, scored against the document itself."""
-    docs = read_spread(spark, f"{d}/documents.parquet", "doc_id")
+    docs = read_table(spark, f"{d}/documents.parquet")
     changed = F.transform(tokens("text"), lambda t, i: F.when(i % 5 == 4, F.concat(t, F.lit("x"))).otherwise(t))
     items = docs.select(
         F.col("doc_id").alias("item_id"), F.array_join(changed, " ").alias("pred"), F.array("text").alias("refs")
@@ -55,7 +55,7 @@ def cider_perturbed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def caption_tokens(spark: SparkSession, d: str) -> DataFrame:
-    docs = read_spread(spark, f"{d}/documents.parquet", "doc_id").select("doc_id", tokens("text").alias("t"))
+    docs = read_table(spark, f"{d}/documents.parquet").select("doc_id", tokens("text").alias("t"))
     return docs.select(
         "doc_id", F.size("t").cast("bigint").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens_md5")
     )
@@ -99,7 +99,7 @@ def toy_captioner():
 
 def evaluate_end_to_end(spark: SparkSession, d: str) -> DataFrame:
     """The lines of a document are its reference captions; the toy predictor names the words of the first line."""
-    docs = read_spread(spark, f"{d}/documents.parquet", "doc_id")
+    docs = read_table(spark, f"{d}/documents.parquet")
     lines = F.filter(F.split("text", "\n", -1), lambda x: x != "")
     items = (
         docs.select(F.col("doc_id").alias("item_id"), lines.alias("answer"))

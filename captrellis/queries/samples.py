@@ -19,8 +19,8 @@ from captrellis.sources.tables import read_table
 SEED = 5
 
 
-def dialogues(spark: SparkSession, d: str) -> DataFrame:
-    """``conv_id, user, assistant``: the first user turn that an assistant turn follows directly.
+def pairs(spark: SparkSession, d: str) -> DataFrame:
+    """``conv_id, turn, user, assistant``: every user turn that an assistant turn follows directly.
 
     Turns meet by ``(conv_id, turn)``, which is unique, so a very long
     conversation is spread like any other rows.
@@ -30,7 +30,12 @@ def dialogues(spark: SparkSession, d: str) -> DataFrame:
         "conv_id", "turn", "user"
     )
     told = turns.where(F.col("role") == "assistant").select("conv_id", "turn", F.col("text").alias("assistant"))
-    return first_k(asked.join(told, ["conv_id", "turn"]), ["conv_id"], ["turn"], 1).select("conv_id", "user", "assistant")
+    return asked.join(told, ["conv_id", "turn"])
+
+
+def dialogues(spark: SparkSession, d: str) -> DataFrame:
+    """``conv_id, user, assistant``: the pair that a sample is built from, the first of its conversation."""
+    return first_k(pairs(spark, d), ["conv_id"], ["turn"], 1).select("conv_id", "user", "assistant")
 
 
 def mixed_samples(spark: SparkSession, d: str) -> DataFrame:
@@ -56,9 +61,10 @@ def prompt_choice(spark: SparkSession, d: str) -> DataFrame:
 
 
 def few_shot_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Two conversations drawn for every conversation."""
-    drawn = ordering.few_shot_draws(dialogues(spark, d).select("conv_id"), "conv_id", 2, SEED)
-    return drawn.select("conv_id", F.col("shot").cast("bigint").alias("shot"), "shot_conv_id")
+    """Two pairs of turns drawn for every pair of turns."""
+    named = pairs(spark, d).select(F.concat_ws(":", "conv_id", "turn").alias("pair_id"))
+    drawn = ordering.few_shot_draws(named, "pair_id", 2, SEED)
+    return drawn.select("pair_id", F.col("shot").cast("bigint").alias("shot"), "shot_pair_id")
 
 
 def _exploded(samples: DataFrame, key: str) -> DataFrame:
@@ -182,20 +188,20 @@ def label_mask(spark: SparkSession, d: str) -> DataFrame:
 
 
 def trim_decode(spark: SparkSession, d: str) -> DataFrame:
-    """Output ids are prompt and answer of a dialogue; the prompt is cut off and the rest read back."""
+    """Output ids are prompt and answer of a pair of turns; the prompt is cut off and the rest read back."""
     vocab = _vocab(spark, d)
-    said = dialogues(spark, d).select("conv_id", F.explode(F.array(
+    said = pairs(spark, d).select("conv_id", "turn", F.explode(F.array(
         F.struct(F.lit("in").alias("part"), tokens("user").alias("t")),
         F.struct(F.lit("out").alias("part"), F.concat(tokens("user"), F.array(F.lit("<pad>")), tokens("assistant")).alias("t")),
-    )).alias("p")).select("conv_id", "p.part", "p.t")
-    ids = batching.encode(said, vocab, ["conv_id", "part"], "t")
-    both = ids.groupBy("conv_id").agg(
+    )).alias("p")).select("conv_id", "turn", "p.part", "p.t")
+    ids = batching.encode(said, vocab, ["conv_id", "turn", "part"], "t")
+    both = ids.groupBy("conv_id", "turn").agg(
         F.max(F.when(F.col("part") == "in", F.col("ids"))).alias("input_ids"),
         F.max(F.when(F.col("part") == "out", F.col("ids"))).alias("output_ids"),
     )
-    trimmed = both.select("conv_id", batching.trim_prompt("output_ids", "input_ids").alias("ids"))
-    text = batching.decode(trimmed, vocab, ["conv_id"])
-    return text.select("conv_id", F.length("text").cast("bigint").alias("length"), F.md5("text").alias("text_md5"))
+    trimmed = both.select("conv_id", "turn", batching.trim_prompt("output_ids", "input_ids").alias("ids"))
+    text = batching.decode(trimmed, vocab, ["conv_id", "turn"])
+    return text.select("conv_id", F.col("turn").cast("bigint").alias("turn"), F.length("text").cast("bigint").alias("length"), F.md5("text").alias("text_md5"))
 
 
 def toy_reverser():
@@ -235,14 +241,16 @@ def _prompt(key: str) -> str:
     return f"{_PROMPTS}[{draw(len(chat.PROMPTS), SEED, key)} + 1]"
 
 
-_DIALOGUES = """
+_PAIRS = """
+    pairs AS (
+      SELECT u.conv_id, a.turn, u.conv_id || ':' || a.turn AS pair_id, u.text AS user_text, a.text AS assistant
+      FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+      WHERE u.role = 'user' AND a.role = 'assistant'
+    )"""
+
+_DIALOGUES = f"""{_PAIRS},
     dialogues AS (
-      SELECT conv_id, user_text, assistant FROM (
-        SELECT u.conv_id, u.text AS user_text, a.text AS assistant,
-               row_number() OVER (PARTITION BY u.conv_id ORDER BY u.turn) AS k
-        FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
-        WHERE u.role = 'user' AND a.role = 'assistant'
-      ) WHERE k = 1
+      SELECT conv_id, user_text, assistant FROM pairs QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1
     )"""
 
 _MIXED = f"""{_DIALOGUES},
@@ -314,11 +322,11 @@ _EOT = "'<end_of_utterance>' || chr(10)"
 
 ORACLES = {
     "prompt_choice": f"SELECT doc_id, {_prompt('doc_id')} AS prompt FROM documents",
-    "few_shot_pairs": f"""WITH {_DIALOGUES},
-        numbered AS (SELECT conv_id, row_number() OVER (ORDER BY {order_key(SEED, 'conv_id')}) AS rn, count(*) OVER () AS n FROM dialogues),
-        asked AS (SELECT conv_id, n, unnest([1, 2])::BIGINT AS shot FROM numbered)
-        SELECT a.conv_id, a.shot, s.conv_id AS shot_conv_id
-        FROM asked a JOIN numbered s ON s.rn = {draw('a.n', SEED, 'a.conv_id', 'a.shot')} + 1""",
+    "few_shot_pairs": f"""WITH {_PAIRS},
+        numbered AS (SELECT pair_id, row_number() OVER (ORDER BY {order_key(SEED, 'pair_id')}) AS rn, count(*) OVER () AS n FROM pairs),
+        asked AS (SELECT pair_id, n, unnest([1, 2])::BIGINT AS shot FROM numbered)
+        SELECT a.pair_id, a.shot, s.pair_id AS shot_pair_id
+        FROM asked a JOIN numbered s ON s.rn = {draw('a.n', SEED, 'a.pair_id', 'a.shot')} + 1""",
     "chat_samples": f"""WITH {_MIXED}
         SELECT id, 0::BIGINT AS msg, 'system' AS role, 0::BIGINT AS element, 'text' AS type, NULL::VARCHAR AS image, md5({_SYSTEM}) AS text_md5 FROM mixed
         UNION ALL SELECT id, 1, 'user', 0, 'image', image, NULL FROM mixed
@@ -349,13 +357,14 @@ ORACLES = {
         )
         SELECT doc_id, len(list_filter(labels, lambda x: x = -100))::BIGINT AS n_ignored, md5(array_to_string(labels, ',')) AS labels_md5
         FROM masked""",
-    "trim_decode": f"""WITH {_DIALOGUES}, {_VOCAB},
+    "trim_decode": f"""WITH {_PAIRS}, {_VOCAB},
         spread AS (
-          SELECT conv_id, unnest(t) AS token, unnest(range(len(t))) AS pos FROM (SELECT conv_id, {tok('assistant')} AS t FROM dialogues)
+          SELECT conv_id, turn, unnest(t) AS token, unnest(range(len(t))) AS pos
+          FROM (SELECT conv_id, turn, {tok('assistant')} AS t FROM pairs)
         ),
-        joined AS (SELECT conv_id, string_agg(token, ' ' ORDER BY pos) AS text FROM spread JOIN vocab USING (token) GROUP BY 1)
-        SELECT conv_id, length(coalesce(text, ''))::BIGINT AS length, md5(coalesce(text, '')) AS text_md5
-        FROM dialogues LEFT JOIN joined USING (conv_id)""",
+        joined AS (SELECT conv_id, turn, string_agg(token, ' ' ORDER BY pos) AS text FROM spread JOIN vocab USING (token) GROUP BY 1, 2)
+        SELECT conv_id, turn::BIGINT AS turn, length(coalesce(text, ''))::BIGINT AS length, md5(coalesce(text, '')) AS text_md5
+        FROM pairs LEFT JOIN joined USING (conv_id, turn)""",
     "batch_predict": f"""WITH p AS (SELECT doc_id, array_to_string(list_reverse({tok('text')}), ' ') AS pred FROM documents)
         SELECT doc_id, length(pred)::BIGINT AS length, md5(pred) AS pred_md5 FROM p""",
 }

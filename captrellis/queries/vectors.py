@@ -70,6 +70,12 @@ def soft_assign(spark: SparkSession, d: str) -> DataFrame:
     return _long(connector.soft_assign(vectors, centroids(vectors), "vec_id"), ["vec_id"], "soft")
 
 
+def soft_assign_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """As :func:`soft_assign`, with two codes to a block: results are carried on from block to block."""
+    vectors = _vectors(spark, d)
+    return _long(connector.soft_assign(vectors, centroids(vectors), "vec_id", block_bytes=4 * 8 * WIDTH), ["vec_id"], "soft")
+
+
 def _sequences(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Token sequences and the feature blocks their image tokens refer to.
 
@@ -157,6 +163,7 @@ QUERIES = {
     "patch_merge": patch_merge,
     "project_norm": project_norm,
     "soft_assign": soft_assign,
+    "soft_assign_blocks": soft_assign_blocks,
     "scatter_merge": scatter_merge,
     "surplus_blocks": surplus_blocks,
     "drop_zero_vectors": drop_zero_vectors,
@@ -228,3 +235,4 @@ ORACLES = {
         lit AS (SELECT image_id, y, x, CASE WHEN {draw(20, 'mask', 'image_id', 'y', 'x')} <> 0 THEN v > 0.2 ELSE true END AS "on" FROM cells)
         SELECT image_id, y // 3 AS ty, x // 3 AS tx, bool_or("on") AS "on" FROM lit WHERE y < 6 AND x < 6 GROUP BY ALL""",
 }
+ORACLES["soft_assign_blocks"] = ORACLES["soft_assign"]

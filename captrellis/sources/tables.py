@@ -25,16 +25,6 @@ def read_table(spark: SparkSession, path: str, split: str | None = None, columns
     return df
 
 
-def read_spread(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """Like :func:`read_table`; a table with fewer splits than cores is spread by ``key``.
-
-    Large tables have more splits than cores and are left alone.
-    """
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def write_table(df: DataFrame, path: str, mode: str = "errorifexists", partition_by: str | None = None) -> None:
     """Save prepared metadata; folders are created as needed."""
     writer = df.write.mode(mode)

@@ -17,13 +17,13 @@ def test_vocab(vocab):
     assert got == {"<pad>": 0, "<unk>": 1, "<image>": 2, "a": 3, "b": 4, "c": 5, "d": 6}
 
 
-@pytest.mark.parametrize("words", [100, 0])
-def test_encode_and_decode_both_ways(spark, vocab, words):
+@pytest.mark.parametrize("size", [10**6, 0])
+def test_encode_and_decode_both_ways(spark, vocab, size):
     """A broadcast vocabulary and a shuffled one with hot words give the same ids."""
     df = spark.createDataFrame([(1, ["<image>", "a", "zz", "b", "a"]), (2, []), (3, None), (4, ["d"] * 30)], "k long, t array<string>")
-    ids = batching.encode(df, vocab, ["k"], "t", broadcast_words=words, threshold=3)
+    ids = batching.encode(df, vocab, ["k"], "t", broadcast_bytes=size, threshold=3)
     assert {r["k"]: r["ids"] for r in ids.collect()} == {1: [2, 3, 1, 4, 3], 2: [], 3: [], 4: [6] * 30}
-    text = batching.decode(ids, vocab, ["k"], broadcast_words=words, threshold=3)
+    text = batching.decode(ids, vocab, ["k"], broadcast_bytes=size, threshold=3)
     assert {r["k"]: r["text"] for r in text.collect()} == {1: "a b a", 2: "", 3: "", 4: " ".join(["d"] * 30)}
 
 

@@ -56,19 +56,21 @@ def test_align_equals_the_dense_formula(spark):
     e, book = codes(spark, 7, 4, w2)
     m = merged_by_tensor(x, 2).reshape(-1, 12)
     want = softmax_matrix(layer_norm_matrix(m @ w1.T + b1) @ w2.T) @ e
-    for limit in (10**9, 1):  # in place, and through blocks
-        got = connector.align(df, book, 2, w1, b1, limit_bytes=limit).collect()
+    for size in (10**9, 1):  # in one block, and in a block per code
+        got = connector.align(df, book, 2, w1, b1, block_bytes=size).collect()
         assert np.allclose(stacked(got, "soft"), want, atol=1e-12)
 
 
-@pytest.mark.parametrize("block, rows", [(3, 4), (1, 100), (100, 1)])
-def test_blocked_softmax(spark, block, rows):
+@pytest.mark.parametrize("size", [1, 200, 10**6])
+def test_blocked_softmax(spark, size):
     v = RNG.normal(size=(9, 4)) * 30
     e, book = codes(spark, 10, 4)
     df = spark.createDataFrame([(i, [float(a) for a in v[i]]) for i in range(9)], "k long, vec array<double>")
-    got = {r["k"]: r["soft"] for r in connector.soft_assign_blocks(df, book, "k", block_codes=block, slice_rows=rows).collect()}
+    got = {r["k"]: r["soft"] for r in connector.soft_assign(df, book, "k", block_bytes=size).collect()}
     want = softmax_matrix(v @ e.T) @ e
     assert np.allclose([got[i] for i in range(9)], want, atol=1e-12)
+    with pytest.raises(ValueError, match="empty"):
+        connector.soft_assign(df, book.limit(0), "k")
 
 
 def test_norm_softmax_project(spark):

@@ -36,7 +36,7 @@ WORD_END = "</w>"
 #: Last symbols of words are moved to this plane, so that "a" and "a</w>" are two symbols of one character each.
 END_PLANE = 0xE000
 #: Chunks remembered by a Python worker; half of them are forgotten at a time.
-CACHED_CHUNKS = 1_000_000
+CACHED_CHUNKS = 400_000
 #: Stands for the last token of an empty prefix.
 FIRST = (1 << 20) - 1
 
@@ -104,7 +104,7 @@ class SuffixAutomaton:
 class Encoder:
     """Exact BPE for vocabularies whose words end in a marked symbol."""
 
-    def __init__(self, definition: str) -> None:
+    def __init__(self, definition: str, encodes: bool = True) -> None:
         spec = json.loads(definition)
         model = spec["model"]
         self.texts = [""] * (max([*model["vocab"].values(), *(t["id"] for t in spec["added_tokens"])]) + 1)
@@ -113,18 +113,13 @@ class Encoder:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for text, i in self.special.items():
             self.texts[i] = text
-        vocab = model["vocab"]
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         self.born: dict[int, int] = {}
-        for rank, pair in enumerate(model["merges"]):
-            left, right = pair.split(" ") if isinstance(pair, str) else pair
-            a, b, whole = vocab[left], vocab[right], vocab[left + right]
-            self.merges[a, b] = (rank, whole)
-            self.parts[whole] = (a, b)
-            self.born[whole] = rank
+        if encodes:
+            self._read_merges(model)
         self.letters = byte_letters()
-        self.vocab = vocab
+        self.vocab = model["vocab"]
         self.spelled: dict[int, bool] = {}
         self.fits: dict[int, bool] = {}
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
@@ -133,6 +128,15 @@ class Encoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _read_merges(self, model: dict) -> None:
+        vocab = model["vocab"]
+        for rank, pair in enumerate(model["merges"]):
+            left, right = pair.split(" ") if isinstance(pair, str) else pair
+            a, b, whole = vocab[left], vocab[right], vocab[left + right]
+            self.merges[a, b] = (rank, whole)
+            self.parts[whole] = (a, b)
+            self.born[whole] = rank
+
     @cached_property
     def automaton(self) -> SuffixAutomaton:
         """Automaton of all tokens; decoding does without it."""
@@ -285,11 +289,11 @@ def _definition(path: str) -> str:
         return f.read()
 
 
-def _encoder(definition) -> Encoder:
+def _encoder(definition, encodes: bool) -> Encoder:
     held = worker_cache("bpe")
-    key = hash(definition.value)
+    key = hash(definition.value), encodes
     if key not in held:
-        held[key] = Encoder(definition.value)
+        held[key] = Encoder(definition.value, encodes)
     return held[key]
 
 
@@ -303,7 +307,7 @@ def _with_column(df: DataFrame, name: str, kind, source: str, step: str, tokeniz
     arrow = pa.binary() if kind == BinaryType() else pa.string()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(definition)
+        encoder = _encoder(definition, step == "encode")
         for batch in batches:
             values = batch.column(source)
             at = done = held = 0

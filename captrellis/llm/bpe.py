@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from captrellis.llm.common import bounded_batches, worker_cache
+from captrellis.llm.common import BATCH_BYTES, bounded_batches, worker_cache
 
 #: Unicode white space, which ends a chunk, and the pattern of pieces within a chunk.
 WHITE_SPACE = "".join(
@@ -316,7 +316,7 @@ def _with_column(df: DataFrame, name: str, kind, source: str, step: str, tokeniz
                 out.append(getattr(encoder, step)(value.as_py()))
                 held += len(out[-1])
                 at += 1
-                if held > 16 * 1024 * 1024 or at == batch.num_rows:
+                if held > BATCH_BYTES or at == batch.num_rows:
                     part = batch.slice(done, at - done)
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, arrow)], [*batch.schema.names, name])
                     done, out, held = at, [], 0

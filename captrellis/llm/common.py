@@ -18,9 +18,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step works on; a longer text is a step of its own.
-SLICE_BYTES = 4 * 1024 * 1024
+SLICE_BYTES = 1024 * 1024
 #: Bytes and rows that Spark puts into one Arrow batch for a Python task.
-BATCH_BYTES = 16 * 1024 * 1024
+BATCH_BYTES = 4 * 1024 * 1024
 BATCH_ROWS = 4096
 
 #: ``A-Z`` become lower case; ASCII that is neither letter nor digit becomes a blank; other bytes stay.

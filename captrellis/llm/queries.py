@@ -17,6 +17,7 @@ from captrellis.llm.repetition import repetition_rules
 from captrellis.llm.sentences import dedup_sentences
 from captrellis.llm.toxicity import fit_toxicity, score_toxicity
 from captrellis.llm.twins import ORACLES
+from captrellis.llm.whitening import fit_whitening, fixed_point, identity_error, whiten
 
 __all__ = ["ORACLES", "QUERIES", "QUALITY_LEAST", "TOKENIZER", "training_labels"]
 
@@ -113,10 +114,28 @@ def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", fixed_point("embedding").alias("x")).where("x IS NOT NULL")
+    model = fit_whitening(vectors)
+    out = whiten(vectors, model).select("vec_id", "deviation", F.posexplode("whitened").alias("component", "whitened"))
+    if model is None:
+        return out.selectExpr("vec_id", "component", "0L AS n", "deviation", "whitened", "0D AS explained", "0D AS identity_error")
+    explained = F.lit([float(v / model.trace) if model.trace > 0 else 0.0 for v in model.values])
+    return out.select(
+        "vec_id",
+        (F.col("component") + 1).alias("component"),
+        F.lit(model.n).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(explained, F.col("component")).alias("explained"),
+        F.lit(identity_error(vectors, model)).alias("identity_error"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_bpe, op2_toxicity, op3_repetition, op4_pii, op5_licenses, op6_decontaminate, op7_sentences,
-        op8_chat_format, op9_compression, op10_bagminhash,
+        op8_chat_format, op9_compression, op10_bagminhash, op11_whitening,
     )
 }

@@ -6,7 +6,10 @@ import pytest
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 
-DATA = "/root/testdata/sf0.001"
+
+@pytest.fixture(scope="session")
+def data_dir():
+    return "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")

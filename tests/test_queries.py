@@ -7,7 +7,6 @@ import duckdb
 import pytest
 
 from check import TABLES, compare
-from conftest import DATA
 
 import __spark_entry__ as contract
 from captrellis.queries import ORACLES as CORE_ORACLES
@@ -15,16 +14,16 @@ from captrellis.queries import QUERIES as CORE
 
 
 @pytest.fixture(scope="module")
-def con():
+def con(data_dir):
     c = duckdb.connect()
     for t in TABLES:
-        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data_dir}/{t}.parquet'")
     return c
 
 
 @pytest.mark.parametrize("name", sorted(CORE))
-def test_matches_sql(spark, con, name):
-    line = compare(spark, DATA, name, con)
+def test_matches_sql(spark, con, data_dir, name):
+    line = compare(spark, data_dir, name, con)
     assert line.startswith("OK"), line
 
 
@@ -40,13 +39,13 @@ def plan(df):
 
 
 @pytest.mark.parametrize("name", ["cider_items", "few_shot_messages", "patch_merge", "scatter_merge", "soft_assign", "encode_ids"])
-def test_no_cross_join(spark, name):
-    text = plan(contract.queries()[name](spark, DATA))
+def test_no_cross_join(spark, data_dir, name):
+    text = plan(contract.queries()[name](spark, data_dir))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
-def test_sampling_is_a_filter_over_the_scan(spark):
-    text = plan(contract.queries()["exact_sample"](spark, DATA))
+def test_sampling_is_a_filter_over_the_scan(spark, data_dir):
+    text = plan(contract.queries()["exact_sample"](spark, data_dir))
     assert "Exchange" not in text and "ReadSchema: struct<doc_id:bigint,lang:string>" in text
 
 

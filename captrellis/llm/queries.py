@@ -6,23 +6,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from captrellis.llm.alignment import alignment_counts
 from captrellis.llm.bagminhash import near_duplicates
 from captrellis.llm.bpe import bpe_decode, bpe_encode
 from captrellis.llm.chat_format import format_turns, read_back
 from captrellis.llm.compression import fit_quality, score_quality
 from captrellis.llm.decontaminate import contamination
 from captrellis.llm.licenses import license_scan
+from captrellis.llm.packing import pack, token_pieces
 from captrellis.llm.pii import find_pii, fit_pii
 from captrellis.llm.repetition import repetition_rules
 from captrellis.llm.sentences import dedup_sentences
 from captrellis.llm.toxicity import fit_toxicity, score_toxicity
 from captrellis.llm.twins import ORACLES
 from captrellis.llm.whitening import fit_whitening, fixed_point, identity_error, whiten
+from captrellis.session import stage
 
 __all__ = ["ORACLES", "QUERIES", "QUALITY_LEAST", "TOKENIZER", "training_labels"]
 
-#: Vocabulary file that the encoding queries read.
+#: Vocabulary files that the encoding queries read.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER, PIECE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 QUALITY_LEAST, TOXIC_LEAST = 0.3, 0.7
 
 
@@ -132,10 +136,20 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    return alignment_counts(_table(spark, sf_dir, "documents"), BYTE_TOKENIZER, PIECE_TOKENIZER).select("doc_id", *names)
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = stage(token_pieces(_table(spark, sf_dir, "documents"), BYTE_TOKENIZER), "token-pieces")
+    return pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_bpe, op2_toxicity, op3_repetition, op4_pii, op5_licenses, op6_decontaminate, op7_sentences,
-        op8_chat_format, op9_compression, op10_bagminhash, op11_whitening,
+        op8_chat_format, op9_compression, op10_bagminhash, op11_whitening, op12_alignment, op13_packing,
     )
 }

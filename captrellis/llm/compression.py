@@ -1,8 +1,9 @@
 """Quality classifier by compression.
 
-One zstandard dictionary is built from good and one from bad labelled texts. A text is compressed with both, in
-pieces so that a dictionary counts in long texts too; how much smaller it gets with the good one, per byte, is
-calibrated to a probability by a logistic fit on labelled texts that the dictionaries have not seen.
+One zstandard dictionary is trained on pieces of good and one on pieces of bad labelled texts, both of one size. A
+text is compressed with both, in pieces so that a dictionary counts in long texts too. How much smaller the good one
+makes it, over the text's length and over its square root, is calibrated to a probability by a logistic fit on
+labelled texts that the dictionaries have not seen.
 """
 
 from __future__ import annotations
@@ -17,11 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from captrellis.llm.common import bounded_batches, share_of, slices, worker_cache
+from captrellis.session import stage
 
-#: Labelled rows per class that the fit reads, and the longest text among them, in characters.
+#: Labelled rows per class that the fit reads, and pieces of their texts per class that a dictionary is trained on.
 SAMPLE_ROWS = 2_000
-SAMPLE_CHARS = 50_000
+SAMPLE_PIECES = 8_192
 DICTIONARY_BYTES = 64 * 1024
+#: Bytes of text per byte of dictionary, where there is less text than a dictionary of full size needs.
+TEXT_PER_BYTE = 4
 PIECE_BYTES = 2048
 LEVEL = 3
 
@@ -50,31 +54,26 @@ class CompressionModel:
 
 
 def _compressor(dictionary: bytes) -> zstd.ZstdCompressor:
-    kind = zstd.DICT_TYPE_FULLDICT if dictionary[:4] == b"\x37\xa4\x30\xec" else zstd.DICT_TYPE_RAWCONTENT
-    data = zstd.ZstdCompressionDict(dictionary, dict_type=kind)
+    data = zstd.ZstdCompressionDict(dictionary, dict_type=zstd.DICT_TYPE_FULLDICT)
     return zstd.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def build_dictionary(texts: list[bytes]) -> bytes:
-    """A trained dictionary, or the newest texts themselves where there are too few to train one."""
-    pieces = [t[i : i + PIECE_BYTES] for t in texts for i in range(0, len(t), PIECE_BYTES)]
-    if sum(map(len, pieces)) > 40 * DICTIONARY_BYTES:
-        return zstd.train_dictionary(DICTIONARY_BYTES, pieces, k=64, d=8).as_bytes()
-    return b"\n".join(texts)[-DICTIONARY_BYTES:]
+def build_dictionaries(good: list[bytes], bad: list[bytes]) -> list[bytes]:
+    """A dictionary of each class, trained on all its pieces. Both have the size that the class with less text allows."""
+    text = min(sum(map(len, good)), sum(map(len, bad)))
+    size = max(1024, min(DICTIONARY_BYTES, text // TEXT_PER_BYTE))
+    # The trainer wants a few samples of some length; repeating them changes nothing that it looks for.
+    return [zstd.train_dictionary(size, pieces * max(1, -(-64 // len(pieces))), k=64, d=8).as_bytes() for pieces in (good, bad)]
 
 
 def measures(texts: list[bytes], good: zstd.ZstdCompressor, bad: zstd.ZstdCompressor) -> np.ndarray:
-    """Per text: 1, the normalised size difference, its size ratio, and the parts of both that length explains."""
-    out = np.zeros((len(texts), 7))
+    """Per text: 1, the size difference over the text's length, and over the square root of its length."""
+    out = np.zeros((len(texts), 3))
     for i, text in enumerate(texts):
-        sizes = [0, 0]
-        for at in range(0, len(text), PIECE_BYTES):
-            piece = text[at : at + PIECE_BYTES]
-            sizes[0] += len(good.compress(piece))
-            sizes[1] += len(bad.compress(piece))
+        pieces = [text[at : at + PIECE_BYTES] for at in range(0, len(text), PIECE_BYTES)]
+        difference = sum(len(bad.compress(p)) for p in pieces) - sum(len(good.compress(p)) for p in pieces)
         n = max(1, len(text))
-        difference, ratio, short = (sizes[1] - sizes[0]) / n, (sizes[0] + sizes[1]) / (2 * n), 1 / (1 + n / 200)
-        out[i] = 1, 20 * difference, 5 * ratio, short, 20 * difference * short, 5 * ratio * ratio, 100 * difference * abs(difference)
+        out[i] = 1, 20 * difference / n, difference / n**0.5
     return out
 
 
@@ -91,34 +90,52 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
     return w
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> CompressionModel:
+def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, pieces: int = SAMPLE_PIECES) -> CompressionModel:
     """Fit on at most about ``rows`` labelled documents of each class; ``labels`` has ``doc_id, label``.
 
-    Null labels and texts are left out. Which rows are chosen depends on their ids only. Even ids of a spread
-    hash build the dictionaries, the others the calibration.
+    Which rows are chosen depends on a hash of their ids only. Half of them, by another hash, build the dictionaries
+    from at most about ``pieces`` pieces of their whole texts, the others the calibration. Null labels and null or
+    empty texts are left out; a row that is repeated, in either table, counts as often as it occurs. Without texts of
+    both classes in both halves the score is the share of label 1.
     """
-    chosen = []
-    for label in (0, 1):
-        own = labels.where(F.col("label") == label)
-        chosen.append(own.where(share_of(own, "doc_id", rows)).select("doc_id", "label").limit(2 * rows))
-    sample = chosen[0].unionByName(chosen[1])
+    known = labels.where("doc_id IS NOT NULL AND label IN (0, 1)")
+    sample = [known.where(F.col("label") == v) for v in (0, 1)]
+    sample = [own.where(share_of(own, "doc_id", rows)).select("doc_id", "label") for own in sample]
     half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).alias("half")
     # The sample is bounded by rows, so it is the broadcast side.
-    read = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where(F.length("text") <= SAMPLE_CHARS)
-    held = [(r.text.encode(), r.label, r.half) for r in read.select("text", "label", half, "doc_id").orderBy("doc_id").collect()]
-    good = [t for t, label, h in held if label == 1 and h == 0]
-    bad = [t for t, label, h in held if label == 0 and h == 0]
-    rest = [(t, label) for t, label, h in held if h == 1] + [(b"", 1), (b"", 0)]
-    n_good = labels.where("label = 1").count()
-    n_bad = labels.where("label = 0").count()
+    read = docs.select("doc_id", "text").join(F.broadcast(sample[0].unionByName(sample[1])), "doc_id").where("length(text) > 0")
+    read = stage(read.select("doc_id", "text", "label", half), "quality-sample")
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    n_good, n_bad = counts.get(1, 0), counts.get(0, 0)
     prior = (n_good + 1) / (n_good + n_bad + 2)
-    if not good or not bad or len({label for _, label in rest[:-2]}) < 2:
+    cut = f"transform(sequence(0, CAST((length(text) - 1) DIV {PIECE_BYTES} AS INT)), i -> substring(text, i * {PIECE_BYTES} + 1, {PIECE_BYTES}))"
+    cut = read.where("half = 0").select("doc_id", "label", F.posexplode(F.expr(cut)).alias("place", "piece"))
+    held = []
+    for v in (1, 0):
+        own = cut.where(F.col("label") == v)
+        chosen = own.where(share_of(own, F.struct("doc_id", "place"), pieces)).orderBy("doc_id", "place", "piece")
+        held.append([r["piece"].encode() for r in chosen.select("piece").collect()])
+    if not all(held):
         return CompressionModel(b"", b"", None, prior)
-    model = CompressionModel(build_dictionary(good), build_dictionary(bad), None, prior)
-    y = np.array([label for _, label in rest], float)
+    model = CompressionModel(*build_dictionaries(*held), None, prior)
+    bounded_batches(docs.sparkSession)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                found = measures([t.encode() for t in part.column("text").to_pylist()], *model.compressors())
+                yield pa.RecordBatch.from_arrays([part.column("label"), *map(pa.array, found.T[1:])], ["label", "a", "b"])
+
+    # Texts stay in the tasks: only three numbers of each come back.
+    seen = read.where("half = 1").select("text", F.col("label").cast("int").alias("label")).mapInArrow(measure, "label int, a double, b double")
+    seen = np.array(sorted((r.label, 1.0, r.a, r.b) for r in seen.collect())).reshape(-1, 4)
+    y, x = seen[:, 0], seen[:, 1:]
+    if len(set(y)) < 2:
+        return CompressionModel(b"", b"", None, prior)
+    # An empty text tells nothing: it gets the share of label 1.
+    y, x = np.concatenate([y, [1, 0]]), np.vstack([x, [[1, 0, 0]] * 2])
     # Classes were sampled to equal sizes: weight them back, so that the score is a probability of this corpus.
-    weight = np.where(y == 1, prior / max(1, y.sum()), (1 - prior) / max(1, (1 - y).sum())) * len(y)
-    x = measures([t for t, _ in rest], *[_compressor(d) for d in (model.good, model.bad)])
+    weight = np.where(y == 1, prior / y.sum(), (1 - prior) / (1 - y).sum()) * len(y)
     model.weights = fit_logistic(x, y, weight)
     return model
 

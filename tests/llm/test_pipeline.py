@@ -58,8 +58,8 @@ def by_hand_quality(text, model):
     good, bad = model.compressors()
     sizes = [sum(len(c.compress(data[i : i + PIECE_BYTES])) for i in range(0, len(data), PIECE_BYTES)) for c in (good, bad)]
     n = max(1, len(data))
-    d, r, s = (sizes[1] - sizes[0]) / n, sum(sizes) / (2 * n), 1 / (1 + n / 200)
-    z = float(np.dot([1, 20 * d, 5 * r, s, 20 * d * s, 5 * r * r, 100 * d * abs(d)], model.weights))
+    d = sizes[1] - sizes[0]
+    z = float(np.dot([1, 20 * d / n, d / n**0.5], model.weights))
     return 1 / (1 + np.exp(-z))
 
 

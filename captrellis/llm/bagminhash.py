@@ -112,8 +112,18 @@ def _arrivals(row, seed, count, low, width, limit, best, registers) -> None:
         step += 1
 
 
-def sketch(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: int = BANDS, band_rows: int = ROWS) -> DataFrame:
-    """``key, digest, n_shingles, keys``: the multiset's 128-bit digest, its size and one 64-bit key per band."""
+def _digests(rows: np.ndarray, grams: np.ndarray, counts: np.ndarray, n: int) -> list[str]:
+    """128-bit digest of each multiset."""
+    borders = np.searchsorted(rows, np.arange(n + 1))
+    both = np.stack([grams, counts.astype(np.uint64)], axis=1)
+    return [xxhash.xxh3_128_hexdigest(both[a:b].tobytes()) for a, b in zip(borders[:-1], borders[1:])]
+
+
+def sketch(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: int = BANDS, band_rows: int = ROWS, also: str | None = None) -> DataFrame:
+    """``id, digest, n_shingles, keys``: the multiset's 128-bit digest, its size and one 64-bit key per band.
+
+    ``also`` names a column of longs that comes along.
+    """
     bounded_batches(docs.sparkSession)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,25 +136,30 @@ def sketch(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: int
                 for r in range(band_rows):
                     keys = mix(keys * GOLDEN + signed[:, r::band_rows] + np.uint64(r + 1))
                 keys = keys.astype(np.int64)
-                borders = np.searchsorted(rows, np.arange(n + 1))
-                both = np.stack([grams, counts.astype(np.uint64)], axis=1)
-                digests = [xxhash.xxh3_128_hexdigest(both[a:b].tobytes()) for a, b in zip(borders[:-1], borders[1:])]
+                digests = _digests(rows, grams, counts, n)
                 sizes = np.bincount(rows, weights=counts, minlength=n).astype(np.int64)
                 lists = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * bands, pa.array(keys.ravel()))
+                further = [part.column(c) for c in carried]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(key), pa.array(digests), pa.array(sizes), lists], ["id", "digest", "n_shingles", "keys"]
+                    [part.column(key), pa.array(digests, pa.string()), pa.array(sizes), lists, *further], ["id", "digest", "n_shingles", "keys", *carried]
                 )
 
-    return docs.select(key, text).mapInArrow(apply, "id long, digest string, n_shingles long, keys array<long>")
+    carried = [also] if also else []
+    fields = "id long, digest string, n_shingles long, keys array<long>" + "".join(f", `{c}` long" for c in carried)
+    return docs.select(key, text, *carried).mapInArrow(apply, fields)
 
 
 def _elements(docs: DataFrame, text: str) -> DataFrame:
-    """``id, elements``: each multiset as sorted packed 64-bit values, a further one for each repetition."""
+    """``id, elements``: each multiset as sorted packed 64-bit values, a further one for each repetition.
+
+    Rows whose text does not have the ``digest`` they name are left out.
+    """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text):
                 rows, grams, counts = multisets(part.column(text))
+                digests = _digests(rows, grams, counts, part.num_rows)
                 nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
                 rows = np.repeat(rows, counts)
                 values = np.where(nth == 0, np.repeat(grams, counts), mix(np.repeat(grams, counts) + nth.astype(np.uint64) * GOLDEN))
@@ -152,9 +167,11 @@ def _elements(docs: DataFrame, text: str) -> DataFrame:
                 rows, values = rows[order], values[order]
                 borders = np.searchsorted(rows, np.arange(part.num_rows + 1))
                 packed = [values[a:b].tobytes() for a, b in zip(borders[:-1], borders[1:])]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(packed, pa.binary())], ["id", "elements"])
+                out = pa.RecordBatch.from_arrays([part.column("id"), pa.array(packed, pa.binary())], ["id", "elements"])
+                own = [a == b for a, b in zip(digests, part.column("digest").to_pylist())]
+                yield out.filter(pa.array(own, pa.bool_()))
 
-    return docs.select("id", text).mapInArrow(apply, "id long, elements binary")
+    return docs.select("id", "digest", text).mapInArrow(apply, "id long, elements binary")
 
 
 def _similar(pairs: DataFrame, elements: DataFrame, threshold: float) -> DataFrame:
@@ -179,21 +196,47 @@ def _similar(pairs: DataFrame, elements: DataFrame, threshold: float) -> DataFra
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = SIMILARITY
 ) -> DataFrame:
-    """``key, class_id, copy_of, n_shingles, n_class``: every document with its near-duplicate class.
+    """``key, class_id, copy_of, n_shingles``: every document with its near-duplicate class.
 
-    ``class_id`` is the smallest key of the class; classes are connected components of pairs whose five-word
-    shingle multisets overlap by at least ``threshold``. ``copy_of`` is the smallest key with the same multiset.
+    Classes are connected components of documents whose five-word shingle multisets overlap by at least
+    ``threshold``; ``class_id`` is the smallest key of the class, ``copy_of`` the smallest key with the same multiset.
     Words are runs of ASCII letters, digits and non-ASCII characters, in lower case. Texts without words (null,
     empty) resemble nothing, not even each other, and are classes of their own. ``key`` must be an integer; rows
-    with a null key are each a class of their own with null ids; a repeated key is one document per row.
+    with a null key are each a class of their own with null ids. A repeated key is one document per row: classes are
+    made of texts, keys only name them, so that rows of one key can be in several classes.
+    """
+    return near_duplicate_rows(docs, key, text, threshold).select(F.col("id").alias(key), "class_id", "copy_of", "n_shingles")
+
+
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one row of each near-duplicate class: the one with the smallest key.
+
+    Of rows of that class with that key, the one with the smallest hash of its text stays, and of equal texts the
+    smallest row. Rows without a key all stay; of texts without words only rows with equal key and text are repeated.
+    Columns may have any name but ``_text_hash`` and any type that has an order.
+    """
+    rows = near_duplicate_rows(docs.where(F.col(key).isNotNull()), key, text, threshold).where("first")
+    firsts = stage(rows.groupBy(F.col("id").alias(key), F.col("text_hash").alias("_text_hash")).agg(F.count("*").alias("_rows")), "bag-firsts")
+    hashed = docs.withColumn("_text_hash", F.xxhash64(text))
+    once = hashed.join(firsts.where("_rows = 1"), [key, "_text_hash"], "left_semi").select(*docs.columns)
+    # Rows that are repeated as a whole shrink before they move.
+    many = hashed.join(firsts.where("_rows > 1"), [key, "_text_hash"], "left_semi")
+    many = many.groupBy(key, "_text_hash").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    return once.unionByName(many).unionByName(docs.where(F.col(key).isNull()))
+
+
+def near_duplicate_rows(docs: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
+    """``id, text_hash, class_id, copy_of, n_shingles, first``: see :func:`near_duplicates`.
+
+    ``first`` marks the smallest ``(id, text_hash)`` of a class, and all texts without words or key.
     """
-    spark = docs.sparkSession
-    source = docs.select(F.col(key).alias("id"), F.col(text).alias("_text"))
-    found = stage(sketch(source, "id", "_text"), "bag-sketches")
+    source = docs.select(F.col(key).alias("id"), F.col(text).alias("_text")).withColumn("text_hash", F.xxhash64("_text"))
+    found = stage(sketch(source, "id", "_text", also="text_hash"), "bag-sketches")
     worded = found.where("n_shingles > 0 AND id IS NOT NULL")
-    copies = worded.groupBy("digest").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"))
-    copies = stage(copies, "bag-copies")
-    banded = copies.selectExpr("rep AS id", "posexplode(keys) AS (band, bucket)")
+    copies = worded.groupBy("digest").agg(F.min(F.struct("id", "text_hash")).alias("head"), F.first("keys").alias("keys"))
+    # Every distinct multiset is a node of its own, whatever keys its texts have. The numbers hold once they are written.
+    copies = stage(copies.select(F.monotonically_increasing_id().alias("id"), "digest", "head", "keys"), "bag-copies")
+    banded = copies.selectExpr("id", "posexplode(keys) AS (band, bucket)")
     shared = banded.groupBy("band", "bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = stage(banded.join(shared, ["band", "bucket"]), "bag-buckets")
     # A member of large buckets in many bands resembles most of its group: it makes the best pivot.
@@ -201,9 +244,10 @@ def near_duplicates(
     members = stage(members.drop("size").join(degrees, "id"), "bag-members")
     labels = members.select("id").distinct().withColumn("label", F.col("id"))
     labels = stage(labels, "bag-labels")
-    # Only classes that share a bucket are compared, so only their texts are read again.
-    elements = source.where("_text IS NOT NULL").join(labels.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    elements = stage(_elements(elements, "_text"), "bag-elements")
+    # Only classes that share a bucket are compared, so only one text of each is read again.
+    wanted = copies.join(labels, "id").selectExpr("id", "digest", "head.id AS _key", "head.text_hash AS _hash")
+    texts = source.where("_text IS NOT NULL").withColumnsRenamed({"id": "_key", "text_hash": "_hash"}).join(wanted, ["_key", "_hash"])
+    elements = stage(_elements(texts, "_text").dropDuplicates(["id"]), "bag-elements")
     # First every member meets the one member of its bucket that resembles most others.
     central = F.max(F.struct("degree", F.negative("id").alias("minus"))).alias("best")
     centers = members.groupBy("band", "bucket").agg(central).selectExpr("band", "bucket", "-best.minus AS center")
@@ -214,14 +258,18 @@ def near_duplicates(
     # Then those that it does not connect meet all members of the group.
     rest = stage(_outside(groups, labels, elements, threshold), "bag-links")
     labels = connect(labels, rest)
-    classes = labels.selectExpr("id AS rep", "label")
-    of = copies.join(classes, "rep", "left").selectExpr("digest", "rep AS copy_of", "coalesce(label, rep) AS class_id")
+    headed = copies.select("id", "digest", "head").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    tops = headed.groupBy("label").agg(F.min("head").alias("top"))
+    of = headed.join(tops, "label").select(F.col("digest").alias("_digest"), "head", "top")
     held = found.withColumn("_digest", F.expr("IF(n_shingles > 0 AND id IS NOT NULL, digest, NULL)"))
-    out = held.join(of.withColumnRenamed("digest", "_digest"), "_digest", "left")
-    out = out.select(
-        F.col("id").alias(key), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("copy_of", "id").alias("copy_of"), "n_shingles"
+    return held.join(of, "_digest", "left").select(
+        "id",
+        "text_hash",
+        F.coalesce("top.id", "id").alias("class_id"),
+        F.coalesce("head.id", "id").alias("copy_of"),
+        "n_shingles",
+        F.expr("top IS NULL OR top = struct(id, text_hash)").alias("first"),
     )
-    return out
 
 
 def _outside(groups: DataFrame, labels: DataFrame, elements: DataFrame, threshold: float) -> DataFrame:

@@ -74,6 +74,36 @@ def test_classes_equal_brute_force(spark):
     assert sorted((r.doc_id or 0, r.class_id) for r in B.near_duplicates(odd).collect()) == [(0, None), (1, 1), (1, 1)]
 
 
+def test_repeated_keys_are_documents_of_their_own(spark):
+    rng = random.Random(3)
+    words = lambda n: ["".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(n)]
+    x, z = words(200), words(150)
+    near = lambda w: " ".join([*w[:-1], "changed"])
+    rows = [(1, " ".join(x)), (2, near(x)), (2, " ".join(z)), (3, near(z)), (2, near(x)), (4, " ".join(words(50))), (4, " ".join(words(50)))]
+    rows += [(2, None), (2, None), (5, "one two three four five"), (5, "ONE two, three four five")]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, head int")
+    got = sorted((r.doc_id, r.class_id, r.copy_of) for r in B.near_duplicates(docs.repartition(4)).collect())
+    assert got == sorted([(1, 1, 1), (2, 1, 2), (2, 1, 2), (2, 2, 2), (3, 2, 3), (4, 4, 4), (4, 4, 4), (2, 2, 2), (2, 2, 2), (5, 5, 5), (5, 5, 5)])
+    kept = [r["head"] for r in B.keep_first(docs.repartition(4)).orderBy("head").collect()]
+    assert kept in ([0, 2, 5, 6, 7, n] for n in (9, 10))
+    assert B.keep_first(docs.limit(0)).count() == 0
+
+
+def test_repeated_keys_equal_brute_force(spark):
+    texts = corpus()
+    rng = random.Random(8)
+    rows = [(rng.randrange(12), t) for t in texts]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute(texts)
+    smallest = {c: min(rows[i][0] for i in range(len(rows)) if want[i] == c) for c in want}
+    got = Counter((r.doc_id, r.class_id) for r in B.near_duplicates(docs).collect())
+    assert got == Counter((rows[i][0], smallest[want[i]]) for i in range(len(rows)))
+    kept = Counter(r.doc_id for r in B.keep_first(docs).collect())
+    # Texts without words are merged where key and text are equal.
+    heads = {(smallest[c], c if bag(texts[c]) else (texts[c], c)) for c in set(want)}
+    assert kept == Counter(k for k, _ in heads)
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(i, i + 1) for i in range(0, 60)] + [(rng.randint(100, 199), rng.randint(100, 199)) for _ in range(70)] + [(300, x) for x in range(301, 350)]

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from captrellis.llm.bagminhash import near_duplicates
+from captrellis.llm.bagminhash import keep_first
 from captrellis.llm.bpe import bpe_decode, bpe_encode
 from captrellis.llm.compression import fit_quality, score_quality
 from captrellis.llm.decontaminate import contamination
@@ -25,11 +25,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest key of each near-duplicate class; repeated rows stay once, null keys all."""
-    classes = near_duplicates(docs.where("doc_id IS NOT NULL"))
-    heads = classes.where("class_id = doc_id").select("doc_id")
-    kept = docs.where("doc_id IS NOT NULL").join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    """One document of each near-duplicate class, that with the smallest key; rows without a key all stay."""
+    return keep_first(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

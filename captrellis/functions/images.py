@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import struct
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
+
+from captrellis.functions.headers import header_sql
 
 # Colour modes the gate accepts and its smallest side in pixels.
 ACCEPTED_MODES = ["RGB", "RGBA", "YCbCr", "P", "L", "CMYK", "LA", "1"]
@@ -35,143 +33,14 @@ EXTENSIONS = {
     "text/xml": ".xml",
 }
 
-#: Bytes in which nearly every header ends.
-HEAD_BYTES = 64 * 1024
-
-PROBE = StructType(
-    [
-        StructField("format", StringType()),
-        StructField("width", IntegerType()),
-        StructField("height", IntegerType()),
-        StructField("mode", StringType()),
-        StructField("ok", BooleanType()),
-    ]
-)
-
-# Mode of a PNG by (colour type, bit depth), and of a JPEG by component count.
-_PNG_MODES = {
-    (0, 1): "1", (0, 2): "L", (0, 4): "L", (0, 8): "L", (0, 16): "I;16",
-    (2, 8): "RGB", (2, 16): "RGB",
-    (3, 1): "P", (3, 2): "P", (3, 4): "P", (3, 8): "P",
-    (4, 8): "LA", (4, 16): "RGBA",
-    (6, 8): "RGBA", (6, 16): "RGBA",
-}
-_JPEG_MODES = {1: "L", 3: "RGB", 4: "CMYK"}
-_BMP_MODES = {1: "1", 4: "P", 8: "P", 16: "RGB", 24: "RGB", 32: "RGB"}
-
-_UNREADABLE = (None, None, None, None, False)
-
-
-def _jpeg(b: bytes):
-    at = 2
-    while at + 4 <= len(b):
-        if b[at] != 0xFF:
-            return _UNREADABLE
-        marker = b[at + 1]
-        if marker == 0xFF:  # fill byte
-            at += 1
-            continue
-        if marker == 0x01 or 0xD0 <= marker <= 0xD8:  # markers without a body
-            at += 2
-            continue
-        size = struct.unpack(">H", b[at + 2 : at + 4])[0]
-        if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
-            if at + 10 > len(b):
-                return _UNREADABLE
-            height, width = struct.unpack(">HH", b[at + 5 : at + 9])
-            mode = _JPEG_MODES.get(b[at + 9])
-            return ("JPEG", width, height, mode, True) if mode else _UNREADABLE
-        if marker == 0xDA:
-            return _UNREADABLE
-        at += 2 + size
-    return _UNREADABLE
-
-
-def _webp(b: bytes):
-    kind = b[12:16]
-    if kind == b"VP8 " and len(b) >= 30:
-        width, height = struct.unpack("<HH", b[26:30])
-        return "WEBP", width & 0x3FFF, height & 0x3FFF, "RGB", True
-    if kind == b"VP8L" and len(b) >= 25:
-        bits = struct.unpack("<I", b[21:25])[0]
-        return "WEBP", (bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1, "RGBA" if bits >> 28 & 1 else "RGB", True
-    if kind == b"VP8X" and len(b) >= 30:
-        width = int.from_bytes(b[24:27], "little") + 1
-        height = int.from_bytes(b[27:30], "little") + 1
-        return "WEBP", width, height, "RGBA" if b[20] & 0x10 else "RGB", True
-    return _UNREADABLE
-
-
-def probe_header(b: bytes | None):
-    """``(format, width, height, mode, ok)`` read from the first bytes of an image.
-
-    Only the header counts: a truncated body still passes, as with a lazy open.
-    """
-    if not b:
-        return _UNREADABLE
-    b = bytes(b)
-    try:
-        if b[:8] == b"\x89PNG\r\n\x1a\n" and b[12:16] == b"IHDR" and len(b) >= 26:
-            width, height, depth, colour = struct.unpack(">IIBB", b[16:26])
-            mode = _PNG_MODES.get((colour, depth))
-            return ("PNG", width, height, mode, True) if mode and width and height else _UNREADABLE
-        if b[:2] == b"\xff\xd8":
-            return _jpeg(b)
-        if b[:6] in (b"GIF87a", b"GIF89a") and len(b) >= 10:
-            width, height = struct.unpack("<HH", b[6:10])
-            return "GIF", width, height, "P", True
-        if b[:2] == b"BM" and len(b) >= 30:
-            width, height = struct.unpack("<ii", b[18:26])
-            mode = _BMP_MODES.get(struct.unpack("<H", b[28:30])[0])
-            return ("BMP", width, abs(height), mode, True) if mode else _UNREADABLE
-        if b[:4] == b"RIFF" and b[8:12] == b"WEBP":
-            return _webp(b)
-    except struct.error:
-        pass
-    return _UNREADABLE
-
-
-@F.pandas_udf(PROBE)
-def _probe(content: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame(
-        [probe_header(b) for b in content], columns=["format", "width", "height", "mode", "ok"]
-    ).astype({"width": "Int32", "height": "Int32", "ok": "bool"})
-
-
-def probe(content: Column | str) -> Column:
-    """Header probe of a binary column as ``struct<format,width,height,mode,ok>``.
-
-    Only the first ``HEAD_BYTES`` of an image go to Python. A header that ends
-    later (long metadata before the frame) is read again from the whole content.
+
+def probe(content: str) -> Column:
+    """Header of a binary column as ``struct<format,width,height,mode,ok>``, read by SQL expressions.
+
+    PNG, JPEG, GIF, BMP, WebP, TIFF, AVIF, HEIF, JPEG 2000 and ICO are known. Only the header counts: a truncated body
+    still passes, as with a lazy open. NULL, empty and other content is not ``ok``.
     """
-    c = F.col(content) if isinstance(content, str) else content
-    head = _probe(F.substring(c, 1, HEAD_BYTES))
-    late = ~head["ok"] & (F.octet_length(c) > HEAD_BYTES)
-    return F.when(late, _probe(F.when(late, c))).otherwise(head)
-
-
-def probe_png(content: Column | str) -> Column:
-    """The same struct for PNG only, without leaving the JVM."""
-    c = F.col(content) if isinstance(content, str) else content
-
-    def number(start: int, length: int) -> Column:
-        return F.conv(F.hex(F.substring(c, start, length)), 16, 10).cast("bigint")
-
-    known = F.create_map(*[F.lit(x) for (k, d), m in _PNG_MODES.items() for x in (f"{k}/{d}", m)])
-    mode = F.try_element_at(known, F.concat_ws("/", number(26, 1).cast("string"), number(25, 1).cast("string")))
-    signed = F.hex(F.substring(c, 1, 8)) == "89504E470D0A1A0A"
-    headed = F.hex(F.substring(c, 13, 4)) == "49484452"
-    ok = F.coalesce(
-        signed & headed & (F.octet_length(c) >= 26) & mode.isNotNull() & (number(17, 4) > 0) & (number(21, 4) > 0),
-        F.lit(False),
-    )
-    return F.struct(
-        F.when(ok, F.lit("PNG")).alias("format"),
-        F.when(ok, number(17, 4).cast("int")).alias("width"),
-        F.when(ok, number(21, 4).cast("int")).alias("height"),
-        F.when(ok, mode).alias("mode"),
-        ok.alias("ok"),
-    )
+    return F.expr(header_sql(content))
 
 
 def reject_reason(header: Column, max_pixels: int | None = None) -> Column:

@@ -13,13 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from captrellis.functions import chat
-from captrellis.functions.images import extension_from_header, probe
+from captrellis.functions.images import extension_from_header, probe, reject_reason
 from captrellis.functions.text import tokens
 from captrellis.operators import batching, cider, gate, ordering
 from captrellis.operators.inference import MakePredictor, predict
 from captrellis.session import stage
 from captrellis.sources import blobs, tables
 from captrellis.sources.fetch import ATTEMPTS, DELAY_SECONDS, Response, fetch
+from captrellis.sources.store import store
 
 #: Share of the URL captions that a corpus is prepared from.
 SAMPLE_FRACTION = 0.35
@@ -31,26 +32,29 @@ def prepare_urls(
     """URL captions to an asset table: check, sample, fetch, gate, report, save.
 
     ``conf``: ``input``, ``output``, ``key``; optional ``fraction``, ``seed``,
-    ``image_folder``, ``tasks``, ``attempts``, ``delay``, ``max_pixels``.
+    ``image_folder`` (else beside the output), ``tasks``, ``attempts``, ``delay``, ``max_pixels``.
     """
     raw = tables.read_table(spark, conf["input"])
     key = conf["key"]
     tables.require_columns(raw, [key, "image_url"])
     tables.require_rows(raw, conf["input"])
     sample = ordering.exact_sample(raw, [key], conf.get("fraction", SAMPLE_FRACTION), conf.get("seed", 42))
-    fetched = stage(
-        fetch(
-            sample,
-            fetcher,
-            key,
-            folder=conf.get("image_folder", ""),
-            tasks=conf.get("tasks"),
-            attempts=conf.get("attempts", ATTEMPTS),
-            delay=conf.get("delay", DELAY_SECONDS),
-        ),
-        "fetched",
+    fetched = fetch(
+        sample,
+        fetcher,
+        key,
+        tasks=conf.get("tasks"),
+        attempts=conf.get("attempts", ATTEMPTS),
+        delay=conf.get("delay", DELAY_SECONDS),
     )
-    return _gate_and_save(fetched, "download_status", conf)
+    # The task that fetched a body writes it; only rows without bytes come back.
+    stored, _ = store(fetched.withColumnRenamed("image_path", "_name").withColumn("header", probe("content")), _images(conf), "_name", "content")
+    stored = stored.withColumn("status", F.expr("IF(download_status = 'success', status, download_status)")).drop("download_status")
+    return _gate_and_save(stored, "status", conf)
+
+
+def _images(conf: dict[str, Any]) -> str:
+    return conf.get("image_folder") or conf["output"].rstrip("/") + "-images"
 
 
 def prepare_narratives(spark: SparkSession, conf: dict[str, Any]) -> dict[str, int]:
@@ -61,23 +65,25 @@ def prepare_narratives(spark: SparkSession, conf: dict[str, Any]) -> dict[str, i
     raw = tables.read_table(spark, conf["input"])
     tables.require_columns(raw, [conf["key"], "images", "texts"])
     tables.require_rows(raw, conf["input"])
-    return _gate_and_save(first_images(raw, conf["key"], conf.get("image_folder", "")), "status", conf)
+    return _gate_and_save(first_images(raw, conf["key"], _images(conf)), "status", conf)
 
 
-def first_images(df: DataFrame, key: str, folder: str = "") -> DataFrame:
-    """Add ``content``, ``image_path`` and ``status`` for the first image of every row; drop ``images``."""
-    first = df.withColumn("content", blobs.first_image("images"))
-    name = blobs.blob_name(key, F.concat(F.lit("."), extension_from_header(probe("content"))))
-    prefix = F.lit(folder.rstrip("/") + "/" if folder else "")
-    return first.withColumn(
-        "image_path", F.when(F.col("content").isNotNull(), F.concat(prefix, name))
-    ).withColumn("status", F.when(F.col("image_path").isNotNull(), "success").otherwise("failed")).drop("images")
+def first_images(df: DataFrame, key: str, folder: str) -> DataFrame:
+    """Store the first image of every row: ``images`` gives way to ``header``, ``image_path``, ``n_bytes`` and ``status``.
+
+    ``status`` is ``success`` for images that are stored in ``folder``, and ``failed`` where there is none.
+    """
+    first = df.withColumn("content", blobs.first_image("images")).drop("images").withColumn("header", probe("content"))
+    name = blobs.blob_name(key, F.concat(F.lit("."), extension_from_header(F.col("header"))))
+    return store(first.withColumn("_name", F.when(F.col("content").isNotNull(), name)), folder, "_name", "content")[0]
 
 
 def _gate_and_save(assets: DataFrame, status: str, conf: dict[str, Any]) -> dict[str, int]:
-    judged, seen = gate.observe_drops(gate.gated(assets, max_pixels=conf.get("max_pixels")), status=status)
+    """Judge rows by the headers that were read while their images were stored."""
+    judged = assets.withColumn("reject_reason", reject_reason(F.col("header"), conf.get("max_pixels")))
+    judged, seen = gate.observe_drops(judged, status=status)
     kept = judged.where(gate.succeeded(status=status) & F.col("reject_reason").isNull())
-    tables.write_table(kept.drop(status, "header", "reject_reason"), conf["output"], conf.get("mode", "errorifexists"))
+    tables.write_table(kept.drop(status, "header", "n_bytes", "reject_reason"), conf["output"], conf.get("mode", "errorifexists"))
     return dict(seen.get)
 
 

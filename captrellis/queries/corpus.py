@@ -20,6 +20,7 @@ from captrellis.plans.jobs import first_images
 from captrellis.queries.twins import draw, order_key, quoted
 from captrellis.session import stage_path
 from captrellis.sources.fetch import FetchError, FetchTimeout, Response, fetch
+from captrellis.sources.store import scan_store, store, with_bodies
 from captrellis.sources.tables import column_audit, extended, read_table, write_table
 
 
@@ -136,8 +137,34 @@ def first_image_status(spark: SparkSession, d: str) -> DataFrame:
         .when(kind == 3, F.array(gif))
         .otherwise(F.array(page))
     )
-    done = first_images(pages.select("page_id", images.alias("images")), "page_id", "images")
-    return done.select("page_id", "image_path", "status")
+    done = first_images(pages.select("page_id", images.alias("images")), "page_id", stage_path(spark, "images"))
+    return done.select("page_id", F.regexp_replace("image_path", "^.*/", "images/").alias("image_path"), "status")
+
+
+def _stored_pages(spark: SparkSession, d: str) -> tuple[DataFrame, str, str]:
+    """Every page's bytes stored as a file; a ninth has no bytes and a tenth no name."""
+    pages = read_table(spark, f"{d}/pages.parquet", columns=["page_id", "html"])
+    named = pages.select(
+        "page_id",
+        F.when(pick(10, "unnamed", "page_id") != 0, F.concat(F.sha2(F.col("page_id").cast("string"), 256), F.lit(".html"))).alias("name"),
+        F.when(pick(9, "lost", "page_id") != 0, F.encode("html", "utf-8")).alias("content"),
+    )
+    folder = stage_path(spark, "store")
+    rows, job = store(named, folder)
+    return rows, folder, job
+
+
+def stored_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """What the store says of every page, and the bytes that its files hold, attached where the rows are."""
+    rows, _, _ = _stored_pages(spark, d)
+    return with_bodies(rows).select("page_id", "status", "n_bytes", F.sha2("content", 256).alias("sha256"))
+
+
+def store_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Files of the store by a scan that is planned by bytes."""
+    _, folder, job = _stored_pages(spark, d)
+    files = scan_store(spark, folder, job, partition_bytes=1024 * 1024)
+    return files.select(F.regexp_extract("path", "[^/]+$", 0).alias("file_name"), "length", F.sha2("content", 256).alias("sha256"))
 
 
 # (bit depth, colour type, mode) of the synthesised PNG headers.
@@ -225,6 +252,8 @@ QUERIES = {
     "status_filter": status_filter,
     "mime_extension": mime_extension,
     "first_image_status": first_image_status,
+    "stored_bodies": stored_bodies,
+    "store_scan": store_scan,
     "image_gate": image_gate,
     "reject_anti_join": reject_anti_join,
     "drop_report": drop_report,
@@ -301,6 +330,11 @@ ORACLES = {
             CASE kind WHEN 2 THEN '.PNG' WHEN 3 THEN '.GIF' ELSE '.jpg' END END AS image_path,
           CASE WHEN kind >= 2 THEN 'success' ELSE 'failed' END AS status
         FROM k""",
+    "stored_bodies": f"""SELECT page_id, CASE WHEN kept THEN 'success' ELSE 'failed' END AS status,
+          CASE WHEN kept THEN octet_length(encode(html)) END::BIGINT AS n_bytes, CASE WHEN kept THEN sha256(html) END AS sha256
+        FROM (SELECT *, {draw(10, 'unnamed', 'page_id')} <> 0 AND {draw(9, 'lost', 'page_id')} <> 0 AS kept FROM pages)""",
+    "store_scan": f"""SELECT sha256(page_id::VARCHAR) || '.html' AS file_name, octet_length(encode(html))::BIGINT AS length, sha256(html) AS sha256
+        FROM pages WHERE {draw(10, 'unnamed', 'page_id')} <> 0 AND {draw(9, 'lost', 'page_id')} <> 0""",
     "image_gate": f"""WITH {_HEADERS}
         SELECT p_partkey, width, height, mode, mode <> 'RGB' AS needs_rgb, reject_reason,
                CASE WHEN reject_reason IS NOT NULL THEN reject_reason WHEN width * height > 6000 THEN 'high_res' END AS reason_with_limit

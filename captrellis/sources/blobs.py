@@ -1,20 +1,10 @@
-"""Image bytes: reading files by path and storing them under repeatable names."""
+"""Image bytes: reading folders of files, and repeatable names."""
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
-
-import pandas as pd
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from captrellis.sources.tables import extended
-
-#: Bytes handed to the file system at a time.
-CHUNK = 8192
-
 
 def read_blobs(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """``path, length, content`` of all files below a folder."""
@@ -27,78 +17,12 @@ def read_blobs(spark: SparkSession, folder: str, pattern: str = "*") -> DataFram
     )
 
 
-def with_blobs(df: DataFrame, blobs: DataFrame, path: str = "image_path") -> DataFrame:
-    """Add the bytes of ``path`` as ``content``; rows without a file keep NULL.
-
-    ``binaryFile`` reports paths as URIs, so both sides drop a ``file:`` scheme.
-    """
-
-    def bare(c: Column) -> Column:
-        return F.regexp_replace(c, "^file:/+", "/")
-
-    found = blobs.select(bare(F.col("path")).alias("_path"), "content")
-    return df.withColumn("_path", bare(F.col(path))).join(found, "_path", "left").drop("_path")
-
-
 def blob_name(key: Column | str, extension: Column) -> Column:
     """A name that depends on the row key alone, so a repeated task writes the same file again."""
     c = F.col(key) if isinstance(key, str) else key
     return F.concat(F.sha2(c.cast("string"), 256), extension)
 
 
-def write_blob(fs: pafs.FileSystem, path: str, body: bytes) -> None:
-    """Write next to the target and move into place; a failed write leaves nothing behind."""
-    partial = f"{path}.{uuid.uuid4().hex}.part"  # attempts of one task never share it
-    try:
-        with fs.open_output_stream(partial) as out:
-            for at in range(0, len(body), CHUNK):
-                out.write(body[at : at + CHUNK])
-        fs.move(partial, path)
-    except OSError:
-        try:
-            fs.delete_file(partial)
-        except OSError:
-            pass
-        raise
-
-
-def store_blobs(
-    df: DataFrame, folder: str, name: str = "name", content: str = "content", status: str = "status"
-) -> DataFrame:
-    """Write every non-NULL ``content`` to ``folder/name``.
-
-    Adds ``image_path`` (NULL on failure) and ``status`` (``success``, ``failed``
-    or ``file_io_error: <message>``) and drops the bytes. ``folder`` may be any
-    URI that Arrow's file systems understand.
-    """
-    if "image_path" in df.columns or status in df.columns:
-        raise ValueError("input already has image_path or a status column")
-    schema = extended(df.drop(content).schema, "image_path", status)
-    keep = df.drop(content).columns
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs, base = pafs.FileSystem.from_uri(folder)
-        fs.create_dir(base, recursive=True)
-        for batch in batches:
-            paths, states = [], []
-            for file_name, body in zip(batch[name], batch[content]):
-                if body is None or file_name is None:
-                    paths.append(None)
-                    states.append("failed")
-                    continue
-                target = f"{base}/{file_name}"
-                try:
-                    write_blob(fs, target, bytes(body))
-                    paths.append(target)
-                    states.append("success")
-                except OSError as e:
-                    paths.append(None)
-                    states.append(f"file_io_error: {e}")
-            yield batch[keep].assign(image_path=paths, **{status: states})
-
-    return df.mapInPandas(write, schema)
-
-
 def first_image(images: Column | str) -> Column:
     """First element of an image list, NULL for an empty or missing list."""
     return F.get(F.col(images) if isinstance(images, str) else images, 0)

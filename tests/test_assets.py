@@ -177,30 +177,6 @@ def test_extensions(spark, kind, want):
     assert df.select(extension_for("t").alias("e")).first()["e"] == want
 
 
-def test_blobs_round_trip(spark, tmp_path):
-    rows = [("a.png", bytearray(png(60, 60)), 1), ("b.bin", bytearray(b"z" * 20_000), 2), (None, bytearray(b"q"), 3), ("c.bin", None, 4)]
-    df = spark.createDataFrame(rows, "name string, content binary, k int")
-    for _ in range(2):  # a repeated task writes the same files
-        done = blobs.store_blobs(df, str(tmp_path / "img")).collect()
-    assert {r["k"]: r["status"] for r in done} == {1: "success", 2: "success", 3: "failed", 4: "failed"}
-    assert sorted(p.name for p in (tmp_path / "img").iterdir()) == ["a.png", "b.bin"]
-    stored = spark.createDataFrame(done)
-    back = blobs.with_blobs(stored, blobs.read_blobs(spark, str(tmp_path / "img")))
-    got = {r["k"]: bytes(r["content"]) if r["content"] is not None else None for r in back.collect()}
-    assert got == {1: png(60, 60), 2: b"z" * 20_000, 3: None, 4: None}
-    header = back.where("k = 1").select(extension_from_header(probe("content")).alias("e")).first()
-    assert header["e"] == "PNG"
-
-
-def test_failed_write_is_reported_and_leaves_nothing(spark, tmp_path):
-    (tmp_path / "img" / "taken").mkdir(parents=True)
-    (tmp_path / "img" / "taken" / "x").write_text("")
-    df = spark.createDataFrame([("taken", bytearray(b"1"))], "name string, content binary")
-    r = blobs.store_blobs(df, str(tmp_path / "img")).first()
-    assert r["image_path"] is None and r["status"].startswith("file_io_error: ")
-    assert [p.name for p in (tmp_path / "img").iterdir()] == ["taken"]
-
-
 class Script:
     """Plays one outcome per attempt and counts the attempts."""
 

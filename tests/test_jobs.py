@@ -1,6 +1,7 @@
 """Whole jobs on small made-up tables, and the stateless operators on a stream."""
 
 import sys
+from pathlib import Path
 
 import pytest
 import test_assets
@@ -13,6 +14,7 @@ from captrellis.functions.text import tokens
 from captrellis.operators import batching
 from captrellis.plans import jobs
 from captrellis.sources.fetch import FetchTimeout, Response
+from captrellis.sources.store import with_bodies
 from captrellis.streaming import append_stream
 
 # Tasks cannot import test modules.
@@ -34,7 +36,8 @@ def test_prepare_urls(spark, tmp_path):
     report = jobs.prepare_urls(spark, conf, fetcher)
     assert report == {"corrupted": 8, "small_or_mode": 8, "high_res": 0, "total_removed": 24, "final_size": 16}
     out = spark.read.parquet(conf["output"])
-    assert out.count() == 16 and set(out.columns) == {"id", "image_url", "caption", "content", "image_path"}
+    assert out.count() == 16 and set(out.columns) == {"id", "image_url", "caption", "image_path"}
+    assert {bytes(r.content) for r in with_bodies(out).collect()} == {png(64, 64)}
     conf.update(output=str(tmp_path / "out2"), fraction=0.35)
     assert jobs.prepare_urls(spark, conf, fetcher)["final_size"] <= 14
     with pytest.raises(ValueError, match="image_url"):
@@ -49,7 +52,7 @@ def test_prepare_narratives(spark, tmp_path):
     report = jobs.prepare_narratives(spark, {"input": str(tmp_path / "raw"), "output": str(tmp_path / "out"), "key": "id"})
     assert report["final_size"] == 1 and report["corrupted"] == 1 and report["total_removed"] == 3
     out = spark.read.parquet(str(tmp_path / "out")).first()
-    assert out["id"] == 1 and out["image_path"].endswith(".PNG")
+    assert out["id"] == 1 and out["image_path"].endswith(".PNG") and Path(out["image_path"]).read_bytes() == png(60, 60)
 
 
 def test_build_batches(spark, tmp_path):

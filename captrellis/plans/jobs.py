@@ -19,7 +19,7 @@ from captrellis.operators import batching, cider, gate, ordering
 from captrellis.operators.inference import MakePredictor, predict
 from captrellis.session import stage
 from captrellis.sources import blobs, tables
-from captrellis.sources.fetch import ATTEMPTS, DELAY_SECONDS, Response, fetch
+from captrellis.sources.fetch import ATTEMPTS, DELAY_SECONDS, Response, fetch_in_rounds
 from captrellis.sources.store import store
 
 #: Share of the URL captions that a corpus is prepared from.
@@ -32,25 +32,26 @@ def prepare_urls(
     """URL captions to an asset table: check, sample, fetch, gate, report, save.
 
     ``conf``: ``input``, ``output``, ``key``; optional ``fraction``, ``seed``,
-    ``image_folder`` (else beside the output), ``tasks``, ``attempts``, ``delay``, ``max_pixels``.
+    ``image_folder`` (else beside the output), ``tasks``, ``attempts``, ``delay``, ``slices``,
+    ``max_pixels``. Started again with the same ``image_folder`` the job goes on where it was cut off.
     """
     raw = tables.read_table(spark, conf["input"])
     key = conf["key"]
     tables.require_columns(raw, [key, "image_url"])
     tables.require_rows(raw, conf["input"])
     sample = ordering.exact_sample(raw, [key], conf.get("fraction", SAMPLE_FRACTION), conf.get("seed", 42))
-    fetched = fetch(
+    # Attempts are kept beside the images: a job that is started again asks for no URL that has its answer.
+    fetched = fetch_in_rounds(
         sample,
         fetcher,
         key,
+        _images(conf),
         tasks=conf.get("tasks"),
         attempts=conf.get("attempts", ATTEMPTS),
         delay=conf.get("delay", DELAY_SECONDS),
+        slices=conf.get("slices", 1),
     )
-    # The task that fetched a body writes it; only rows without bytes come back.
-    stored, _ = store(fetched.withColumnRenamed("image_path", "_name").withColumn("header", probe("content")), _images(conf), "_name", "content")
-    stored = stored.withColumn("status", F.expr("IF(download_status = 'success', status, download_status)")).drop("download_status")
-    return _gate_and_save(stored, "status", conf)
+    return _gate_and_save(fetched, "download_status", conf)
 
 
 def _images(conf: dict[str, Any]) -> str:

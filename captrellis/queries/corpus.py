@@ -19,7 +19,7 @@ from captrellis.operators import gate, ordering
 from captrellis.plans.jobs import first_images
 from captrellis.queries.twins import draw, order_key, quoted
 from captrellis.session import stage_path
-from captrellis.sources.fetch import FetchError, FetchTimeout, Response, fetch
+from captrellis.sources.fetch import FetchError, FetchTimeout, Response, fetch_in_rounds
 from captrellis.sources.store import scan_store, store, with_bodies
 from captrellis.sources.tables import column_audit, extended, read_table, write_table
 
@@ -91,12 +91,13 @@ def _fetched(spark: SparkSession, d: str) -> DataFrame:
         "page_id", F.when(fate == 0, F.lit(None)).when(fate == 1, F.lit("")).otherwise(F.col("url")).alias("image_url")
     )
     tasks = max(spark.sparkContext.defaultParallelism, 1)
-    return fetch(urls, simulated_fetcher, "page_id", folder="images", tasks=tasks, delay=0.0)
+    done = fetch_in_rounds(urls, simulated_fetcher, "page_id", stage_path(spark, "fetched"), tasks=tasks, delay=0.0, slices=2)
+    return done.withColumn("image_path", F.regexp_replace("image_path", "^.*/", "images/"))
 
 
 def fetch_status(spark: SparkSession, d: str) -> DataFrame:
     return _fetched(spark, d).select(
-        "page_id", "download_status", "image_path", F.octet_length("content").cast("bigint").alias("n_bytes")
+        "page_id", "download_status", "image_path", "n_bytes"
     )
 
 
@@ -107,7 +108,7 @@ def fetch_report(spark: SparkSession, d: str) -> DataFrame:
 def status_filter(spark: SparkSession, d: str) -> DataFrame:
     """Stored rows only, without the status column."""
     kept = gate.keep_succeeded(_fetched(spark, d), status="download_status")
-    return kept.drop("download_status", "content")
+    return kept.drop("download_status", "header", "n_bytes")
 
 
 # What servers may send; NULL is a missing header.

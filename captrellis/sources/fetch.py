@@ -16,18 +16,20 @@ from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
-from captrellis.functions.images import extension_for
+from captrellis.functions.images import extension_for, probe
 from captrellis.sources.blobs import blob_name
+from captrellis.sources.store import committed_jobs, store
 from captrellis.sources.tables import extended, require_columns
 
 #: Attempts, seconds until a timeout, seconds between attempts.
 ATTEMPTS = 2
 TIMEOUT_SECONDS = 10
 DELAY_SECONDS = 2.0
+HEADER = "struct<format:string,width:int,height:int,mode:string,ok:boolean>"
 #: Bytes of bodies that a task collects before it hands them on.
 FLUSH_BYTES = 32 * 1024 * 1024
 
@@ -91,9 +93,9 @@ def http_fetcher(timeout: float = TIMEOUT_SECONDS) -> Callable[[str, int], Respo
 
 
 def fetch_one(
-    url: str | None, fetcher: Callable[[str, int], Response], attempts: int, delay: float
+    url: str | None, fetcher: Callable[[str, int], Response], attempts: int, delay: float, first: int = 0
 ) -> tuple[str, str | None, bytes | None]:
-    """``(status, content_type, body)`` for one URL.
+    """``(status, content_type, body)`` for one URL; attempts are numbered from ``first``.
 
     Timeouts and request errors are tried again; a failure of the body or
     anything unexpected ends at once.
@@ -101,8 +103,8 @@ def fetch_one(
     if not url:
         return "missing_url", None, None
     status = "failed_after_retries"
-    for attempt in range(attempts):
-        if attempt:
+    for attempt in range(first, first + attempts):
+        if attempt > first:
             time.sleep(delay)
         try:
             content_type, body = fetcher(url, attempt)
@@ -125,6 +127,69 @@ def fetch_one(
     return status, None, None
 
 
+def fetch_in_rounds(
+    df: DataFrame,
+    fetcher: Callable[[str, int], Response],
+    key: str,
+    folder: str,
+    url: str = "image_url",
+    tasks: int | None = None,
+    attempts: int = ATTEMPTS,
+    delay: float = DELAY_SECONDS,
+    slices: int = 1,
+    unknown_extension: str = ".bin",
+) -> DataFrame:
+    """Every row of ``df`` plus ``download_status, image_path, n_bytes, header``; bodies are files below ``folder``.
+
+    An attempt at all pending URLs is a round of jobs, and nothing waits inside a task: the driver sleeps between
+    rounds, and the URLs that are left are dealt to the tasks anew by their keys. Each round deals its URLs to
+    ``slices`` jobs. The jobs' indexes, committed with their files, are the ledger of attempts: called again with the same
+    ``folder`` it goes on, asks no URL again that has a final answer, and repeats at most the slice that was cut off.
+    Only timeouts and request errors are tried again. ``key`` must be unique; rows with a NULL key are an error.
+    """
+    require_columns(df, [key, url])
+    if attempts < 0 or slices < 1:
+        raise ValueError("attempts must not be negative, and there is at least one slice")
+    ours = {"download_status", "image_path", "n_bytes", "header", "status", "content", "_attempt", "_asked"} & set(df.columns)
+    if ours:
+        raise ValueError(f"columns {sorted(ours)} exist already")
+    if not df.where(F.col(key).isNull()).isEmpty():
+        raise ValueError(f"{key} is NULL in some rows")
+    kind = df.schema[key].dataType.simpleString()
+    fields = f"`{key}` {kind}, _attempt int, download_status string, header {HEADER}, image_path string, n_bytes long, status string"
+    for n in range(attempts):
+        for part in range(slices):
+            known = _answers(ledger(df.sparkSession, folder, fields), key)
+            pending = df.select(key, url).where(F.pmod(F.xxhash64(key), F.lit(slices)) == part).join(known, key, "left")
+            pending = pending.where(f"_asked IS NULL OR (NOT final AND _asked <= {n})").select(key, url, F.expr("coalesce(_asked, 0)").cast("int").alias("_attempt"))
+            if pending.isEmpty():
+                continue
+            asked = fetch(pending, fetcher, key, url, "", tasks, 1, 0.0, unknown_extension, "_attempt")
+            asked = asked.withColumn("header", probe("content")).withColumnRenamed("image_path", "_name")
+            store(asked.select(key, "_attempt", "download_status", "header", "_name", "content"), folder, "_name", "content")
+        left = _answers(ledger(df.sparkSession, folder, fields), key).where(f"NOT final AND _asked <= {n + 1}")
+        if n + 1 < attempts and not left.isEmpty():
+            time.sleep(delay)
+    out = df.join(_answers(ledger(df.sparkSession, folder, fields), key).drop("_asked", "final"), key, "left")
+    return out.withColumn("download_status", F.coalesce("download_status", F.lit("failed_after_retries")))
+
+
+def ledger(spark: SparkSession, folder: str, fields: str) -> DataFrame:
+    """The index rows of all committed jobs below ``folder``."""
+    jobs = committed_jobs(folder)
+    if not jobs:
+        return spark.createDataFrame([], fields)
+    return spark.read.schema(fields).parquet(*[f"{folder.rstrip('/')}/{j}/index" for j in jobs])
+
+
+def _answers(attempts: DataFrame, key: str) -> DataFrame:
+    """Per key the number of attempts and the last one's answer; a body that was not stored is not a success."""
+    told = attempts.withColumn("download_status", F.expr("IF(download_status = 'success' AND status <> 'success', status, download_status)"))
+    last = F.max_by(F.struct("download_status", "header", "image_path", "n_bytes"), "_attempt").alias("last")
+    final = F.expr("last.download_status NOT LIKE 'timeout%' AND last.download_status NOT LIKE 'request_error%'")
+    return told.groupBy(key).agg(F.count("*").alias("_asked"), last).select(key, "_asked", final.alias("final"), "last.*")
+
+
 def fetch(
     df: DataFrame,
     fetcher: Callable[[str, int], Response],
@@ -135,13 +200,14 @@ def fetch(
     attempts: int = ATTEMPTS,
     delay: float = DELAY_SECONDS,
     unknown_extension: str = ".bin",
+    attempt: str | None = None,
 ) -> DataFrame:
     """Add ``image_path, download_status, content`` to every row.
 
     ``tasks`` spreads the URLs by the row key, which bounds the number of open
     connections. Paths derive from the row key, so a repeated task yields the
     same rows. The stage has side effects on the remote side: write its result
-    once (``captrellis.session.stage``) and read that.
+    once (``captrellis.session.stage``) and read that. ``attempt`` names a column with the number of the first attempt.
     """
     require_columns(df, [key, url])
     if attempts < 0:
@@ -151,8 +217,9 @@ def fetch(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             done, held, start = [], 0, 0
-            for i, u in enumerate(batch[url]):
-                done.append(fetch_one(u, fetcher, attempts, delay))
+            firsts = batch[attempt].tolist() if attempt else [0] * len(batch)
+            for i, (u, first) in enumerate(zip(batch[url], firsts)):
+                done.append(fetch_one(u, fetcher, attempts, delay, first))
                 held += len(done[-1][2] or b"")
                 # Bodies leave the task as soon as they add up, however many rows the batch has.
                 if held >= FLUSH_BYTES or i == len(batch) - 1:

@@ -247,6 +247,16 @@ def store(df: DataFrame, folder: str, name: str = "name", content: str = "conten
     return spark.read.schema(schema).parquet(f"{folder.rstrip('/')}/{job}/index"), job
 
 
+def committed_jobs(folder: str) -> list[str]:
+    """Names of the jobs below ``folder`` that have ended, in order of their names."""
+    fs, base = file_system(folder)
+    if fs.get_file_info(base).type != pafs.FileType.Directory:
+        return []
+    found = [i.base_name for i in fs.get_file_info(pafs.FileSelector(base)) if i.type == pafs.FileType.Directory]
+    ended = fs.get_file_info([f"{base}/{job}/{MANIFEST}" for job in found])
+    return sorted(job for job, i in zip(found, ended) if i.type == pafs.FileType.File)
+
+
 def scan_store(spark: SparkSession, folder: str, job: str, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
     """``path, length, content`` of all files of a job. Filters on ``path`` reach the files; only those asked for are opened."""
     spark.dataSource.register(ImageStore)

@@ -7,6 +7,8 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from captrellis.sources import fetch
+from captrellis.sources.fetch import FetchTimeout, Response
 from captrellis.sources.store import MANIFEST, Attempt, Range, StoreReader, StoreWriter, scan_store, store, with_bodies
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -79,3 +81,67 @@ def test_empty_tables_and_clashing_columns(spark, tmp_path):
     with pytest.raises(ValueError):
         store(_rows(spark).withColumn("status", F.lit(1)), str(tmp_path))
     assert with_bodies(spark.createDataFrame([("/no/such/file",), (None,)], "image_path string")).where("content IS NOT NULL").count() == 0
+
+
+class Diary:
+    """A transport that writes down every request and fails by plan: key 1 once, key 2 always, key 3 for good, key 4 in the body."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def __call__(self, url, attempt):
+        import uuid
+
+        with open(f"{self.folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write(f"{url} {attempt}")
+        n = int(url.split("/")[-1])
+        if n == 2 or n == 1 and attempt == 0:
+            raise FetchTimeout()
+        if n == 3:
+            raise RuntimeError("boom")
+
+        def body():
+            if n == 4:
+                raise OSError("broken")
+            return b"body" + str(n).encode()
+
+        return Response("image/png", body)
+
+    def asked(self):
+        found = sorted(p.read_text() for p in Path(self.folder).iterdir())
+        for p in Path(self.folder).iterdir():
+            p.unlink()
+        return found
+
+
+def test_rounds_go_on_where_they_stopped(spark, tmp_path, monkeypatch):
+    (tmp_path / "diary").mkdir()
+    diary, images = Diary(str(tmp_path / "diary")), str(tmp_path / "images")
+    urls = spark.range(6).select("id", F.expr("IF(id = 0, NULL, concat('http://h/', id))").alias("image_url"), F.lit("x").alias("caption"))
+    ask = lambda df, **more: {r.id: r for r in fetch.fetch_in_rounds(df, diary, "id", images, tasks=2, delay=0.0, **more).collect()}
+    assert {r.download_status for r in ask(urls, attempts=0).values()} == {"failed_after_retries"} and diary.asked() == []
+    ask(urls.where("id IN (1, 2, 5)"), attempts=1)
+    assert diary.asked() == ["http://h/1 0", "http://h/2 0", "http://h/5 0"]
+    # A job that is cut off in its second slice keeps the first one's answers.
+    real, calls = fetch.store, []
+
+    def cut_off(*args):
+        calls.append(1)
+        if len(calls) == 2:
+            raise KeyboardInterrupt
+        return real(*args)
+
+    monkeypatch.setattr(fetch, "store", cut_off)
+    with pytest.raises(KeyboardInterrupt):
+        ask(urls, slices=3)
+    monkeypatch.setattr(fetch, "store", real)
+    first = diary.asked()
+    rows = ask(urls, slices=3)
+    second = diary.asked()
+    assert sorted(first + second) == ["http://h/1 1", "http://h/2 1", "http://h/3 0", "http://h/4 0"] and first and second
+    assert {i: r.download_status.split(":")[0] for i, r in rows.items()} == {0: "missing_url", 1: "success", 2: "timeout", 3: "unexpected_error", 4: "file_io_error", 5: "success"}
+    assert Path(rows[1].image_path).read_bytes() == b"body1" and rows[5].n_bytes == 5 and rows[2].image_path is None
+    assert rows[1].header.ok is False and rows[1].caption == "x"
+    assert ask(urls)[5] == rows[5] and diary.asked() == []
+    with pytest.raises(ValueError, match="NULL"):
+        ask(urls.withColumn("id", F.expr("nullif(id, 3)")))

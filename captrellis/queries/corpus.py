@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +17,7 @@ from captrellis.operators import gate, ordering
 from captrellis.plans.jobs import first_images
 from captrellis.queries.twins import draw, order_key, quoted
 from captrellis.session import stage_path
-from captrellis.sources.fetch import FetchError, FetchTimeout, Response, fetch_in_rounds
+from captrellis.sources.fetch import fetch_in_rounds, mirror_fetcher
 from captrellis.sources.store import scan_store, store, with_bodies
 from captrellis.sources.tables import column_audit, extended, read_table, write_table
 
@@ -65,34 +63,31 @@ def required_columns(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-def simulated_fetcher(url: str, attempt: int) -> Response:
-    """A transport whose outcome per attempt follows from a digest of the URL."""
-    outcome = int(hashlib.md5(f"{url}:{attempt}".encode()).hexdigest()[0], 16)
-    if outcome in (0, 1):
-        raise FetchTimeout("slow")
-    if outcome == 2:
-        raise FetchError("404 for url")
-    if outcome == 4:
-        raise RuntimeError("boom")
-
-    def body() -> bytes:
-        if outcome == 3:
-            raise OSError("connection broken")
-        return f"<{url}>".encode()
-
-    kinds = {5: None, 6: "image/png", 7: "image/jpeg; charset=binary", 8: "image/unheard-of"}
-    return Response(kinds.get(outcome, "text/html"), body)
+# Name endings of mirrored files; the transport knows the type of the first three.
+_ENDINGS = [".html", ".png", ".jpg", "", ".unheard-of"]
 
 
 def _fetched(spark: SparkSession, d: str) -> DataFrame:
-    pages = read_table(spark, f"{d}/pages.parquet", columns=["page_id", "url"])
+    """Pages fetched from a mirror of files; some URLs are missing, lead nowhere or lead out of the mirror."""
+    pages = read_table(spark, f"{d}/pages.parquet", columns=["page_id", "html"])
+    ending = F.get(F.array(*[F.lit(e) for e in _ENDINGS]), pick(len(_ENDINGS), "ending", "page_id").cast("int"))
+    name = F.concat(F.sha2(F.col("page_id").cast("string"), 256), ending)
+    folder = stage_path(spark, "mirror")
+    files, _ = store(pages.select("page_id", name.alias("name"), F.encode("html", "utf-8").alias("content")), folder)
     fate = pick(20, "fate", "page_id")
-    urls = pages.select(
-        "page_id", F.when(fate == 0, F.lit(None)).when(fate == 1, F.lit("")).otherwise(F.col("url")).alias("image_url")
+    url = (
+        F.when(fate == 0, F.lit(None))
+        .when(fate == 1, F.lit(""))
+        .when(fate == 2, F.concat("image_path", F.lit(".gone")))
+        .when(fate == 3, F.lit("/etc/hostname"))
+        .otherwise(F.col("image_path"))
     )
     tasks = max(spark.sparkContext.defaultParallelism, 1)
-    done = fetch_in_rounds(urls, simulated_fetcher, "page_id", stage_path(spark, "fetched"), tasks=tasks, delay=0.0, slices=2)
-    return done.withColumn("image_path", F.regexp_replace("image_path", "^.*/", "images/"))
+    urls = files.select("page_id", url.alias("image_url"))
+    done = fetch_in_rounds(urls, mirror_fetcher(folder), "page_id", stage_path(spark, "fetched"), tasks=tasks, delay=0.0)
+    # Folders are drawn anew in each run: names tell the files apart.
+    named = done.withColumn("image_path", F.regexp_replace("image_path", "^.*/", "images/"))
+    return named.withColumn("image_url", F.regexp_replace("image_url", "^.*/", ""))
 
 
 def fetch_status(spark: SparkSession, d: str) -> DataFrame:
@@ -264,27 +259,17 @@ QUERIES = {
 }
 
 
-def _outcome(a: str) -> str:
-    return f"""CASE WHEN {a} IN ('0', '1') THEN 'timeout' WHEN {a} = '2' THEN 'request_error: 404 for url'
-        WHEN {a} = '3' THEN 'file_io_error: connection broken' WHEN {a} = '4' THEN 'unexpected_error: boom' ELSE 'success' END"""
-
-
 _FETCHED = f"""
-    urls AS (
-      SELECT page_id, CASE {draw(20, 'fate', 'page_id')} WHEN 0 THEN NULL WHEN 1 THEN '' ELSE url END AS image_url FROM pages
-    ),
-    tries AS (SELECT *, md5(image_url || ':0')[1] AS a, md5(image_url || ':1')[1] AS b FROM urls),
-    last AS (SELECT *, CASE WHEN a IN ('0', '1', '2') THEN b ELSE a END AS z FROM tries),
-    states AS (
-      SELECT *, CASE WHEN coalesce(image_url, '') = '' THEN 'missing_url' ELSE {_outcome('z')} END AS download_status FROM last
-    ),
+    urls AS (SELECT *, {draw(20, 'fate', 'page_id')} AS fate, {draw(len(_ENDINGS), 'ending', 'page_id')} AS e, sha256(page_id::VARCHAR) AS id FROM pages),
     fetched AS (
-      SELECT page_id, image_url, download_status,
-             CASE WHEN download_status = 'success' THEN 'images/' || sha256(page_id::VARCHAR) ||
-               CASE z WHEN '5' THEN '.jpg' WHEN '6' THEN '.png' WHEN '7' THEN '.jpg' WHEN '8' THEN '.bin' ELSE '.html' END
-             END AS image_path,
-             CASE WHEN download_status = 'success' THEN octet_length(encode('<' || image_url || '>')) END::BIGINT AS n_bytes
-      FROM states
+      SELECT page_id,
+             CASE fate WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 3 THEN 'hostname'
+               ELSE id || [{', '.join(quoted(x) for x in _ENDINGS)}][e + 1] || CASE fate WHEN 2 THEN '.gone' ELSE '' END END AS image_url,
+             CASE WHEN fate < 2 THEN 'missing_url' WHEN fate = 2 THEN 'request_error: not found'
+               WHEN fate = 3 THEN 'request_error: outside the mirror' ELSE 'success' END AS download_status,
+             CASE WHEN fate > 3 THEN 'images/' || id || ['.html', '.png', '.jpg', '.jpg', '.jpg'][e + 1] END AS image_path,
+             CASE WHEN fate > 3 THEN octet_length(encode(html)) END::BIGINT AS n_bytes
+      FROM urls
     )"""
 
 _SENT_SQL = "[" + ", ".join("NULL" if s is None else quoted(s) for s in _SENT) + "]"

@@ -22,7 +22,7 @@ from pyspark.sql.types import BinaryType, StringType
 
 from captrellis.functions.images import extension_for, probe
 from captrellis.sources.blobs import blob_name
-from captrellis.sources.store import committed_jobs, store
+from captrellis.sources.store import committed_jobs, file_system, store
 from captrellis.sources.tables import extended, require_columns
 
 #: Attempts, seconds until a timeout, seconds between attempts.
@@ -92,6 +92,36 @@ def http_fetcher(timeout: float = TIMEOUT_SECONDS) -> Callable[[str, int], Respo
     return fetch
 
 
+def mirror_fetcher(root: str) -> Callable[[str, int], Response]:
+    """A fetcher of mirrored files: URLs are paths or URIs below ``root``, on any file system that Arrow knows.
+
+    The content type follows from the name. The URLs are not trusted: a path outside ``root`` is refused.
+    """
+
+    def fetch(url: str, attempt: int) -> Response:
+        import mimetypes
+        import posixpath
+
+        fs, base = file_system(root)
+        # A plain path belongs to the root's file system; a URI must begin like the root.
+        scheme = root.partition("://")[0] + "://" if "://" in root else "file://"
+        path = posixpath.normpath(url.removeprefix(scheme))
+        if "://" in url.removeprefix(scheme) or not path.startswith(base + "/"):
+            raise FetchError("outside the mirror")
+        try:
+            source = fs.open_input_stream(path)
+        except OSError as e:
+            raise FetchError("not found") from e
+
+        def body() -> bytes:
+            with source:
+                return source.read()
+
+        return Response(mimetypes.guess_type(path)[0], body)
+
+    return fetch
+
+
 def fetch_one(
     url: str | None, fetcher: Callable[[str, int], Response], attempts: int, delay: float, first: int = 0
 ) -> tuple[str, str | None, bytes | None]:

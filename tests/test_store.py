@@ -145,3 +145,18 @@ def test_rounds_go_on_where_they_stopped(spark, tmp_path, monkeypatch):
     assert ask(urls)[5] == rows[5] and diary.asked() == []
     with pytest.raises(ValueError, match="NULL"):
         ask(urls.withColumn("id", F.expr("nullif(id, 3)")))
+
+
+def test_mirror_fetcher_stays_in_its_folder(tmp_path):
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m/a.png").write_bytes(b"x")
+    (tmp_path / "secret").write_bytes(b"y")
+    ask = fetch.mirror_fetcher(str(tmp_path / "m"))
+    kind, body = ask(str(tmp_path / "m/a.png"), 0)
+    assert kind == "image/png" and body() == b"x"
+    for url in (f"{tmp_path}/m/../secret", f"{tmp_path}/secret", "../secret", "/etc/hostname", f"{tmp_path}/mm/a.png", "http://h/m/a.png"):
+        with pytest.raises(fetch.FetchError, match="outside"):
+            ask(url, 0)
+    for url in (f"{tmp_path}/m/b.png", f"{tmp_path}/m/a.png/c"):
+        with pytest.raises(fetch.FetchError, match="not found"):
+            ask(url, 0)

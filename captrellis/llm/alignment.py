@@ -1,8 +1,8 @@
 """Alignment of the tokens of two tokenizers over the same text.
 
-Per text, two dictionaries lead from the byte offsets at which tokens end to token indexes. Offsets in both, a hash-set
-intersection, are cuts: sorted, they slice both id lists into groups that cover the same bytes. Every token of a group
-is linked with every token of the other side.
+Per text, a dictionary leads from the byte offsets at which one side's tokens end to their indexes. The other side's
+ends are looked up in it: common offsets, in rising order, slice both id lists into groups that cover the same bytes.
+Every token of a group is linked with every token of the other side.
 
 Id pairs are counted by the number of texts that link them. Texts are never shuffled: each is encoded once into a
 staged row with its pairs, the pairs are counted with map-side sums, and the table of counts comes back to the staged
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import repeat
 from pathlib import Path
 
 import numpy as np
@@ -42,8 +42,8 @@ class PieceTokens:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
 
-    def encode(self, text: str) -> list[int]:
-        return self.model.encode([text], num_threads=1)[0]
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return self.model.encode(texts, num_threads=1)
 
     def token_bytes(self) -> list[bytes]:
         m = self.model
@@ -57,41 +57,50 @@ class Aligner:
     def __init__(self, byte_path: str, piece_path: str) -> None:
         self.a, self.b = ByteTokens(byte_path, special=False), PieceTokens(piece_path)
         self.bytes_a, self.bytes_b = self.a.token_bytes(), self.b.token_bytes()
-        self.sizes_a, self.sizes_b = [len(t) for t in self.bytes_a], [len(t) for t in self.bytes_b]
-        self.shown_a, self.shown_b = [str(i) for i in range(len(self.bytes_a))], [str(i) for i in range(len(self.bytes_b))]
-
-    def tokens(self, text: str | None) -> tuple[list[int], list[int]]:
-        """Ids of both sides; none for an empty text and where the tokens' bytes are not those of blank and text."""
-        if not text:
-            return [], []
-        whole = (" " + text).encode()
-        a, b = self.a.encode(" " + text), self.b.encode(text)
-        if b"".join(map(self.bytes_a.__getitem__, a)) != whole or b"".join(map(self.bytes_b.__getitem__, b)) != whole:
-            return [], []
-        return a, b
-
-    def cuts(self, a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-        """Ends of the groups as token counts of either side."""
-        ends_a = dict(zip(accumulate(map(self.sizes_a.__getitem__, a)), range(1, len(a) + 1)))
-        ends_b = dict(zip(accumulate(map(self.sizes_b.__getitem__, b)), range(1, len(b) + 1)))
-        common = sorted(ends_a.keys() & ends_b.keys())
-        return [ends_a[e] for e in common], [ends_b[e] for e in common]
-
-    def shown(self, a: list[int], b: list[int], cuts_a: list[int], cuts_b: list[int]) -> str:
+        self.sizes_a, self.sizes_b = (np.array([len(t) for t in side], np.int64) for side in (self.bytes_a, self.bytes_b))
+        # Byte-level merges only join neighbours: with a token for every byte they spell any text.
+        self.spells = {bytes([i]) for i in range(256)} <= set(self.bytes_a)
+        # Every id as it is printed inside a group and at the end of its side of a group, as rows of bytes.
+        shown = [f"{i}{mark}".encode() for ids, last in ((len(self.bytes_a), "|"), (len(self.bytes_b), ";")) for mark in (",", last) for i in range(ids)]
+        width = max(map(len, shown))
+        self.printed = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in shown), np.uint8).reshape(-1, width)
+        self.filled = self.printed > 0
+
+    def tokens(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Ids of both sides and the byte ends of both; none for empty texts and where the tokens' bytes are not blank and text."""
+        none = np.empty(0, np.int64)
+        for text, b in zip(texts, self.b.encode([t or "" for t in texts])):
+            whole = " " + (text or "")
+            a = self.a.encode(whole) if text else []
+            whole = whole.encode()
+            ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
+            ends_a, ends_b = np.cumsum(self.sizes_a[ids_a]), np.cumsum(self.sizes_b[ids_b])
+            same = text and ends_a[-1:] == ends_b[-1:] == len(whole) and b"".join(map(self.bytes_b.__getitem__, b)) == whole
+            if same and not self.spells:
+                same = b"".join(map(self.bytes_a.__getitem__, a)) == whole
+            yield (ids_a, ids_b, ends_a, ends_b) if same else (none, none, none, none)
+
+    def cuts(self, ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ends of the groups as token counts of either side: byte ends of one found in the dictionary of the other's."""
+        index_a = dict(zip(ends_a.tolist(), range(1, len(ends_a) + 1)))
+        found = np.fromiter(map(index_a.get, ends_b.tolist(), repeat(0)), np.int64, len(ends_b))
+        common = np.flatnonzero(found)  # in rising order, like the ends
+        return found[common], common + 1
+
+    def shown(self, a: np.ndarray, b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.ndarray) -> bytes:
         """``a1,a2|b1;a3|b2,b3``: the ids of all groups in decimal."""
-        left, right = [self.shown_a[i] for i in a], [self.shown_b[i] for i in b]
-        out, i, j = [], 0, 0
-        for k, m in zip(cuts_a, cuts_b):
-            one_a = left[i] if k - i == 1 else ",".join(left[i:k])
-            out.append(f"{one_a}|{right[j] if m - j == 1 else ','.join(right[j:m])}")
-            i, j = k, m
-        return ";".join(out)
+        size_a, size_b = np.diff(cuts_a, prepend=0), np.diff(cuts_b, prepend=0)
+        last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        last_a[cuts_a - 1], last_b[cuts_b - 1] = True, True
+        out = np.empty(len(a) + len(b), np.int64)
+        # Before a token of the first side stand the second side's earlier groups; before one of the second, its own group too.
+        out[np.arange(len(a)) + np.repeat(cuts_b - size_b, size_a)] = a + last_a * len(self.bytes_a)
+        out[np.arange(len(b)) + np.repeat(cuts_a, size_b)] = b + last_b * len(self.bytes_b) + 2 * len(self.bytes_a)
+        return self.printed[out][self.filled[out]].tobytes()[:-1]
 
 
-def linked_pairs(a: list[int], b: list[int], cuts_a: list[int], cuts_b: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def linked_pairs(ids_a: np.ndarray, ids_b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct id pairs of a text, packed and sorted, and how many links each has."""
-    ids_a, ids_b = np.asarray(a, np.int64), np.asarray(b, np.int64)
-    ends_a, ends_b = np.asarray(cuts_a, np.int64), np.asarray(cuts_b, np.int64)
     size_a, size_b = np.diff(ends_a, prepend=0), np.diff(ends_b, prepend=0)
     # Every token of the first side is linked with the tokens of its group: `fan` of them, from `first` on.
     fan, first = np.repeat(size_b, size_a), np.repeat(ends_b - size_b, size_a)
@@ -103,9 +112,10 @@ def linked_pairs(a: list[int], b: list[int], cuts_a: list[int], cuts_b: list[int
         own = fan[start:stop]
         at = np.arange(own.sum()) + np.repeat(first[start:stop] - np.cumsum(own) + own, own)
         packed = np.repeat(ids_a[start:stop] << ID_BITS, own) | ids_b[at]
-        p, n = np.unique(packed, return_counts=True)
-        pairs.append(p)
-        links.append(n)
+        packed.sort()
+        fresh = np.flatnonzero(np.concatenate([[True], packed[1:] != packed[:-1]]))
+        pairs.append(packed[fresh])
+        links.append(np.diff(fresh, append=len(packed)))
         start, done = stop, int(through[stop - 1])
     if len(pairs) < 2:
         return (pairs[0], links[0]) if pairs else (np.empty(0, np.int64), np.empty(0, np.int64))
@@ -134,11 +144,10 @@ def align(docs: DataFrame, byte_path: str, piece_path: str, key: str = "doc_id",
         for batch in batches:
             for part in slices(batch, "text"):
                 out: dict[str, list] = {c: [] for c in ("row", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "links")}
-                for t in part.column("text"):
-                    a, b = aligner.tokens(t.as_py())
-                    cuts = aligner.cuts(a, b)
+                for a, b, ends_a, ends_b in aligner.tokens(part.column("text").to_pylist()):
+                    cuts = aligner.cuts(ends_a, ends_b)
                     pairs, links = linked_pairs(a, b, *cuts)
-                    digest = hashlib.sha256(aligner.shown(a, b, *cuts).encode()).hexdigest() if a else ""
+                    digest = hashlib.sha256(aligner.shown(a, b, *cuts)).hexdigest() if len(a) else ""
                     row = (number, len(a), len(b), len(cuts[0]), int(links.sum()), digest, pairs, links)
                     for column, value in zip(out.values(), row):
                         column.append(value)

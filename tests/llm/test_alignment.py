@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -89,12 +90,13 @@ def test_null_and_repeated_keys_and_empty_tables(spark):
 
 
 def test_large_groups_expand_in_steps(monkeypatch):
-    a, b = [1, 2, 1, 3] * 10, [5, 6, 5] * 9
-    whole = linked_pairs(a, b, [8, 40], [2, 27])
+    a, b = np.array([1, 2, 1, 3] * 10), np.array([5, 6, 5] * 9)
+    cuts = np.array([8, 40]), np.array([2, 27])
+    whole = linked_pairs(a, b, *cuts)
     monkeypatch.setattr("captrellis.llm.alignment.LINK_STEP", 7)
-    small = linked_pairs(a, b, [8, 40], [2, 27])
+    small = linked_pairs(a, b, *cuts)
     assert [x.tolist() for x in whole] == [x.tolist() for x in small]
-    expected = Counter((x << 32) | y for g in ((a[:8], b[:2]), (a[8:], b[2:])) for x in g[0] for y in g[1])
+    expected = Counter(int(x) << 32 | int(y) for g in ((a[:8], b[:2]), (a[8:], b[2:])) for x in g[0] for y in g[1])
     assert dict(zip(*[x.tolist() for x in whole])) == expected
 
 
@@ -111,6 +113,8 @@ def test_both_libraries_agree_on_every_code_point():
 
 def test_tokens_spell_the_text():
     aligner = Aligner(BYTES, PIECES)
-    a, b = aligner.tokens("plain words")
+    a, b, ends, _ = next(aligner.tokens(["plain words"]))
+    assert ends.tolist() == [6, 12]
     assert b"".join(aligner.bytes_a[i] for i in a) == b"".join(aligner.bytes_b[i] for i in b) == b" plain words"
     assert aligner.bytes_a[50256] == b"<|endoftext|>"
+

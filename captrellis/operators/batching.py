@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from captrellis.operators.ordering import number_by_key, number_shuffled
+from captrellis.operators.ordering import RANGE_ROWS, number_by_key, number_shuffled, numbered
 from captrellis.operators.skew import HOT_ROWS, lookup
+from captrellis.session import stage
 
 IGNORED_LABEL = -100
 
@@ -27,40 +28,23 @@ def special_id(token: str, ids: Sequence[int] = (PAD_ID, UNK_ID, IMAGE_ID), toke
     return ids[list(tokens).index(token)]
 
 
-def build_vocab(df: DataFrame, tokens: str) -> DataFrame:
+def build_vocab(df: DataFrame, tokens: str, range_rows: int = RANGE_ROWS) -> DataFrame:
     """``token, id, is_special, uses``: words ranked by (count descending, word), after the specials.
 
     Special tokens among the words are not ranked again.
-    Counting combines map-side. The rank is a global order over distinct words.
+    Counting combines map-side. The counts, one narrow row per distinct word, are stored and numbered
+    in ranges of equal size, however many words share a count or a beginning.
     """
-    # The filter stands here so that all three uses of the counts share one shuffle.
     words = (
         df.select(F.explode(tokens).alias("token"))
         .where(F.col("token").isNotNull() & ~F.col("token").isin(*SPECIAL_TOKENS))
         .groupBy("token")
         .agg(F.count("*").alias("uses"))
     )
-    # A global rank without one task sorting every word: words with equal counts and
-    # equal first letters form a small window; the tables of counts and of leads,
-    # far smaller than the words, tell how many words come before it.
-    lead = F.substring("token", 1, 3)
-    per_lead = words.groupBy("uses", lead.alias("_lead")).agg(F.count("*").alias("_words"))
-    per_count = per_lead.groupBy("uses").agg(F.sum("_words").alias("_words"))
-    higher = per_count.select(
-        "uses", (F.sum("_words").over(Window.orderBy(F.col("uses").desc())) - F.col("_words")).alias("_higher")
-    )
-    earlier = per_lead.select(
-        "uses",
-        "_lead",
-        (F.sum("_words").over(Window.partitionBy("uses").orderBy("_lead")) - F.col("_words")).alias("_earlier"),
-    )
-    before = earlier.join(higher, "uses").select("uses", "_lead", (F.col("_higher") + F.col("_earlier")).alias("_before"))
-    inside = Window.partitionBy("uses", "_lead").orderBy("token")
-    ranked = words.withColumn("_lead", lead).withColumn("_pos", F.row_number().over(inside)).join(before, ["uses", "_lead"])
-    first = len(SPECIAL_TOKENS)
+    ranked = numbered(stage(words, "word-counts"), [F.col("uses").desc(), F.col("token")], "_rank", range_rows=range_rows)
     ids = ranked.select(
         "token",
-        (F.col("_before") + F.col("_pos") - 1 + first).cast("bigint").alias("id"),
+        (F.col("_rank") - 1 + len(SPECIAL_TOKENS)).cast("bigint").alias("id"),
         F.lit(False).alias("is_special"),
         "uses",
     )

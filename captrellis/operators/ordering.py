@@ -5,16 +5,18 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from captrellis.functions.hashing import order_key, pick
+from captrellis.session import stage
 
-#: Leading hex digits of the hash that form a bucket: 16**4 = 65,536 even buckets.
-BUCKET_DIGITS = 4
-#: Range buckets for a row number in key order.
-RANGE_BUCKETS = 1024
+#: Hex digits of the hash that one step towards a cut looks at: at most 16**4 = 65,536 counts.
+STEP_DIGITS = 4
+#: Rows of one range, which one task sorts and numbers.
+RANGE_ROWS = 1_000_000
+#: Counts whose prefix sums one task takes.
+COUNTS_IN_TASK = 4096
 
 
 def shuffled(df: DataFrame, keys: Sequence[str], seed: int | str) -> DataFrame:
@@ -22,113 +24,109 @@ def shuffled(df: DataFrame, keys: Sequence[str], seed: int | str) -> DataFrame:
     return df.orderBy(order_key(seed, *keys), *keys)
 
 
-def _offsets(counts: DataFrame, bucket: str) -> DataFrame:
-    """``bucket, _before, _total`` from ``bucket, _rows``.
+def _before(counts: DataFrame, place: str) -> DataFrame:
+    """``place, _before``: rows in front of each place, from ``place, _rows``; places are numbers from 0.
 
-    The window without partitions sees one row per bucket, at most 65,536 rows.
+    Prefix sums on two levels: inside groups of :data:`COUNTS_IN_TASK` places, and over the groups.
     """
-    ordered = Window.orderBy(bucket)
-    return counts.select(
-        bucket,
-        (F.sum("_rows").over(ordered) - F.col("_rows")).alias("_before"),
-        F.sum("_rows").over(Window.partitionBy()).alias("_total"),
+    grouped = counts.withColumn("_group", F.floor(F.col(place) / COUNTS_IN_TASK))
+    groups = grouped.groupBy("_group").agg(F.sum("_rows").alias("_all"))
+    earlier = groups.select("_group", (F.sum("_all").over(Window.orderBy("_group")) - F.col("_all")).alias("_earlier"))
+    inside = F.sum("_rows").over(Window.partitionBy("_group").orderBy(place)) - F.col("_rows")
+    return grouped.withColumn("_inside", inside).join(F.broadcast(earlier), "_group").select(
+        place, (F.col("_inside") + F.col("_earlier")).alias("_before")
     )
 
 
-def number_shuffled(
-    df: DataFrame, keys: Sequence[str], seed: int | str, rn: str = "rn", total: str | None = None
+def numbered(
+    df: DataFrame, order: Sequence[Column | str], rn: str = "rn", total: str | None = None, range_rows: int = RANGE_ROWS
 ) -> DataFrame:
-    """Dense 1-based position of every row in the seeded order; ``keys`` must be unique.
+    """Dense 1-based position of every row in ``order``, which must tell all rows apart.
 
-    Hash prefixes split the order into even buckets; a broadcast table of bucket
-    offsets (at most 65,536 rows) turns positions inside a bucket into positions
-    in the whole table. ``total`` names an optional column with the row count.
+    Spark deals the rows to ranges by a sample of the order; their number follows the row count. A task sorts its
+    range and writes it with the places inside; the counts of the ranges, one narrow row each, then turn places into
+    positions. Positions do not depend on where the borders fall. ``df`` is read three times (count, sample, rows):
+    pass a stored table. ``total`` names an optional column with the row count.
     """
-    h = order_key(seed, *keys)
-    bucketed = df.withColumn("_h", h).withColumn("_bucket", F.substring("_h", 1, BUCKET_DIGITS))
-    counts = (
-        df.select(F.substring(h, 1, BUCKET_DIGITS).alias("_bucket")).groupBy("_bucket").agg(F.count("*").alias("_rows"))
-    )
-    w = Window.partitionBy("_bucket").orderBy("_h", *keys)
-    out = bucketed.withColumn("_pos", F.row_number().over(w)).join(
-        F.broadcast(_offsets(counts, "_bucket")), "_bucket"
+    rows = df.count()
+    ranges = max(-(-rows // range_rows), df.sparkSession.sparkContext.defaultParallelism)
+    # The id is the number of the task in its upper bits and the place among the task's rows in the lower 33.
+    placed = stage(
+        df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()),
+        "numbered",
     )
-    out = out.withColumn(rn, (F.col("_pos") + F.col("_before")).cast("bigint"))
+    placed = placed.withColumn("_range", F.shiftright("_at", 33))
+    counts = placed.groupBy("_range").agg(F.count("*").alias("_rows"))
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    # One row per range: a millionth of the rows.
+    out = placed.join(F.broadcast(_before(counts, "_range")), "_range").withColumn(rn, place + F.col("_before") + 1)
     if total:
-        out = out.withColumn(total, F.col("_total"))
-    return out.drop("_h", "_bucket", "_pos", "_before", "_total")
+        out = out.withColumn(total, F.lit(rows).cast("bigint"))
+    return out.drop("_at", "_range", "_before")
 
 
-def number_by_key(df: DataFrame, key: str, rn: str = "rn", buckets: int = RANGE_BUCKETS) -> DataFrame:
-    """Dense 1-based position of every row in ascending order of a unique numeric ``key``.
+def number_shuffled(
+    df: DataFrame, keys: Sequence[str], seed: int | str, rn: str = "rn", total: str | None = None, range_rows: int = RANGE_ROWS
+) -> DataFrame:
+    """Dense 1-based position of every row in the seeded order; ``keys`` must be unique."""
+    return numbered(df.withColumn("_h", order_key(seed, *keys)), ["_h", *keys], rn, total, range_rows).drop("_h")
 
-    Approximate quantiles of the key (a bounded list) only place the bucket
-    borders; the numbers do not depend on where the borders fall.
-    """
-    quantiles = df.agg(
-        F.percentile_approx(F.col(key).cast("double"), [i / buckets for i in range(1, buckets)], 100 * buckets).alias("q")
-    ).first()["q"]
-    borders = [-math.inf, *sorted(set(quantiles or [])), math.inf]
-    if len(borders) < 3:
-        borders = [-math.inf, 0.0, math.inf]
-    cut = Bucketizer(splits=borders, inputCol="_key", outputCol="_bucket", handleInvalid="error")
-
-    def bucketed(d: DataFrame) -> DataFrame:
-        return cut.transform(d.withColumn("_key", F.col(key).cast("double"))).drop("_key")
-
-    counts = bucketed(df.select(key)).groupBy("_bucket").agg(F.count("*").alias("_rows"))
-    w = Window.partitionBy("_bucket").orderBy(key)
-    return (
-        bucketed(df)
-        .withColumn("_pos", F.row_number().over(w))
-        .join(F.broadcast(_offsets(counts, "_bucket")), "_bucket")
-        .withColumn(rn, (F.col("_pos") + F.col("_before")).cast("bigint"))
-        .drop("_bucket", "_pos", "_before", "_total")
-    )
 
+def number_by_key(df: DataFrame, key: str, rn: str = "rn", range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Dense 1-based position of every row in ascending order of a unique ``key``; a NULL key comes first."""
+    return numbered(df, [key], rn, range_rows=range_rows)
 
-def hash_cut(
-    df: DataFrame, keys: Sequence[str], fraction: float, seed: int | str, rounding: str
-) -> tuple[str | None, int, int]:
-    """``(cut, n, total)``: rows whose order key is at most ``cut`` are exactly the first ``n``.
 
-    Only key hashes are counted: once per bucket over the table, then inside the
-    one bucket that holds the border. Selecting rows afterwards is a plain filter.
+def _cut_at(df: DataFrame, keys: Sequence[str], seed: int | str, n: int, range_rows: int = RANGE_ROWS) -> str | None:
+    """The order key that exactly the first ``n`` rows do not exceed; None if there are fewer rows.
+
+    A radix search: each step counts the rows by the next digits of the key and goes on in the one place that holds
+    row ``n``, until that place has at most ``range_rows`` rows, whose keys are then sorted.
     """
-    if not 0.0 <= fraction <= 1.0:
-        raise ValueError("fraction must lie between 0 and 1")
-    if rounding not in ("floor", "ceil"):
-        raise ValueError("rounding is 'floor' or 'ceil'")
     h = df.select(order_key(seed, *keys).alias("_h"))
-    bucket = F.substring("_h", 1, BUCKET_DIGITS)
-    counts = h.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("_rows"))
-    size = getattr(F, rounding)(F.lit(float(fraction)) * F.col("_total")).cast("bigint")
-    edge = (
-        counts.join(_offsets(counts, "_bucket"), "_bucket")
-        .withColumn("_n", size)
-        .where((F.col("_before") < F.greatest("_n", F.lit(1))) & (F.col("_before") + F.col("_rows") >= F.col("_n")))
-        .orderBy("_bucket")
-        .limit(1)
-        .first()
-    )
-    if edge is None:
-        return None, 0, 0
-    n, total = edge["_n"], edge["_total"]
-    if n == 0:
-        return None, 0, total
+    prefix, wanted = "", n
+    while True:
+        counts = (
+            h.where(F.col("_h").startswith(prefix))
+            .groupBy(F.substring("_h", len(prefix) + 1, STEP_DIGITS).alias("_digits"))
+            .agg(F.count("*").alias("_rows"))
+        )
+        upto = F.sum("_rows").over(Window.orderBy("_digits"))  # at most 65,536 rows
+        edge = counts.withColumn("_upto", upto).where(F.col("_upto") >= wanted).orderBy("_digits").limit(1).first()
+        if edge is None:
+            return None
+        prefix, wanted = prefix + edge["_digits"], wanted - (edge["_upto"] - edge["_rows"])
+        if edge["_rows"] <= range_rows or not edge["_digits"]:
+            break
     inside = (
-        h.where(bucket == edge["_bucket"])
+        h.where(F.col("_h").startswith(prefix))
         .groupBy("_h")
         .agg(F.count("*").alias("_rows"))
         .withColumn("_upto", F.sum("_rows").over(Window.orderBy("_h")))
-        .where(F.col("_upto") >= n - edge["_before"])
+        .where(F.col("_upto") >= wanted)
         .orderBy("_h")
         .limit(1)
         .first()
     )
-    if inside["_upto"] != n - edge["_before"]:
+    if inside["_upto"] != wanted:
         raise ValueError(f"{list(keys)} must identify every row for an exact cut")
-    return inside["_h"], n, total
+    return inside["_h"]
+
+
+def hash_cut(
+    df: DataFrame, keys: Sequence[str], fraction: float, seed: int | str, rounding: str
+) -> tuple[str | None, int, int]:
+    """``(cut, n, total)``: rows whose order key is at most ``cut`` are exactly the first ``n``.
+
+    Only key hashes are counted (:func:`_cut_at`). Selecting rows afterwards is a plain filter.
+    """
+    if not 0.0 <= fraction <= 1.0:
+        raise ValueError("fraction must lie between 0 and 1")
+    if rounding not in ("floor", "ceil"):
+        raise ValueError("rounding is 'floor' or 'ceil'")
+    total = df.count()
+    n = getattr(math, rounding)(float(fraction) * total)
+    return (_cut_at(df, keys, seed, n) if n else None), n, total
 
 
 def _first_part(keys: Sequence[str], seed: int | str, cut: str | None) -> Column:
@@ -150,8 +148,11 @@ def train_test_split(
 
 
 def row_at(df: DataFrame, keys: Sequence[str], position: int, seed: int | str) -> DataFrame:
-    """The row at a 0-based position of the seeded order."""
-    return number_shuffled(df, keys, seed).where(F.col("rn") == position + 1).drop("rn")
+    """The row at a 0-based position of the seeded order, or none: a filter over the scan, no rows are numbered."""
+    if position < 0:
+        raise ValueError("position must not be negative")
+    cut = _cut_at(df, keys, seed, position + 1)
+    return df.where(F.lit(False) if cut is None else order_key(seed, *keys) == F.lit(cut))
 
 
 def few_shot_draws(

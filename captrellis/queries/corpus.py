@@ -229,6 +229,11 @@ def shuffle_order(spark: SparkSession, d: str) -> DataFrame:
     return ranked.withColumn("at_100", F.col("rn") == 101)
 
 
+def row_by_position(spark: SparkSession, d: str) -> DataFrame:
+    """The document at position 100 of the seeded order."""
+    return ordering.row_at(read_table(spark, f"{d}/documents.parquet"), ["doc_id"], 100, 42)
+
+
 def exact_sample(spark: SparkSession, d: str) -> DataFrame:
     docs = read_table(spark, f"{d}/documents.parquet", columns=["doc_id", "lang"])
     return ordering.exact_sample(docs, ["doc_id"], 0.35, 7)
@@ -254,6 +259,7 @@ QUERIES = {
     "reject_anti_join": reject_anti_join,
     "drop_report": drop_report,
     "shuffle_order": shuffle_order,
+    "row_by_position": row_by_position,
     "exact_sample": exact_sample,
     "train_test_split": train_test_split,
 }
@@ -336,6 +342,8 @@ ORACLES = {
         FROM a""",
     "shuffle_order": f"""SELECT doc_id, rn, rn = 101 AS at_100
         FROM (SELECT doc_id, row_number() OVER (ORDER BY {order_key(42, 'doc_id')}) AS rn FROM documents)""",
+    "row_by_position": f"""SELECT doc_id, text, lang, source, n_chars
+        FROM (SELECT *, row_number() OVER (ORDER BY {order_key(42, 'doc_id')}) AS rn FROM documents) WHERE rn = 101""",
     "exact_sample": f"""SELECT doc_id, lang
         FROM (SELECT doc_id, lang, row_number() OVER (ORDER BY {order_key(7, 'doc_id')}) AS rn, count(*) OVER () AS n FROM documents)
         WHERE rn <= floor(0.35::DOUBLE * n)""",

@@ -2,8 +2,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from captrellis.operators import batching
+from captrellis.operators import batching, ordering
 from captrellis.operators.inference import collate, map_rows, predict
+from captrellis.session import stage
 
 
 @pytest.fixture(scope="module")
@@ -98,6 +99,18 @@ def test_special_tokens_are_not_ranked_again(spark):
     assert batching.encode(df, vocab, ["k"], "t").first().ids == [2, 3, 4, 3]
 
 
+def test_ranks_of_words_with_one_beginning(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(ordering, "stage", lambda d, name: stored.append(stage(d, name)) or stored[-1])
+    words = [f"beginning{i:04d}" for i in range(600)] + ["zebra"] * 3
+    df = spark.createDataFrame([(i, [w]) for i, w in enumerate(words)], "k long, t array<string>").repartition(5)
+    vocab = batching.build_vocab(df, "t", range_rows=50)
+    got = {r["token"]: r["id"] for r in vocab.where("NOT is_special").collect()}
+    assert got == {w: i + 3 for i, w in enumerate(["zebra", *words[:600]])}
+    # The one beginning is dealt over many tasks.
+    assert stored[0].select(F.input_file_name()).distinct().count() >= 12
+
+
 def test_repeated_keys_are_an_error(spark):
     df = spark.createDataFrame([(1, ["a"]), (1, ["b"])], "k long, t array<string>")
     vocab = batching.build_vocab(df, "t")

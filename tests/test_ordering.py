@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from captrellis.functions.hashing import pick
 from captrellis.operators import ordering
+from captrellis.session import stage
 
 
 def numbers(spark, n):
@@ -54,10 +55,10 @@ def test_numbering_is_a_permutation_and_partition_independent(spark):
     assert order == [r["k"] for r in sorted(one, key=lambda r: r["rn"])]
 
 
-@pytest.mark.parametrize("buckets", [2, 16, 1024])
-def test_number_by_key(spark, buckets):
+@pytest.mark.parametrize("range_rows", [1, 3, 1000])
+def test_number_by_key(spark, range_rows):
     df = spark.createDataFrame([(x,) for x in [5, -3, 10**12, 0, 7, 8, 9, 10**15]], "k long")
-    got = sorted((r["k"], r["rn"]) for r in ordering.number_by_key(df, "k", buckets=buckets).collect())
+    got = sorted((r["k"], r["rn"]) for r in ordering.number_by_key(df, "k", range_rows=range_rows).collect())
     assert [rn for _, rn in got] == list(range(1, 9))
 
 
@@ -65,10 +66,35 @@ def test_number_by_key_of_nothing(spark):
     assert ordering.number_by_key(spark.createDataFrame([], "k long"), "k").count() == 0
 
 
+def test_ranges_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "COUNTS_IN_TASK", 7)  # prefix sums over several groups of ranges
+    stored = []
+    monkeypatch.setattr(ordering, "stage", lambda d, name: stored.append(stage(d, name)) or stored[-1])
+    df = numbers(spark, 500).withColumn("kind", F.col("k") % 3)
+    out = ordering.numbered(df, [F.col("kind").desc(), "k"], total="n", range_rows=10)
+    got = sorted(out.collect(), key=lambda r: r["rn"])
+    assert [r["rn"] for r in got] == list(range(1, 501)) and {r["n"] for r in got} == {500}
+    assert [(-r["kind"], r["k"]) for r in got] == sorted((-r["kind"], r["k"]) for r in got)
+    assert stored[0].select(F.input_file_name()).distinct().count() >= 40
+
+
+def test_cut_by_single_steps(spark):
+    df = numbers(spark, 200)
+    order = [r["k"] for r in ordering.shuffled(df, ["k"], 6).collect()]
+    hashes = {r["k"]: r["h"] for r in df.select("k", ordering.order_key(6, "k").alias("h")).collect()}
+    for n in (1, 77, 200):  # ranges of one row: digits are followed until a place holds one row
+        assert ordering._cut_at(df, ["k"], 6, n, range_rows=1) == hashes[order[n - 1]]
+    assert ordering._cut_at(df, ["k"], 6, 201) is None
+
+
 def test_row_at(spark):
     df = numbers(spark, 50)
     want = ordering.shuffled(df, ["k"], 4).collect()[10]["k"]
-    assert [r["k"] for r in ordering.row_at(df, ["k"], 10, 4).collect()] == [want]
+    row = ordering.row_at(df, ["k"], 10, 4)
+    assert [r["k"] for r in row.collect()] == [want]
+    assert ordering.row_at(df, ["k"], 50, 4).isEmpty()
+    with pytest.raises(ValueError):
+        ordering.row_at(df, ["k"], -1, 4)
 
 
 def test_draws(spark):

@@ -1,14 +1,16 @@
 """Benchmark decontamination by a broadcast hash set of test n-grams.
 
-Benchmark texts are cut into windows of 13 words; a shorter one is a single window. The windows' hashes are
-broadcast in blocks of bounded size. A task looks at every word window of its documents, compares hits word by
-word, and gives back the hit words and the items found. Documents are never shuffled.
+Benchmark texts are cut into windows of 13 words; a shorter one is a single window. Blocks of bounded size are
+broadcast, and a worker builds the sorted window hashes of one block as flat arrays. A task looks at every word
+window of its documents, compares hits byte by byte, and gives back the hit words and the items found. Documents
+are never shuffled; with several blocks they are written between two of them, so that a worker holds one block.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,67 +18,113 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from captrellis.llm.common import LOWER_WORDS, bounded_batches, slices, windows, words, worker_cache
+from captrellis.llm.common import LOWER_WORDS, SLICE_BYTES, bounded_batches, hash_words, slices, windows, words, worker_cache
+from captrellis.session import stage
 
 WINDOW = 13
-#: Benchmark text bytes per broadcast block. More text means more blocks, each against all documents.
-BLOCK_BYTES = 32 * 1024 * 1024
+#: Benchmark text bytes per broadcast block: at most half as many words, each 28 bytes in a worker's arrays.
+#: More text means more blocks, each against all documents.
+BLOCK_BYTES = 16 * 1024 * 1024
 
 
 class WindowSet:
-    """Windows of a block of items, for look-up by hash and word by word."""
+    """Windows of a block of items: sorted hashes, and where the words of each stand in the block's plain text."""
 
     def __init__(self, items: list[tuple[int, str]], size: int = WINDOW) -> None:
-        self.vocabulary: dict[bytes, int] = {}
-        self.items: dict[tuple[int, ...], set[int]] = defaultdict(set)
-        for item, text in items:
-            found = (text or "").encode().translate(LOWER_WORDS).split()
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in found]
-            for i in range(max(1, len(ids) - size + 1) if ids else 0):
-                self.items[tuple(ids[i : i + size])].add(item)
-        self.hashes: dict[int, np.ndarray] = {}
-        for length in {len(w) for w in self.items}:
-            flat = np.array([w for w in self.items if len(w) == length], np.uint64)
-            starts = np.arange(0, flat.size + 1, length)
-            self.hashes[length] = np.sort(windows(flat.ravel(), starts, length)[1])
+        self.names = [item for item, _ in items]
+        plain, known, tables = bytearray(), [], defaultdict(list)
+        table = pa.RecordBatch.from_pydict({"item": pa.array(range(len(items)), pa.int32()), "text": pa.array([t for _, t in items], pa.string())})
+        for part in slices(table, limit=SLICE_BYTES):
+            codes, starts, dictionary = words(part.column("text"), LOWER_WORDS)
+            if not len(codes):
+                continue
+            found, hashed = [w.encode() for w in dictionary.to_pylist()], hash_words(dictionary)
+            known = [np.unique(np.concatenate([*known, hashed]))]
+            lengths = np.array([len(w) for w in found])[codes]
+            ends = len(plain) + np.cumsum(lengths + 1) - 1
+            begins = ends - lengths
+            plain += b" ".join([found[c] for c in codes.tolist()]) + b" "
+            counts = np.diff(starts)
+            rows = np.repeat(part.column("item").to_numpy(), counts)
+            for length in np.unique(np.minimum(counts[counts > 0], size)).tolist():
+                at, window = windows(hashed[codes], starts, length)
+                if length < size:  # only items of just so many words
+                    whole = np.repeat(counts == length, counts)[at]
+                    at, window = at[whole], window[whole]
+                tables[length].append((window, begins[at].astype(np.int32), ends[at + length - 1].astype(np.int32), rows[at]))
+        self.plain, self.known = bytes(plain), known[0] if known else np.empty(0, np.uint64)
+        self.tables: dict[int, tuple[np.ndarray, ...]] = {}
+        for length in list(tables):
+            columns = [np.concatenate(c) for c in zip(*tables.pop(length))]
+            order = np.argsort(columns[0], kind="stable")
+            self.tables[length] = tuple(c[order] for c in columns)
+
+    @property
+    def nbytes(self) -> int:
+        """Bytes of the built arrays and the plain text."""
+        return len(self.plain) + self.known.nbytes + sum(c.nbytes for t in self.tables.values() for c in t)
 
     def scan(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[set[int]]]:
-        """Words per text, hit flag per word with row borders, items per text."""
+        """Row borders in words, hit flag per word, items per text."""
         codes, starts, dictionary = words(texts, LOWER_WORDS)
-        known = np.fromiter(
-            (self.vocabulary.get(w.encode(), -1) for w in dictionary.to_pylist()), np.int64, len(dictionary)
-        )
-        ids = known[codes]
-        hit, items = np.zeros(len(ids) + 1, np.int64), [set() for _ in range(len(texts))]
+        hashed = hash_words(dictionary)
+        place = np.minimum(np.searchsorted(self.known, hashed), len(self.known) - 1)
+        known = self.known[place] == hashed if len(self.known) else np.zeros(len(hashed), bool)
+        hit, items = np.zeros(len(codes) + 1, np.int64), [set() for _ in range(len(texts))]
         # Only runs of known words can hold a window: cut the texts there.
-        edges = np.flatnonzero(ids >= 0)
+        edges = np.flatnonzero(known[codes])
         if len(edges):
             rows = np.repeat(np.arange(len(starts) - 1), np.diff(starts))[edges]
             breaks = np.flatnonzero((np.diff(edges) > 1) | (np.diff(rows) > 0)) + 1
             runs = np.concatenate([[0], breaks, [len(edges)]])
-            for length, hashes in self.hashes.items():
-                at, hashed = windows(ids[edges].astype(np.uint64), runs, length)
-                place = np.minimum(np.searchsorted(hashes, hashed), len(hashes) - 1)
-                for p in at[hashes[place] == hashed].tolist():
-                    start = int(edges[p])
-                    found = self.items.get(tuple(ids[start : start + length].tolist()))
-                    if found:
+            values = hashed[codes[edges]]
+            for length, (hashes, begins, ends, owners) in self.tables.items():
+                at, window = windows(values, runs, length)
+                first = np.searchsorted(hashes, window)
+                same = hashes[np.minimum(first, len(hashes) - 1)] == window
+                at, first, last = at[same], first[same], np.searchsorted(hashes, window[same], "right")
+                seen: dict[tuple[int, bytes], bool] = {}  # a window that a text repeats is compared once
+                for p, lo, hi in zip(at.tolist(), first.tolist(), last.tolist()):
+                    start, row = int(edges[p]), int(rows[p])
+                    said = " ".join(dictionary.take(pa.array(codes[start : start + length])).to_pylist()).encode()
+                    if (row, said) not in seen:
+                        equal = [k for k in range(lo, hi) if self.plain[begins[k] : ends[k]] == said]
+                        items[row].update(self.names[owner] for owner in owners[equal].tolist())
+                        seen[row, said] = bool(equal)
+                    if seen[row, said]:
                         hit[start] += 1
                         hit[start + length] -= 1
-                        items[rows[p]] |= found
         return starts, np.cumsum(hit[:-1]) > 0, items
 
 
-def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
-    """Items in blocks of at most ``block_bytes`` text bytes, or one item; null texts have no window."""
+def _pieces(text: str, limit: int, size: int) -> Iterator[str]:
+    """Parts of a long text, which share ``size - 1`` words: together they hold each of its windows, and no other one."""
+    data = text.encode().translate(LOWER_WORDS)
+    lately: deque[int] = deque(maxlen=size - 1)
+    begin = end = held = 0
+    for word in re.finditer(rb"[^ ]+", data):
+        if held >= size and word.end() - begin > limit:
+            yield data[begin:end].decode()
+            begin, held = lately[0] if lately else word.start(), size - 1
+        lately.append(word.start())
+        end, held = word.end(), held + 1
+    yield data[begin:end].decode()
+
+
+def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, size: int = WINDOW) -> Iterator[list[tuple[int, str]]]:
+    """Items in blocks of at most ``block_bytes`` text bytes; longer ones in pieces; null texts have no window.
+
+    The driver holds one block, which it has to broadcast. A piece has ``size`` words at least, if they are longer than the bound.
+    """
     block, held = [], 0
     for item, text in benchmark.where("text IS NOT NULL").select("item_id", "text").toLocalIterator():
-        size = len(text.encode())
-        if block and held + size > block_bytes:
-            yield block
-            block, held = [], 0
-        block.append((item, text))
-        held += size
+        for part in _pieces(text, block_bytes, size) if len(text.encode()) > block_bytes else [text]:
+            length = len(part.encode())
+            if block and held + length > block_bytes:
+                yield block
+                block, held = [], 0
+            block.append((item, part))
+            held += length
     yield block
 
 
@@ -87,7 +135,8 @@ def contamination(
 
     ``item_ids`` are strings in string order. A document is contaminated if at least a twentieth of its words is
     hit. Null texts have no words; repeated documents are judged one by one; an empty benchmark hits nothing. All
-    rows and columns stay. ``item_ids`` and spans of a block join the row when the next block passes over it.
+    rows and columns stay. With more benchmark text than ``block_bytes`` the documents are written once between two
+    blocks; ``item_ids`` and spans of a block join the row when the next block passes over it.
     """
     clash = {"n_words", "n_hit", "hit_spans", "item_ids", "contaminated", "_hits", "_items"} & set(docs.columns)
     if clash:
@@ -95,8 +144,13 @@ def contamination(
     spark = docs.sparkSession
     bounded_batches(spark)
     out = docs.selectExpr("*", "0L AS n_words", "CAST(array() AS array<bigint>) AS _hits", "CAST(array() AS array<bigint>) AS _items")
-    for block in item_blocks(benchmark, block_bytes):
-        out = _scan_block(out, spark.sparkContext.broadcast(block), size)
+    shared = None
+    for block in item_blocks(benchmark, block_bytes, size):
+        if shared is not None:  # finish with a block before the next one: a task never holds two
+            out = stage(out, "decontaminated")
+            shared.destroy()
+        shared = spark.sparkContext.broadcast(block)
+        out = _scan_block(out, shared, size)
     # Spans of all blocks: sorted (start, end) pairs, merged where they touch.
     pairs = "sort_array(transform(sequence(0, size(_hits) - 1, 2), i -> struct(_hits[i] AS start, _hits[i + 1] AS end)))"
     merged = f"""aggregate(IF(size(_hits) = 0, array(), {pairs}), CAST(array() AS array<struct<start: bigint, end: bigint>>),

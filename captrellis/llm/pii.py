@@ -2,10 +2,11 @@
 
 Patterns find the regular forms. A bidirectional LSTM with CRF transitions, trained on labelled spans of the
 corpus itself and on rewritten forms of them, finds irregular ones: numbers without the leading plus, cards
-grouped by dots, addresses with blanks around the at sign. It reads every text in overlapping windows; each
-character takes the tag of the window in which it is most central, and spans are read off the joined tags, so no
-window border splits one. A tagged span counts if it has the digits (and check digit) of its kind and does not
-overlap a pattern's span.
+grouped by dots, addresses with blanks around the at sign; and, as a kind of its own, secrets such as access keys
+and digests, of which made-up ones are set between the words of the corpus. It reads every text in overlapping
+windows; each character takes the tag of the window in which it is most central, and spans are read off the joined
+tags, so no window border splits one; a secret is widened to the whole run of its characters. A tagged span counts
+if it has the make-up of its kind (digits, check digit, or mixed letters and digits) and does not overlap a pattern's span.
 
 Every span of these kinds holds a digit or an at sign; a window with neither is decoded as empty without a pass.
 """
@@ -17,12 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
 from captrellis.llm.common import bounded_batches, share_of, slices
 from captrellis.llm.tagger import Tagger, encode_chars
 
-KINDS = ["email", "ip", "card", "phone"]
+BASE_KINDS = ["email", "ip", "card", "phone"]
+KINDS = [*BASE_KINDS, "secret"]
 #: Patterns of the base kinds.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -31,12 +34,19 @@ IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TRIGGER = re.compile(r"[0-9@]")
+#: Characters of a secret, and the fewest of them.
+SECRET = re.compile(r"[A-Za-z0-9_+/=-]+")
+SECRET_LEAST = 20
+#: What may stand on both sides of a long run of characters.
+AROUND = [("", ""), ("", "."), ("", ","), ('"', '"'), ("'", "'"), ("(", ")"), (": ", ""), ("= ", ";"), ('= "', '"'), (': "', '",'), ("`", "`")]
 
 WINDOW, STRIDE = 96, 48
-#: Documents that labelled spans are taken from, windows kept of them, and training steps.
+#: Documents that labelled spans are taken from, parts of each, secrets set into a part, windows kept, and training steps.
 SAMPLE_DOCS = 4_000
-SAMPLE_WINDOWS = 1_500
-STEPS = 100
+SAMPLE_PARTS = 8
+SECRETS_PER_PART = 4
+SAMPLE_WINDOWS = 3_000
+STEPS = 200
 
 Span = tuple[int, int, str]
 
@@ -96,6 +106,10 @@ def plausible(text: str, kind: str) -> bool:
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts) and len(text) <= 24
     if kind == "card":
         return 14 <= len(digits) <= 19 and luhn(digits) and len(text) <= 40
+    if kind == "secret":  # letters and digits that take turns, unlike words, dates, numbers and titles in addresses
+        letters = len(re.findall("[A-Za-z]", text))
+        turns = len(re.findall("[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])", text))
+        return len(text) >= SECRET_LEAST and min(len(digits), letters) >= 3 and turns >= 4
     return 10 <= len(digits) <= 15 and len(digits) < len(text) <= 30 and not re.search("[A-Za-z]", text)
 
 
@@ -127,7 +141,24 @@ def tagged_spans(texts: list[str], tagger: Tagger) -> list[list[Span]]:
                 points.setdefault(("tags", rows[p]), []).append((starts[p], tags))
     for i, text in enumerate(texts):
         if ("tags", i) in points:
-            out[i] = [s for s in _reconcile(points[("tags", i)], len(text)) if plausible(text[s[0] : s[1]], s[2])]
+            found = _whole_secrets(text, _reconcile(points[("tags", i)], len(text)))
+            out[i] = [s for s in found if plausible(text[s[0] : s[1]], s[2])]
+    return out
+
+
+def _whole_secrets(text: str, spans: list[Span]) -> list[Span]:
+    """``spans`` with each secret widened to the run of its characters, once."""
+    out, end = [], -1
+    for span in spans:
+        if span[2] != "secret":
+            out.append(span)
+        elif span[0] >= end:
+            start = span[0]
+            while start > max(end, 0) and SECRET.fullmatch(text, start - 1, start):
+                start -= 1
+            run = SECRET.match(text, span[0])
+            end = max(span[1], run.end() if run else 0)
+            out.append((start, end, "secret"))
     return out
 
 
@@ -177,18 +208,42 @@ def rewrite(text: str, kind: str, turn: int) -> str:
     return [f"({tail[:3]}) {tail[3:6]}-{tail[6:]}", f"{tail[:3]}-{tail[3:6]}-{tail[6:]}", f"{tail[:3]}.{tail[3:6]}.{tail[6:]}", f"00{digits[:1]} {tail[:3]} {tail[3:6]} {tail[6:]}"][turn % 4]
 
 
+def made_up_secret(rng: np.random.Generator) -> str:
+    """A key or digest: hexadecimal, or letters and digits, some behind a prefix, some in groups."""
+    hexa, mixed = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    signs = [hexa, hexa, mixed, mixed, mixed[:26] + mixed[52:]][int(rng.integers(5))]
+    size = int(rng.choice([24, 32, 40, 40, 48, 64]))
+    body = "".join(signs[i] for i in rng.integers(0, len(signs), size).tolist())
+    return ["", "", "", "sk_live_", "key-", "token_"][int(rng.integers(6))] + body
+
+
+def made_up_plain(rng: np.random.Generator) -> str:
+    """A long run of characters that is no secret: joined words, a dated title, a number, a path."""
+    word = lambda: "".join(chr(97 + i) for i in rng.integers(0, 26, int(rng.integers(3, 9))).tolist())
+    year = str(rng.integers(1900, 2100))
+    parts = [word() for _ in range(int(rng.integers(3, 6)))]
+    number = "".join(map(str, rng.integers(0, 10, 13).tolist()))
+    return ["-".join([*parts, year]), "_".join([year, *parts]), number, "/".join([year, f"{rng.integers(1, 13):02d}", *parts]), "".join(parts)][int(rng.integers(5))]
+
+
 def labelled_windows(texts: list[str], limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Training windows and tags: around labelled spans, around rewritten ones, and around other digits."""
+    """Training windows and tags: around labelled spans, rewritten ones, made-up secrets, other long runs and other digits."""
     x, y = [], []
     rng = np.random.default_rng(7)
 
     def add(text: str, span: Span | None, middle: int) -> None:
         start = max(0, middle - int(rng.integers(20, WINDOW - 20)))
         piece = text[start : start + WINDOW]
+        for m in SECRET.finditer(text):  # a run that nobody has labelled may be a secret: it must not teach the opposite
+            own = span is not None and m.start() < span[1] and span[0] < m.end()
+            if not own and m.end() > start and m.start() < start + WINDOW and plausible(m.group(), "secret"):
+                return
         tags = np.zeros(WINDOW, np.int64)
         if span:
             a, b, k = max(0, span[0] - start), min(len(piece), span[1] - start), 1 + 2 * KINDS.index(span[2])
-            if span[0] < start or span[1] > start + len(piece):
+            if span[2] != "secret" and (span[0] < start or span[1] > start + len(piece)):
+                return  # only secrets, which are widened later, may show a part
+            if a >= b:
                 return
             tags[a] = k
             tags[a + 1 : b] = k + 1
@@ -215,6 +270,12 @@ def labelled_windows(texts: list[str], limit: int) -> tuple[np.ndarray, np.ndarr
             plain = str(rng.integers(0, 10 ** int(rng.integers(1, 9))))
             other = [date, plain, f"{rng.integers(0, 99)}.{rng.integers(0, 99)}", "v1.2.3", f"${plain}", "%x" % int(rng.integers(1 << 62))][int(rng.integers(6))]
             add(text[:a] + other + text[b:], None, a)
+        gaps = [m.end() for m in re.finditer(r"\s", text) if not taken[max(0, m.end() - WINDOW) : m.end() + WINDOW].any()]
+        for at in rng.choice(gaps, SECRETS_PER_PART).tolist() if gaps else []:
+            for run, kind in ((made_up_secret(rng), "secret"), (made_up_plain(rng), None)):
+                left, right = AROUND[int(rng.integers(len(AROUND)))]  # the same surroundings for both
+                first = at + len(left)
+                add(f"{text[:at]}{left}{run}{right} {text[at:]}", kind and (first, first + len(run), kind), first)
         others = [m.start() for m in TRIGGER.finditer(text) if not taken[max(0, m.start() - WINDOW) : m.start() + WINDOW].any()]
         for at in others[:: max(1, len(others) // 2)][:2]:
             add(text, None, at)
@@ -226,7 +287,8 @@ def labelled_windows(texts: list[str], limit: int) -> tuple[np.ndarray, np.ndarr
 def fit_pii(docs: DataFrame, key: str = "doc_id", text: str = "text", docs_bound: int = SAMPLE_DOCS, windows: int = SAMPLE_WINDOWS) -> Tagger | None:
     """A tagger trained on about ``windows`` windows of at most about ``docs_bound`` documents; None without spans.
 
-    The documents are chosen by a hash of their keys. Tasks cut the parts around spans; the driver gets those.
+    The documents are chosen by a hash of their keys, and so are :data:`SAMPLE_PARTS` parts of each and the windows.
+    Tasks cut the parts around digits and at signs; the driver gets those. Repeated rows teach like other rows.
     """
     bounded_batches(docs.sparkSession)
     chosen = docs.where(share_of(docs.select(key), key, docs_bound)).select(key, text)
@@ -239,18 +301,17 @@ def fit_pii(docs: DataFrame, key: str = "doc_id", text: str = "text", docs_bound
                     if t and TRIGGER.search(t):
                         hits = [m.start() for m in TRIGGER.finditer(t)]
                         cuts, at = [], None
-                        for h in hits:  # a text's first parts with triggers, each with its surroundings
+                        for h in hits:  # parts with triggers, each with its surroundings
                             if at is None or h > at:
                                 cuts.append(t[max(0, h - 2 * WINDOW) : h + 3 * WINDOW])
                                 at = h + 2 * WINDOW
-                            if len(cuts) == 8:
-                                break
+                        cuts = sorted(cuts, key=lambda c: xxhash.xxh3_64_intdigest(c))[:SAMPLE_PARTS]
                         out_key += [k.as_py()] * len(cuts)
                         out += cuts
                 yield pa.RecordBatch.from_arrays([pa.array(out_key, pa.int64()), pa.array(out, pa.string())], ["id", "part"])
 
     parts = chosen.mapInArrow(apply, "id long, part string").collect()
-    parts = sorted((r.id if r.id is not None else -1, r.part) for r in parts)
+    parts = sorted((xxhash.xxh3_64_intdigest(f"{r.id}:{r.part}"), r.part) for r in parts)
     x, y = labelled_windows([p for _, p in parts], windows)
     if not y.any():
         return None

@@ -76,7 +76,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = "array_join(transform({0}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')"
     counts = [F.expr(f"CAST(size(filter(base, s -> s.kind = '{k}')) AS BIGINT) AS n_{k}") for k in ("email", "ip", "card", "phone")]
     return found.select(
-        "doc_id", *counts, F.sha2(F.expr(shown.format("base")), 256).alias("base_sha256"), F.expr(shown.format("spans")).alias("spans")
+        "doc_id",
+        *counts,
+        F.sha2(F.expr(shown.format("base")), 256).alias("base_sha256"),
+        F.expr(shown.format("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
 
 

@@ -3,7 +3,10 @@ import re
 
 import numpy as np
 
-from captrellis.llm.pii import KINDS, base_spans, find_pii, fit_pii, labelled_windows, luhn, redact, redact_pii, tagged_spans
+from captrellis.llm.pii import (
+    KINDS, _whole_secrets, base_spans, find_pii, fit_pii, labelled_windows, luhn, made_up_plain, made_up_secret, plausible, redact,
+    redact_pii, tagged_spans,
+)
 from captrellis.llm.tagger import Tagger
 
 #: The base patterns as they are given.
@@ -86,3 +89,30 @@ def test_tagger_finds_irregular_forms_and_operators_keep_rows(spark):
     assert sorted(str(r.text)[-6:] for r in redact_pii(odd, tagger).collect()) == ["", "None", "email>", "o <ip>"]
     assert fit_pii(odd.limit(0)) is None and find_pii(odd.limit(0), None).count() == 0
     assert redact("ab12cd", [(2, 4, "ip"), (3, 5, "card")]) == "ab<ip>d"
+
+
+def test_secrets_found_in_unseen_texts(spark):
+    texts = corpus()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    tagger = fit_pii(df)
+    rng, marks = np.random.default_rng(99), random.Random(5)
+    planted, plain = [], []
+    for i in range(120):
+        words = texts[i].split()[:25]
+        secret, other = made_up_secret(rng), made_up_plain(rng)
+        at = marks.randrange(1, 24)
+        planted.append((" ".join([*words[:at], secret + marks.choice(["", ".", ","]), *words[at:]]), secret))
+        plain.append(" ".join([*words[:at], other, *words[at:]]))
+    found = tagged_spans([t for t, _ in planted], tagger)
+    whole = [s in [t[a:b] for a, b, k in spans if k == "secret"] for (t, s), spans in zip(planted, found)]
+    assert sum(whole) >= 0.9 * len(whole), sum(whole)
+    wrong = [t[a:b] for t, spans in zip(plain, tagged_spans(plain, tagger)) for a, b, _ in spans]
+    assert len(wrong) <= 2, wrong
+    assert sum(b - a for spans in found for a, b, _ in spans) <= 1.05 * sum(len(s) for _, s in planted)
+
+
+def test_a_secret_is_the_whole_run():
+    text = "key=" + "0a1b2c3d4e" * 5 + ", é"
+    assert _whole_secrets(text, [(10, 14, "secret"), (20, 30, "secret"), (56, 57, "ip")]) == [(0, 54, "secret"), (56, 57, "ip")]
+    assert _whole_secrets("é 0a1b é", [(2, 4, "secret")]) == [(2, 6, "secret")]
+    assert plausible("0a1b2c3d4e5f6a7b8c9d", "secret") and not plausible("a-long-title-of-the-year-2024", "secret")

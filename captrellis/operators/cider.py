@@ -18,7 +18,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from captrellis.functions.text import grams, tokens
+from captrellis.functions.text import PIECE_CHARS, grams, pieces, token_count, tokens
 from captrellis.operators.skew import HOT_ROWS, lookup, salted_join
 
 #: ``ref_no`` that marks the candidate sentence among an item's sentences.
@@ -58,51 +58,63 @@ def captions_from_tables(preds: DataFrame, refs: DataFrame, threshold: int = HOT
     return Captions(cands, pairs.select("item_id", "pred", "ref_no", "ref"))
 
 
-def sentence_words(caps: Captions, tokenizer: str = "words") -> DataFrame:
-    """``item_id, ref_no, cand, mine``: tokens of every sentence, references beside their candidate's.
+def sentence_words(caps: Captions, tokenizer: str = "words", n: int = 4, chars: int = PIECE_CHARS) -> DataFrame:
+    """``item_id, ref_no, gap, side, no, words, starts``: tokens of every sentence in pieces.
 
-    The candidate itself has ``ref_no`` = -1 and an empty ``cand``. Rows are spread
-    by ``(item_id, ref_no)``, a unique key, while they are still text.
+    References (``side`` 1) stand beside their candidate (``side`` 0); the candidate itself has ``ref_no`` = -1 and
+    only ``side`` 1. ``gap`` is the difference of both sentences' bigram counts. ``words`` are the ``starts`` tokens
+    of piece ``no`` and up to ``n - 1`` tokens behind it, so that no array grows with a text. Rows are spread by
+    ``(item_id, ref_no)``, a unique key, while they are still whole texts.
     """
     nobody = F.lit(None).cast("string")
-    sentences = caps.pairs.select("item_id", "ref_no", F.col("pred").alias("cand"), F.col("ref").alias("mine")).unionByName(
-        caps.cands.select("item_id", F.lit(CANDIDATE).alias("ref_no"), nobody.alias("cand"), F.col("pred").alias("mine"))
-    )
-    return sentences.repartition("item_id", "ref_no").select(
-        "item_id",
-        "ref_no",
-        F.when(F.col("ref_no") != CANDIDATE, tokens(F.coalesce("cand", F.lit("")), tokenizer))
-        .otherwise(F.array().cast("array<string>"))
-        .alias("cand"),
-        tokens(F.coalesce("mine", F.lit("")), tokenizer).alias("mine"),
+    sentences = caps.pairs.select(
+        "item_id", "ref_no", F.coalesce("pred", F.lit("")).alias("cand"), F.coalesce("ref", F.lit("")).alias("mine")
+    ).unionByName(
+        caps.cands.select(
+            "item_id", F.lit(CANDIDATE).alias("ref_no"), nobody.alias("cand"), F.coalesce("pred", F.lit("")).alias("mine")
+        )
     )
 
+    def bigrams(c: str) -> Column:
+        return F.greatest(F.coalesce(token_count(c, tokenizer, chars), F.lit(0)) - 1, F.lit(0))
+
+    gap = (bigrams("cand") - bigrams("mine")).alias("gap")
+    return _words(sentences.repartition("item_id", "ref_no"), {"mine": 1, "cand": 0}, tokenizer, n, chars, gap)
+
+
+def reference_words(refs: DataFrame, tokenizer: str = "words", n: int = 4, chars: int = PIECE_CHARS) -> DataFrame:
+    """``item_id, ref_no, side, no, words, starts`` of ``refs(item_id, ref_no, ref)`` alone, as in :func:`sentence_words`."""
+    sentences = refs.repartition("item_id", "ref_no").select("item_id", "ref_no", F.coalesce("ref", F.lit("")).alias("mine"))
+    return _words(sentences, {"mine": 1}, tokenizer, n, chars)
 
-def reference_words(refs: DataFrame, tokenizer: str = "words") -> DataFrame:
-    """``item_id, ref_no, mine`` of ``refs(item_id, ref_no, ref)`` alone."""
-    return refs.repartition("item_id", "ref_no").select(
-        "item_id", "ref_no", tokens(F.coalesce("ref", F.lit("")), tokenizer).alias("mine")
+
+def _words(sentences: DataFrame, sides: dict[str, int], tokenizer: str, n: int, chars: int, *extra: Column) -> DataFrame:
+    """Pieces of the sentence columns ``sides`` as rows, then their tokens; a NULL sentence has no row."""
+    kept = ["item_id", "ref_no", *(["gap"] if extra else [])]
+    none = F.array().cast("array<struct<no:int,own:string,ahead:string>>")
+
+    def cut(c: str, side: int) -> Column:
+        found = F.coalesce(pieces(c, n, tokenizer, chars), none)
+        return F.transform(found, lambda p: F.struct(F.lit(side).alias("side"), p["no"].alias("no"), p["own"].alias("own"), p["ahead"].alias("ahead")))
+
+    rows = sentences.select(*kept[:2], *extra, F.inline(F.concat(*[cut(c, side) for c, side in sides.items()])))
+    found = rows.select(*kept, "side", "no", "ahead", tokens("own", tokenizer).alias("own"))
+    return found.select(
+        *kept, "side", "no", F.concat("own", F.slice(tokens("ahead", tokenizer), 1, n - 1)).alias("words"), F.size("own").alias("starts")
     )
 
 
 def sentence_grams(words: DataFrame, n: int = 4) -> DataFrame:
-    """Long form ``item_id, ref_no, n, gram, gap, tf, tf_cand``.
+    """Long form ``item_id, ref_no, n, gram, gap, tf, tf_cand`` of :func:`sentence_words` made for the same ``n``.
 
-    References carry the candidate's count of the same gram in ``tf_cand`` and the
-    difference of both sentences' bigram counts in ``gap``. Every
+    References carry the candidate's count of the same gram in ``tf_cand``. Every
     sentence also has one row with ``n`` = 0 and no gram, so that empty ones are
     not lost. The rows inherit the partitioning of ``words``: no exchange.
     """
-
-    def bigrams(c: str) -> Column:
-        return F.greatest(F.size(c) - 1, F.lit(0))
-
     marker = F.array(F.struct(F.lit(0).alias("n"), F.lit(None).cast("string").alias("gram"), F.lit(1).alias("mine")))
+    marked = F.when((F.col("side") == 1) & (F.col("no") == 0), marker).otherwise(F.slice(marker, 1, 0))
     long = words.select(
-        "item_id",
-        "ref_no",
-        (bigrams("cand") - bigrams("mine")).alias("gap"),
-        F.inline(F.concat(marker, grams("mine", n, 1), grams("cand", n, 0))).alias("n", "gram", "side"),
+        "item_id", "ref_no", "gap", F.inline(F.concat(marked, grams("words", n, "side", "starts"))).alias("n", "gram", "side")
     )
     return (
         long.groupBy("item_id", "ref_no", "n", "gram")
@@ -117,7 +129,7 @@ def sentence_grams(words: DataFrame, n: int = 4) -> DataFrame:
 
 def reference_grams(words: DataFrame, n: int = 4) -> DataFrame:
     """``item_id, ref_no, n, gram, tf`` of :func:`reference_words`; no exchange."""
-    long = words.select("item_id", "ref_no", F.inline(grams("mine", n)).alias("n", "gram", "side"))
+    long = words.select("item_id", "ref_no", F.inline(grams("words", n, 1, "starts")).alias("n", "gram", "side"))
     return long.groupBy("item_id", "ref_no", "n", "gram").agg(F.count("*").alias("tf"))
 
 
@@ -128,7 +140,8 @@ def document_frequency(words: DataFrame, n: int = 4) -> DataFrame:
     per map task.
     """
     per_item = (
-        words.select("item_id", "ref_no", F.inline(grams("mine", n)).alias("n", "gram", "mine"))
+        words.where(F.col("side") == 1)
+        .select("item_id", "ref_no", F.inline(grams("words", n, 1, "starts")).alias("n", "gram", "mine"))
         # Never NULL; said here so that every use of the table plans the same filter
         # and shares one shuffle instead of counting again.
         .where(F.col("gram").isNotNull())
@@ -147,7 +160,7 @@ def _idf(n_items: Column) -> Column:
 
 def weighted_grams(caps: Captions, n: int = 4, tokenizer: str = "words", threshold: int = HOT_ROWS) -> DataFrame:
     """:func:`sentence_grams` with ``idf = ln N - ln max(1, df)``."""
-    words = sentence_words(caps, tokenizer)
+    words = sentence_words(caps, tokenizer, n)
     n_items = caps.cands.agg(F.count("*")).scalar()
     # A gram of one item weighs the same as one that is not found, so most grams need no look-up. Very frequent
     # ones stay in the table, which spreads their rows.

@@ -9,7 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from captrellis.functions.text import grams, tokens
+from captrellis.functions.text import grams, pieces, token_count, tokens
 from captrellis.operators import cider
 
 
@@ -175,6 +175,41 @@ def test_grams_of_short_sentences(spark):
     assert got == [[(1, "a"), (1, "b"), (1, "c"), (2, "a b"), (2, "b c"), (3, "a b c")], [(1, "a")], []]
 
 
+_ODD_TEXTS = [
+    "", " ", "a", "ab" * 40, "a b c d e f g", "'s 's -- 's can't cannot (x) [y] @ # @ 3.5 u.s.a. http://a.b/c?d",
+    "--- ... -- a - - - - b ''", "x\ny\n\nz é ß Σ'Α ΑΣ'Α 🙂 🙂🙂 q", "... !!! ???", " \t lead and trail \t ",
+]
+
+
+@pytest.mark.parametrize("mode", ["words", "ptb_lite"])
+@pytest.mark.parametrize("chars", [0, 1, 7, 1000])
+def test_pieces_hold_the_tokens_and_grams_of_the_whole(spark, mode, chars):
+    rng = random.Random(chars)
+    signs = ["a", "b'", "'s", "n't", " ", "  ", "-", "--", ".", "@", "(", "\n", "can", "not", "é", "Σ", "7", ",", "🙂"]
+    texts = _ODD_TEXTS + ["".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, s string").select("id", "s", tokens("s", mode).alias("t"))
+    whole = {r.id: r for r in df.select("id", "t", grams("t", 4).alias("g"), token_count("s", mode, chars).alias("c")).collect()}
+    cut = df.select("id", F.inline(pieces("s", 4, mode, chars))).select("id", "no", tokens("own", mode).alias("own"), "ahead")
+    cut = cut.select("id", "no", "own", F.concat("own", F.slice(tokens("ahead", mode), 1, 3)).alias("w"), F.size("own").alias("k"))
+    parts = defaultdict(list)
+    for r in cut.select("id", "no", "own", grams("w", 4, 1, "k").alias("g")).orderBy("id", "no").collect():
+        parts[r.id].append(r)
+    for i, text in enumerate(texts):
+        assert [w for r in parts[i] for w in r.own] == whole[i].t, text
+        assert whole[i].c == len(whole[i].t)
+        assert sorted(g.gram for r in parts[i] for g in r.g) == sorted(g.gram for g in whole[i].g), text
+
+
+def test_scores_from_pieces(spark):
+    items = corpus(13, 10)
+    rows = [(k, " ".join(c), [" ".join(r) for r in refs]) for k, (c, refs) in items.items()]
+    caps = cider.captions_from_arrays(spark.createDataFrame(rows, "item_id long, pred string, refs array<string>"))
+    one, many = (
+        sorted(map(tuple, cider.sentence_grams(cider.sentence_words(caps, chars=c)).na.fill("").collect())) for c in (1000, 3)
+    )
+    assert one == many
+
+
 def test_norms_and_corpus(spark):
     items = corpus(11, 8)
     rows = [(k, " ".join(c), [" ".join(r) for r in refs]) for k, (c, refs) in items.items()]

@@ -96,7 +96,9 @@ def pieces(text: Column | str, n: int, mode: str = "words", chars: int = PIECE_C
 
 
 def token_count(text: Column | str, mode: str = "words", chars: int = PIECE_CHARS) -> Column:
-    """Number of tokens, counted piece by piece."""
+    """Number of tokens, counted without an array of them, or piece by piece."""
+    if mode == "words":
+        return F.regexp_count(F.lower(normalize(text)), F.lit(r"[\p{L}\p{N}]++")).cast("bigint")
     counts = F.transform(pieces(text, 1, mode, chars), lambda p: F.size(tokens(p["own"], mode)).cast("bigint"))
     return F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, b: a + b)
 

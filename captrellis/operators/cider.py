@@ -32,6 +32,13 @@ class Captions(NamedTuple):
     pairs: DataFrame  # item_id, pred, ref_no (>= 0), ref
 
 
+class Frequency(NamedTuple):
+    """Document frequencies that were counted before, and the size of their corpus."""
+
+    grams: DataFrame  # gram, df, uses
+    n_items: Column
+
+
 def captions_from_arrays(
     items: DataFrame, item_id: str = "item_id", pred: str = "pred", refs: str = "refs"
 ) -> Captions:
@@ -158,18 +165,21 @@ def _idf(n_items: Column) -> Column:
     return F.ln(n_items.cast("double")) - F.ln(df)
 
 
-def weighted_grams(caps: Captions, n: int = 4, tokenizer: str = "words", threshold: int = HOT_ROWS) -> DataFrame:
-    """:func:`sentence_grams` with ``idf = ln N - ln max(1, df)``."""
+def weighted_grams(
+    caps: Captions, n: int = 4, tokenizer: str = "words", threshold: int = HOT_ROWS, frequency: Frequency | None = None
+) -> DataFrame:
+    """:func:`sentence_grams` with ``idf = ln N - ln max(1, df)``, of the captions' own references or of ``frequency``."""
     words = sentence_words(caps, tokenizer, n)
-    n_items = caps.cands.agg(F.count("*")).scalar()
+    if frequency is None:
+        frequency = Frequency(document_frequency(words, n), caps.cands.agg(F.count("*")).scalar())
     # A gram of one item weighs the same as one that is not found, so most grams need no look-up. Very frequent
     # ones stay in the table, which spreads their rows.
-    needed = document_frequency(words, n).where((F.col("df") >= 2) | (F.col("uses") > threshold))
+    needed = frequency.grams.where((F.col("df") >= 2) | (F.col("uses") > threshold))
     found = lookup(
         sentence_grams(words, n), needed, "gram", "df", spread_by=["item_id", "ref_no", "gram"], uses="uses",
         threshold=threshold,
     )
-    return found.withColumn("idf", _idf(n_items))
+    return found.withColumn("idf", _idf(frequency.n_items))
 
 
 def sentence_norms(caps: Captions, n: int = 4, tokenizer: str = "words", threshold: int = HOT_ROWS) -> DataFrame:
@@ -183,10 +193,14 @@ def sentence_norms(caps: Captions, n: int = 4, tokenizer: str = "words", thresho
 
 
 def score_items(
-    caps: Captions, n: int = 4, sigma: float = 6.0, tokenizer: str = "words", threshold: int = HOT_ROWS
+    caps: Captions, n: int = 4, sigma: float = 6.0, tokenizer: str = "words", threshold: int = HOT_ROWS,
+    frequency: Frequency | None = None,
 ) -> DataFrame:
     """``item_id, n_refs, cider`` for every item.
 
+    ``frequency`` replaces counting the references of ``caps``, for a corpus that is kept in a store
+    (:mod:`captrellis.operators.frequency`) and must have been made with the same ``n`` and ``tokenizer``.
+
     Per reference and gram length the similarity is the clipped product of the
     two TF-IDF vectors over their norms, damped by the difference in bigram
     counts; it is averaged over lengths and references and scaled by ten.
@@ -195,7 +209,7 @@ def score_items(
         raise ValueError("n must be at least 1")
     if sigma <= 0:
         raise ValueError("sigma must be positive")
-    w = weighted_grams(caps, n, tokenizer, threshold)
+    w = weighted_grams(caps, n, tokenizer, threshold, frequency)
     squared = F.pow("idf", 2)
     mine = F.col("tf")
     shared = F.least("tf_cand", "tf") * mine

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from captrellis.functions.hashing import pick
 from captrellis.functions.text import tokens
-from captrellis.operators import cider
+from captrellis.operators import cider, frequency
 from captrellis.operators.skew import salted_join
 from captrellis.plans.jobs import evaluate_captions
-from captrellis.queries.twins import cider_scores, cider_tables, tok
+from captrellis.queries.twins import cider_scores, cider_tables, draw, tok
+from captrellis.session import stage_path
 from captrellis.sources.tables import read_table
 
 
@@ -80,6 +82,19 @@ def ngram_df(spark: SparkSession, d: str) -> DataFrame:
     return freq.select(F.size(F.split("gram", " ")).cast("bigint").alias("n"), "gram", "df")
 
 
+def cider_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """Scores with frequencies from a store that items were added to in two changes and partly withdrawn from."""
+    caps = conversation_captions(spark, d)
+    store = stage_path(spark, "frequency")
+    ids, refs = caps.cands.select("item_id"), caps.pairs.select("item_id", "ref_no", "ref")
+    late, gone = pick(3, "late", "item_id") == 0, pick(5, "withdrawn", "item_id") == 0
+    frequency.add_items(store, "first", ids.where(~late), refs)
+    frequency.add_items(store, "second", ids.where(late), refs)
+    frequency.withdraw_items(store, "withdrawn", ids.where(gone), refs)
+    left = cider.Captions(caps.cands.where(~gone), caps.pairs.where(~gone))
+    return _scored(cider.score_items(left, frequency=frequency.read_frequency(spark, store)))
+
+
 def tfidf_norms(spark: SparkSession, d: str) -> DataFrame:
     norms = cider.sentence_norms(conversation_captions(spark, d))
     return norms.select(
@@ -117,6 +132,7 @@ QUERIES = {
     "caption_tokens": caption_tokens,
     "ngram_counts": ngram_counts,
     "ngram_df": ngram_df,
+    "cider_incremental": cider_incremental,
     "tfidf_norms": tfidf_norms,
     "evaluate_end_to_end": evaluate_end_to_end,
 }
@@ -144,6 +160,18 @@ ORACLES = {
         ),
         refs AS (SELECT doc_id AS item_id, 0 AS ref_no, text FROM documents),
         {cider_scores()} {_ITEM_SCORES}""",
+    "cider_incremental": f"""WITH
+        said AS (
+          SELECT conv_id AS item_id, turn, text FROM conversations
+          WHERE role = 'assistant' AND {draw(5, 'withdrawn', 'conv_id')} <> 0
+        ),
+        numbered AS (
+          SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY turn) AS k, count(*) OVER (PARTITION BY item_id) AS turns
+          FROM said
+        ),
+        cand AS (SELECT item_id, text FROM numbered WHERE k = 1 AND turns >= 2),
+        refs AS (SELECT item_id, turn AS ref_no, text FROM numbered WHERE k > 1),
+        {cider_scores()} {_ITEM_SCORES}""",
     "caption_tokens": f"""SELECT doc_id, len(t)::BIGINT AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5
         FROM (SELECT doc_id, {tok('text')} AS t FROM documents)""",
     "ngram_counts": f"""WITH

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from captrellis.operators.cider import Frequency, document_frequency, reference_words
-from captrellis.sources.store import file_system
+from captrellis.session import file_system
 from captrellis.sources.tables import require_columns
 
 

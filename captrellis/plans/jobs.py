@@ -119,7 +119,7 @@ def with_few_shots(
 def build_batches(
     spark: SparkSession, conf: dict[str, Any], template: chat.Template = chat.Template(), tokenize=tokens
 ) -> DataFrame:
-    """Prepared captions to padded, label-masked training batches, written by split.
+    """Prepared captions to padded, label-masked training batches, written by split with the path of each row's image.
 
     ``conf``: ``input``, ``output``, ``key``, ``vocab``; optional ``test_size``,
     ``seed``, ``batch_size``, ``side``.
@@ -130,9 +130,10 @@ def build_batches(
     vocab = spark.read.parquet(conf["vocab"])
     image, user, assistant = chat.fields(data.columns, [key], seed)
     prompts = data.select(
-        key, "split", chat.render(chat.messages(image, user, assistant), template).alias("prompt")
+        key, "split", image.alias("image_path"), chat.render(chat.messages(image, user, assistant), template).alias("prompt")
     )
-    ids = batching.encode(prompts, vocab, [key, "split"], image_tokens("prompt", tokenize, template.image_marker))
+    # The path is a key too: it goes along with its row instead of being joined back.
+    ids = batching.encode(prompts, vocab, [key, "split", "image_path"], image_tokens("prompt", tokenize, template.image_marker))
     ids = stage(ids, "encoded")
     parts = []
     for split in ("train", "test"):

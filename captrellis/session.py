@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings the library is tuned for. All of them may be overridden by the caller.
@@ -23,6 +27,10 @@ DEFAULTS = {
 }
 
 
+#: Folder of the run that owns the tables being staged, if there is one.
+_RUN: ContextVar[str | None] = ContextVar("captrellis_run", default=None)
+
+
 def build_session(app_name: str = "captrellis", master: str | None = None, **conf: str) -> SparkSession:
     """A session with :data:`DEFAULTS`; keyword names use ``__`` for dots."""
     builder = SparkSession.builder.appName(app_name)
@@ -52,8 +60,47 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for one staged table."""
-    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path for one staged table, inside the run's folder where a run owns it."""
+    root = _RUN.get() or shared_root(spark).rstrip("/")
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def owned_run(spark: SparkSession, name: str) -> Iterator[str]:
+    """A run that owns every table staged inside the block, and drops them at its end, also after an error.
+
+    Results must be written or collected inside the block. The folder's name is made from ``name``: what a run
+    that was killed has left is dropped by the next one of that name, so two runs of one name must not overlap.
+    Inside another run the block's tables belong to that one.
+    """
+    if _RUN.get():
+        yield _RUN.get()
+        return
+    if not name or set(name) - set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-_"):
+        raise ValueError("a run's name has letters, digits, - and _ only")
+    folder = f"{shared_root(spark).rstrip('/')}/run-{name}"
+    drop_folder(folder)
+    mark = _RUN.set(folder)
+    try:
+        yield folder
+    finally:
+        _RUN.reset(mark)
+        drop_folder(folder)
+
+
+def file_system(folder: str) -> tuple[pafs.FileSystem, str]:
+    """File system and plain path of a folder; ``file:/path`` and ``/path`` are local."""
+    if folder.startswith("file:/") and not folder.startswith("file://"):
+        folder = folder.removeprefix("file:")
+    fs, base = pafs.FileSystem.from_uri(folder)
+    return fs, base.rstrip("/")
+
+
+def drop_folder(folder: str) -> None:
+    """Delete a folder of staged tables; a missing one is no error."""
+    fs, base = file_system(folder)
+    if fs.get_file_info(base).type == pafs.FileType.Directory:
+        fs.delete_dir(base)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -22,7 +22,8 @@ from pyspark.sql.types import BinaryType, StringType
 
 from captrellis.functions.images import extension_for, probe
 from captrellis.sources.blobs import blob_name
-from captrellis.sources.store import committed_jobs, file_system, store
+from captrellis.session import file_system
+from captrellis.sources.store import committed_jobs, store
 from captrellis.sources.tables import extended, require_columns
 
 #: Attempts, seconds until a timeout, seconds between attempts.

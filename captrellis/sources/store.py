@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import BinaryType, LongType, StringType, StructType
 
+from captrellis.session import file_system
+
 FORMAT = "image_store"
 #: Bytes of files that one partition of a scan reads, and bytes that a task hands on at a time.
 PARTITION_BYTES = 128 * 1024 * 1024
@@ -32,14 +34,6 @@ MANIFEST, MARKER = "manifest.parquet", "running"
 ADDED = ("image_path", "n_bytes", "status")
 
 
-def file_system(folder: str) -> tuple[pafs.FileSystem, str]:
-    """File system and plain path of a folder; ``file:/path`` and ``/path`` are local."""
-    if folder.startswith("file:/") and not folder.startswith("file://"):
-        folder = folder.removeprefix("file:")
-    fs, base = pafs.FileSystem.from_uri(folder)
-    return fs, base.rstrip("/")
-
-
 @dataclass
 class Attempt(WriterCommitMessage):
     """What a finished task says of itself."""

@@ -67,6 +67,8 @@ def test_build_batches(spark, tmp_path):
     assert all(r["w"] == 1 and r["n"] <= 4 for r in widths)
     r = out.first()
     assert r["input_ids"].count(batching.IMAGE_ID) == 1 and batching.IMAGE_ID not in r["labels"]
+    # Every row carries its image, so a trainer can read the bodies of a batch.
+    assert sorted((r.id, r.image_path) for r in out.collect()) == [(i, f"p{i}") for i in range(11)]
 
 
 def echo():

@@ -7,12 +7,11 @@ sum over all changes equals a full count of the items that are left.
 
 from __future__ import annotations
 
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from captrellis.operators.cider import Frequency, document_frequency, reference_words
-from captrellis.session import file_system
+from captrellis.session import finished
 from captrellis.sources.tables import require_columns
 
 
@@ -76,8 +75,4 @@ def _finished(spark: SparkSession, store: str, table: str) -> DataFrame:
 
 def _changes(store: str) -> list[str]:
     """Names of the finished changes: those whose items were committed."""
-    fs, base = file_system(store)
-    found = fs.get_file_info(pafs.FileSelector(f"{base}/items", allow_not_found=True))
-    folders = [f.path for f in found if f.type == pafs.FileType.Directory and f.base_name.startswith("change=")]
-    done = fs.get_file_info([f"{f}/_SUCCESS" for f in folders])
-    return [f.rsplit("=", 1)[1] for f, mark in zip(folders, done) if mark.type == pafs.FileType.File]
+    return [name.removeprefix("change=") for name in finished(f"{store}/items") if name.startswith("change=")]

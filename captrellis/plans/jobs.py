@@ -16,7 +16,7 @@ from captrellis.functions import chat
 from captrellis.functions.images import extension_from_header, probe, reject_reason
 from captrellis.functions.text import tokens
 from captrellis.operators import batching, cider, gate, ordering
-from captrellis.operators.inference import MakePredictor, predict
+from captrellis.operators.inference import MakePredictor, predict, predict_journaled
 from captrellis.session import stage
 from captrellis.sources import blobs, tables
 from captrellis.sources.fetch import ATTEMPTS, DELAY_SECONDS, Response, fetch_in_rounds
@@ -170,11 +170,13 @@ def evaluate_captions(
     template: chat.Template = chat.Template(),
     tokenizer: str = "words",
     strict_compat: bool = True,
+    journal: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """``(scores per item, corpus score)`` of a predictor on ``items(key, image, answer)``.
 
     Prompts hold the user message only, images come from all messages, and the
-    predictions, which are costly and may be random, are written once.
+    predictions, which are costly and may be random, are written once; with a folder ``journal`` a
+    run that is started again asks no answered row.
     """
     tables.require_columns(items, [key, "image", "answer"])
     prefix = None
@@ -187,7 +189,10 @@ def evaluate_captions(
         chat.render(chat.prompt_part(F.col("messages")), template, add_generation_prompt=True).alias("prompt"),
         chat.gather_images(F.col("messages")).alias("images"),
     )
-    preds = stage(predict(prompts, make_predictor, "item_id", "prompt", "images", batch_size), "predictions")
+    if journal:
+        preds = predict_journaled(prompts, make_predictor, "item_id", "prompt", "images", batch_size, journal=journal)
+    else:
+        preds = stage(predict(prompts, make_predictor, "item_id", "prompt", "images", batch_size), "predictions")
     refs = items.select(F.col(key).alias("item_id"), F.posexplode("answer").alias("ref_no", "ref"))
     scores = cider.score_items(cider.captions_from_tables(preds, refs), n, sigma, tokenizer)
     return scores, cider.score_corpus(scores)
@@ -197,7 +202,7 @@ def evaluate(spark: SparkSession, conf: dict[str, Any], make_predictor: MakePred
     """Corpus CIDEr of a predictor on a stored evaluation table.
 
     ``conf['dataset']``: ``path``, optional ``split``, ``key`` and ``few_shot`` with
-    ``enabled``, ``num_examples``, ``seed``; ``conf['eval']``: ``batch_size``.
+    ``enabled``, ``num_examples``, ``seed``; ``conf['eval']``: ``batch_size``, ``tokenizer``, ``journal``.
     """
     dataset, settings = conf["dataset"], conf.get("eval", {})
     shots = dataset.get("few_shot", {})
@@ -210,5 +215,6 @@ def evaluate(spark: SparkSession, conf: dict[str, Any], make_predictor: MakePred
         seed=shots.get("seed", 0),
         batch_size=settings.get("batch_size", 4),
         tokenizer=settings.get("tokenizer", "words"),
+        journal=settings.get("journal"),
     )
     return corpus.first()["cider"]

@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from captrellis.functions import chat
+from captrellis.functions.hashing import pick
 from captrellis.functions.text import tokens
 from captrellis.operators import batching, ordering
-from captrellis.operators.inference import predict
+from captrellis.operators.inference import predict, predict_journaled
 from captrellis.operators.skew import first_k
 from captrellis.plans.jobs import chat_samples as build_samples
 from captrellis.plans.jobs import image_tokens, with_few_shots
 from captrellis.queries.twins import draw, order_key, quoted, tok
-from captrellis.session import stage
+from captrellis.session import stage, stage_path
 from captrellis.sources.tables import read_table
 
 SEED = 5
@@ -219,6 +220,15 @@ def batch_predict(spark: SparkSession, d: str) -> DataFrame:
     return preds.select("doc_id", F.length("pred").cast("bigint").alias("length"), F.md5("pred").alias("pred_md5"))
 
 
+def predict_resumed(spark: SparkSession, d: str) -> DataFrame:
+    """A run over a part of ``documents``, then one over all of them with the same journal: it asks only the rest."""
+    docs = read_table(spark, f"{d}/documents.parquet").select("doc_id", F.array_join(tokens("text"), " ").alias("prompt"))
+    journal = stage_path(spark, "journal")
+    predict_journaled(docs.where(pick(3, "cut", "doc_id") == 0), toy_reverser, "doc_id", "prompt", batch_size=16, journal=journal, slices=2)
+    preds = predict_journaled(docs, toy_reverser, "doc_id", "prompt", batch_size=16, journal=journal, slices=2)
+    return preds.select("doc_id", F.length("pred").cast("bigint").alias("length"), F.md5("pred").alias("pred_md5"))
+
+
 QUERIES = {
     "prompt_choice": prompt_choice,
     "few_shot_pairs": few_shot_pairs,
@@ -232,6 +242,7 @@ QUERIES = {
     "label_mask": label_mask,
     "trim_decode": trim_decode,
     "batch_predict": batch_predict,
+    "predict_resumed": predict_resumed,
 }
 
 _PROMPTS = "[" + ", ".join(quoted(p) for p in chat.PROMPTS) + "]"
@@ -368,3 +379,4 @@ ORACLES = {
     "batch_predict": f"""WITH p AS (SELECT doc_id, array_to_string(list_reverse({tok('text')}), ' ') AS pred FROM documents)
         SELECT doc_id, length(pred)::BIGINT AS length, md5(pred) AS pred_md5 FROM p""",
 }
+ORACLES["predict_resumed"] = ORACLES["batch_predict"]

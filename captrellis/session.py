@@ -96,6 +96,15 @@ def file_system(folder: str) -> tuple[pafs.FileSystem, str]:
     return fs, base.rstrip("/")
 
 
+def finished(folder: str) -> list[str]:
+    """Names of the tables in ``folder`` whose write was committed, in order; none if there is no such folder."""
+    fs, base = file_system(folder)
+    found = fs.get_file_info(pafs.FileSelector(base, allow_not_found=True))
+    names = sorted(f.base_name for f in found if f.type == pafs.FileType.Directory)
+    done = fs.get_file_info([f"{base}/{name}/_SUCCESS" for name in names])
+    return [name for name, mark in zip(names, done) if mark.type == pafs.FileType.File]
+
+
 def drop_folder(folder: str) -> None:
     """Delete a folder of staged tables; a missing one is no error."""
     fs, base = file_system(folder)

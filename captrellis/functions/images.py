@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from captrellis.functions.headers import header_sql
+from captrellis.functions.headers import PNG_MODES, header_sql
 
 # Colour modes the gate accepts and its smallest side in pixels.
 ACCEPTED_MODES = ["RGB", "RGBA", "YCbCr", "P", "L", "CMYK", "LA", "1"]
@@ -43,6 +43,30 @@ def probe(content: str) -> Column:
     return F.expr(header_sql(content))
 
 
+def probe_png(content: Column | str) -> Column:
+    """The same struct for PNG only, from the fixed places of its first 26 bytes: checks :func:`probe`."""
+    c = F.col(content) if isinstance(content, str) else content
+
+    def number(start: int, length: int) -> Column:
+        return F.conv(F.hex(F.substring(c, start, length)), 16, 10).cast("bigint")
+
+    known = F.create_map(*[F.lit(x) for (k, d), m in PNG_MODES.items() for x in (f"{k}/{d}", m)])
+    mode = F.try_element_at(known, F.concat_ws("/", number(26, 1).cast("string"), number(25, 1).cast("string")))
+    signed = F.hex(F.substring(c, 1, 8)) == "89504E470D0A1A0A"
+    headed = F.hex(F.substring(c, 13, 4)) == "49484452"
+    ok = F.coalesce(
+        signed & headed & (F.octet_length(c) >= 26) & mode.isNotNull() & (number(17, 4) > 0) & (number(21, 4) > 0),
+        F.lit(False),
+    )
+    return F.struct(
+        F.when(ok, F.lit("PNG")).alias("format"),
+        F.when(ok, number(17, 4).cast("int")).alias("width"),
+        F.when(ok, number(21, 4).cast("int")).alias("height"),
+        F.when(ok, mode).alias("mode"),
+        ok.alias("ok"),
+    )
+
+
 def reject_reason(header: Column, max_pixels: int | None = None) -> Column:
     """NULL for a good image, else ``corrupted``, ``small_or_mode`` or ``high_res``.
 

@@ -260,3 +260,21 @@ def test_fetch_hands_bodies_on_as_they_add_up(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"http://h/{i}") for i in range(20)], "k long, image_url string").coalesce(1)
     out = stage.fetch(df, lambda url, attempt: stage.Response("image/png", b"1234"), "k").collect()
     assert sorted(r.k for r in out) == list(range(20)) and all(bytes(r.content) == b"1234" for r in out)
+
+
+def test_image_gate_compares_two_probes(spark, data_dir):
+    from captrellis.queries.corpus import image_gate
+
+    rows = image_gate(spark, data_dir).collect()
+    assert rows and all(r["same_in_jvm"] for r in rows)
+
+
+def test_probe_png_reads_what_probe_reads(spark):
+    from captrellis.functions.images import probe_png
+
+    head = "89504E470D0A1A0A0000000D49484452"
+    bodies = [head + "00000040" + "00000041" + "0806000000", head + "00000040" + "00000000" + "0802000000", "00" + head[2:] + "0" * 26, head + "0000", ""]
+    df = spark.createDataFrame([(i, bytearray.fromhex(b)) for i, b in enumerate(bodies)], "i int, content binary")
+    got = df.select("i", probe_png("content").alias("png"), (probe_png("content") == probe("content")).alias("same")).orderBy("i").collect()
+    assert [r["png"]["ok"] for r in got] == [True, False, False, False, False] and all(r["same"] for r in got)
+    assert got[0]["png"][:4] == ("PNG", 64, 65, "RGBA")

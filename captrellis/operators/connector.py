@@ -26,50 +26,67 @@ ROWS, CODES = 1024, 2048
 CHUNK_BITS = 16
 
 
-def patch_merge(
-    patches: DataFrame, scale: int, side: Column | int | None = None, threshold: int = HOT_ROWS
+def _tiles(
+    patches: DataFrame, scale: int, side: Column | int | None, threshold: int, whole: bool
 ) -> DataFrame:
-    """Merge ``scale x scale`` neighbouring patches of a square grid into one longer vector.
-
-    ``patches(image_id, patch_idx, vec)`` numbers patches row by row from 0. The
-    grid side is given or follows from the image's patch count. Returns
-    ``image_id, patch_idx, vec``; an image that is no square grid of full tiles
-    is an error. A group is one tile, at most ``scale ** 2`` rows.
-    """
+    """``image_id, patch_idx, _parts``: the ``(place, vec)`` of every tile's patches in order of their places."""
     if scale < 1:
         raise ValueError("scale must be at least 1")
     require_columns(patches, ["image_id", "patch_idx", "vec"])
     p = patches.select("image_id", "patch_idx", "vec")
     if side is None:
         rows = p.groupBy("image_id").agg(F.count("*").alias("rows"))
-        sides = rows.select("image_id", F.floor(F.sqrt("rows")).alias("_side"), "rows")
-        whole = (F.col("_side") * F.col("_side") == F.col("rows")) & (F.col("_side") % scale == 0)
-        checked = F.when(whole, F.col("_side")).otherwise(
-            F.raise_error(F.concat(F.lit("not a square grid of whole tiles: image "), F.col("image_id").cast("string"))).cast("bigint")
-        )
-        sides = sides.select("image_id", checked.alias("_side"))
-        p = salted_join(p, sides, ["image_id"], spread_by=["patch_idx"], threshold=threshold, counts=rows)
+        sides = rows.select("image_id", F.rint(F.sqrt("rows")).cast("bigint").alias("_side"), "rows")
+        if whole:
+            square = (F.col("_side") * F.col("_side") == F.col("rows")) & (F.col("_side") % scale == 0)
+            problem = F.concat(F.lit("not a square grid of whole tiles: image "), F.col("image_id").cast("string"))
+            sides = sides.withColumn("_side", F.when(square, F.col("_side")).otherwise(F.raise_error(problem).cast("bigint")))
+        p = salted_join(p, sides.drop("rows"), ["image_id"], spread_by=["patch_idx"], threshold=threshold, counts=rows)
     else:
         p = p.withColumn("_side", (side if isinstance(side, Column) else F.lit(side)).cast("bigint"))
     h = F.floor(F.col("patch_idx") / F.col("_side"))
     w = F.pmod(F.col("patch_idx"), F.col("_side"))
     per_row = F.floor(F.col("_side") / scale)
     tile = F.floor(h / scale) * per_row + F.floor(w / scale)
-    inner = F.pmod(h, F.lit(scale)) * scale + F.pmod(w, F.lit(scale))
+    place = F.pmod(h, F.lit(scale)) * scale + F.pmod(w, F.lit(scale))
     return (
-        p.select("image_id", tile.alias("patch_idx"), inner.alias("_inner"), "vec")
+        p.select("image_id", tile.alias("patch_idx"), place.alias("place"), "vec")
         .groupBy("image_id", "patch_idx")
-        .agg(F.sort_array(F.collect_list(F.struct("_inner", "vec"))).alias("_parts"))
-        .select(
-            "image_id",
-            F.when(F.size("_parts") == scale * scale, F.col("patch_idx"))
-            .otherwise(F.raise_error(F.lit("incomplete tile")).cast("bigint"))
-            .alias("patch_idx"),
-            F.flatten(F.transform("_parts", lambda e: e["vec"])).alias("vec"),
-        )
+        .agg(F.sort_array(F.collect_list(F.struct("place", "vec"))).alias("_parts"))
+    )
+
+
+def patch_merge(
+    patches: DataFrame, scale: int, side: Column | int | None = None, threshold: int = HOT_ROWS
+) -> DataFrame:
+    """Merge ``scale x scale`` neighbouring patches of a square grid into one longer vector.
+
+    ``patches(image_id, patch_idx, vec)`` numbers patches row by row from 0. The
+    grid side is given or follows from the image's patch count. Returns
+    ``image_id, patch_idx, vec``; an image that is no square grid of full tiles
+    is an error (see :func:`patch_tiles`). A group is one tile, at most ``scale ** 2`` rows.
+    """
+    return _tiles(patches, scale, side, threshold, whole=True).select(
+        "image_id",
+        F.when(F.size("_parts") == scale * scale, F.col("patch_idx"))
+        .otherwise(F.raise_error(F.lit("incomplete tile")).cast("bigint"))
+        .alias("patch_idx"),
+        F.flatten(F.transform("_parts", lambda e: e["vec"])).alias("vec"),
     )
 
 
+def patch_tiles(
+    patches: DataFrame, scale: int, side: Column | int | None = None, threshold: int = HOT_ROWS
+) -> DataFrame:
+    """As :func:`patch_merge` for images of any number of patches, such as the rest at the end of a table.
+
+    Returns ``image_id, patch_idx, parts``: an array of ``(place, vec)``, without the patches that a tile lacks. ``place``
+    from 0 says where in the merged vector a patch belongs. The side of an image that is no square is the rounded root
+    of its patch count; tiles that get one number by that are one row.
+    """
+    return _tiles(patches, scale, side, threshold, whole=False).withColumnRenamed("_parts", "parts")
+
+
 def _logit_column(codes: DataFrame) -> str:
     """Rows of the output projection; by default the codes themselves."""
     return "logit_vec" if "logit_vec" in codes.columns else "vec"

@@ -146,3 +146,27 @@ def test_input_checks(kw):
 
 def test_good_inputs():
     connector.check_inputs(input_ids=1, pixel_values=1)
+
+
+def test_patch_tiles_keep_what_an_incomplete_image_has(spark):
+    """Two images of 4 x 4, and a rest of two patches that make one half tile."""
+    x, df = patches(spark, 2, 4, 3)
+    rest = spark.createDataFrame([(2, 0, [1.0, 2.0, 3.0]), (2, 1, [4.0, 5.0, 6.0])], df.schema)
+    got = connector.patch_tiles(df.union(rest), 2).collect()
+    whole = sorted((r for r in got if r["image_id"] < 2), key=lambda r: (r["image_id"], r["patch_idx"]))
+    assert np.allclose([np.concatenate([p["vec"] for p in r["parts"]]) for r in whole], merged_by_tensor(x, 2).reshape(-1, 12))
+    assert [[p["place"] for p in r["parts"]] for r in whole] == [[0, 1, 2, 3]] * 8
+    (last,) = [r for r in got if r["image_id"] == 2]
+    assert [(p["place"], p["vec"]) for p in last["parts"]] == [(0, [1.0, 2.0, 3.0]), (2, [4.0, 5.0, 6.0])]
+
+
+def test_patch_merge_query_takes_a_table_that_ends_inside_an_image(spark, tmp_path):
+    from captrellis.queries.vectors import patch_merge
+
+    rows = [(i, [float(i)] * 64, 0) for i in range(18)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = patch_merge(spark, str(tmp_path)).collect()
+    assert len(got) == 18 * 64
+    assert sorted((r["pos"], r["value"]) for r in got if r["image_id"] == 1) == [
+        *[(i, 16.0) for i in range(64)], *[(128 + i, 17.0) for i in range(64)]
+    ]

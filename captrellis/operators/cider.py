@@ -1,7 +1,7 @@
 """CIDEr-D caption scores as one distributed TF-IDF aggregation.
 
-Sentences are spread by ``(item, reference)`` while they are still text. The
-exploded grams inherit that partitioning, so counting them per sentence, and
+Sentences are spread by ``(item, reference)`` while they are still text, over as
+many tasks as their bytes ask for (:data:`TASK_BYTES`). The exploded grams inherit that partitioning, so counting them per sentence, and
 counting the candidate's grams beside each reference's, needs no further
 exchange. Three gram-level steps shuffle: document frequency, the look-up of that
 frequency, and the sum per sentence. No sentence, item or gram is ever collected
@@ -24,6 +24,9 @@ from captrellis.operators.skew import HOT_ROWS, lookup, salted_join
 #: ``ref_no`` that marks the candidate sentence among an item's sentences.
 CANDIDATE = -1
 
+#: Text that one task turns into grams; counting them takes about 300 times as much memory.
+TASK_BYTES = 2 * 1024 * 1024
+
 
 class Captions(NamedTuple):
     """Predicted captions and their references."""
@@ -86,13 +89,24 @@ def sentence_words(caps: Captions, tokenizer: str = "words", n: int = 4, chars:
         return F.greatest(F.coalesce(token_count(c, tokenizer, chars), F.lit(0)) - 1, F.lit(0))
 
     gap = (bigrams("cand") - bigrams("mine")).alias("gap")
-    return _words(sentences.repartition("item_id", "ref_no"), {"mine": 1, "cand": 0}, tokenizer, n, chars, gap)
+    return _words(_spread(sentences, "mine", "cand"), {"mine": 1, "cand": 0}, tokenizer, n, chars, gap)
 
 
 def reference_words(refs: DataFrame, tokenizer: str = "words", n: int = 4, chars: int = PIECE_CHARS) -> DataFrame:
     """``item_id, ref_no, side, no, words, starts`` of ``refs(item_id, ref_no, ref)`` alone, as in :func:`sentence_words`."""
-    sentences = refs.repartition("item_id", "ref_no").select("item_id", "ref_no", F.coalesce("ref", F.lit("")).alias("mine"))
-    return _words(sentences, {"mine": 1}, tokenizer, n, chars)
+    sentences = refs.select("item_id", "ref_no", F.coalesce("ref", F.lit("")).alias("mine"))
+    return _words(_spread(sentences, "mine"), {"mine": 1}, tokenizer, n, chars)
+
+
+def _spread(sentences: DataFrame, *sides: str, task_bytes: int | None = None) -> DataFrame:
+    """Sentences by ``(item_id, ref_no)`` over tasks of about ``task_bytes`` of text.
+
+    The bytes are counted first. A number that is given is kept: merged by the size of their texts, partitions would
+    grow with the input until their grams fill a task's memory.
+    """
+    size = sentences.agg(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in sides), F.lit(0))).alias("bytes")).first()["bytes"] or 0
+    tasks = max(-(-size // (task_bytes or TASK_BYTES)), sentences.sparkSession.sparkContext.defaultParallelism)
+    return sentences.repartition(tasks, "item_id", "ref_no")
 
 
 def _words(sentences: DataFrame, sides: dict[str, int], tokenizer: str, n: int, chars: int, *extra: Column) -> DataFrame:

@@ -220,3 +220,14 @@ def test_norms_and_corpus(spark):
     assert corpus_row["items"] == len(items)
     assert corpus_row["cider"] == pytest.approx(sum(want.values()) / len(want), abs=1e-9)
     assert cider.sentence_norms(caps).where(F.col("n") == 0).count() == 0
+
+
+def test_tasks_follow_the_bytes_of_the_sentences(spark, monkeypatch):
+    """Partitions that count grams hold a bounded amount of text, however much there is, and are not merged."""
+    monkeypatch.setattr(cider, "TASK_BYTES", 1000)
+    refs = spark.range(200).select(F.col("id").alias("item_id"), F.lit(0).alias("ref_no"), F.lit("ab cd ef gh " * 10).alias("ref"))
+    words = cider.reference_words(refs)
+    assert words.select(F.spark_partition_id()).distinct().count() == 24 and words.rdd.getNumPartitions() == 24
+    caps = cider.captions_from_tables(refs.select("item_id", F.col("ref").alias("pred")), refs)
+    assert cider.sentence_words(caps).rdd.getNumPartitions() == 72
+    assert cider.score_items(caps).count() == 200

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from captrellis.operators.ordering import RANGE_ROWS, number_by_key, number_shuffled, numbered
 from captrellis.operators.skew import HOT_ROWS, lookup
@@ -55,6 +59,11 @@ def build_vocab(df: DataFrame, tokens: str, range_rows: int = RANGE_ROWS) -> Dat
     return specials.unionByName(ids)
 
 
+def _bytes(table: DataFrame, key: str, value: str) -> int:
+    """Size of a vocabulary in memory."""
+    return table.agg(F.sum(F.octet_length(F.concat_ws("", key, value)) + 32).alias("bytes")).first()["bytes"] or 0
+
+
 def _find(
     long: DataFrame, table: DataFrame, key: str, value: str, spread_by: list[str], broadcast_bytes: int, threshold: int
 ) -> DataFrame:
@@ -63,8 +72,7 @@ def _find(
     The shuffled way spreads hot words evenly (``lookup``), for which it counts
     the words of ``long`` first.
     """
-    size = table.agg(F.sum(F.octet_length(F.concat_ws("", key, value)) + 32).alias("bytes")).first()["bytes"] or 0
-    if size <= broadcast_bytes:
+    if _bytes(table, key, value) <= broadcast_bytes:
         return long.join(F.broadcast(table), key, "left")
     uses = long.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_uses"))
     return lookup(long, table.join(uses, key), key, value, spread_by, uses="_uses", threshold=threshold)
@@ -91,15 +99,16 @@ def encode(
 ) -> DataFrame:
     """``keys, ids``: token arrays as id arrays in the same order; unknown tokens give ``unk_id``.
 
-    ``vocab`` should be a stored table: its size is checked first (see ``_find``).
-    ``tokens`` is a column or an expression over ``df``. Rows are spread by ``keys``
-    before it is evaluated, so an expression over text moves the text, not its
-    tokens; with a broadcast vocabulary the id arrays, each as long as its token
-    array, are then put together without another exchange.
+    ``vocab`` should be a stored table: its size is checked first. Up to ``broadcast_bytes`` it goes to the tasks,
+    which look up the tokens of a batch at once, and nothing is exchanged but the keys, which must not repeat. A
+    larger one is joined to the tokens in long form (see ``_find``). ``tokens`` is a column or an expression over
+    ``df``; in the long form rows are spread by ``keys`` before it is evaluated, so an expression over text moves the text.
     """
     keys = list(keys)
+    table = vocab.select(F.col("token").alias("_token"), F.col("id").cast("bigint").alias("_id"))
+    if _bytes(table, "_token", "_id") <= broadcast_bytes:
+        return _encode_in_tasks(df, table, keys, tokens, ids, unk_id)
     long = df.repartition(*keys).select(*keys, F.posexplode_outer(tokens).alias("_pos", "_token"))
-    table = vocab.select(F.col("token").alias("_token"), F.col("id").alias("_id"))
     found = _find(long, table, "_token", "_id", [*keys, "_pos"], broadcast_bytes, threshold)
     known = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("_id", F.lit(unk_id)).alias("id")))
     return (
@@ -109,6 +118,32 @@ def encode(
     )
 
 
+def _encode_in_tasks(df: DataFrame, table: DataFrame, keys: list[str], tokens: Column | str, ids: str, unk_id: int) -> DataFrame:
+    """:func:`encode` with a vocabulary that every task holds; a NULL array gives no ids."""
+    rows = df.select(*keys, (F.col(tokens) if isinstance(tokens, str) else tokens).cast("array<string>").alias(ids))
+    known = table.where("_token IS NOT NULL").toArrow().combine_chunks()
+    if pc.count_distinct(known["_token"]).as_py() != known.num_rows or not df.groupBy(*keys).count().where("count > 1").isEmpty():
+        raise ValueError("repeated key, or repeated vocabulary entry")
+    words = df.sparkSession.sparkContext.broadcast(
+        (pa.array(known["_token"].to_pylist(), pa.string()), known["_id"].fill_null(unk_id).to_numpy())
+    )
+    schema = StructType([*(rows.schema[k] for k in keys)]).add(ids, ArrayType(LongType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, numbers = words.value
+        # The last number is that of a token that is not found.
+        numbers = np.append(numbers, unk_id)
+        for batch in batches:
+            lists = batch.column(ids)
+            flat = lists.flatten()
+            place = pc.fill_null(pc.index_in(flat.cast(pa.string()), value_set=texts, skip_nulls=True), len(texts))
+            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+            out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(numbers[place.to_numpy(zero_copy_only=False)], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), out], [*keys, ids])
+
+    return rows.mapInArrow(run, schema)
+
+
 def decode(
     df: DataFrame,
     vocab: DataFrame,
@@ -171,7 +206,7 @@ def padded(df: DataFrame, ids: str = "ids", pad_id: int = PAD_ID, side: str = "r
     return (
         df.withColumn("_longest", longest)
         .withColumn("input_ids", joined(F.col(ids), pad_id))
-        .withColumn("attention_mask", joined(F.transform(ids, lambda _: F.lit(1)), 0))
+        .withColumn("attention_mask", joined(F.array_repeat(F.lit(1), F.size(ids)), 0))
         .drop("_longest", ids)
     )
 

@@ -116,3 +116,21 @@ def test_repeated_keys_are_an_error(spark):
     vocab = batching.build_vocab(df, "t")
     with pytest.raises(Exception, match="repeated key"):
         batching.encode(df, vocab, ["k"], "t").collect()
+
+
+def test_a_small_vocabulary_needs_no_exchange_of_tokens(spark, vocab, tmp_path):
+    """Ids are looked up where the rows are: rows stay in place, and nothing is exploded."""
+    df = spark.createDataFrame([(i, ["a", None, "zz", "b"][: i % 5] if i else None) for i in range(9)], "k long, t array<string>")
+    df.write.parquet(f"{tmp_path}/t")
+    ids = batching.encode(spark.read.parquet(f"{tmp_path}/t"), vocab, ["k"], "t")
+    text = ids._sc._jvm.PythonSQLUtils.explainString(ids._jdf.queryExecution(), "simple")
+    assert "Exchange" not in text and "Generate" not in text
+    assert ids.schema["ids"].dataType.simpleString() == "array<bigint>"
+    assert {r["k"]: r["ids"] for r in ids.collect()} == {i: [3, 1, 1, 4][: i % 5] for i in range(9)}
+
+
+def test_small_vocabulary_with_repeats_is_an_error(spark, vocab):
+    df = spark.createDataFrame([(1, ["b", "a"])], "k long, t array<string>")
+    for rows, words in ((df, vocab.union(vocab.where("token = 'a'"))), (df.union(df), vocab)):
+        with pytest.raises(Exception, match="repeated"):
+            batching.encode(rows, words, ["k"], "t").collect()

@@ -32,7 +32,7 @@ TIMEOUT_SECONDS = 10
 DELAY_SECONDS = 2.0
 HEADER = "struct<format:string,width:int,height:int,mode:string,ok:boolean>"
 #: Bytes of bodies that a task collects before it hands them on.
-FLUSH_BYTES = 32 * 1024 * 1024
+FLUSH_BYTES = 8 * 1024 * 1024
 
 
 class FetchTimeout(Exception):

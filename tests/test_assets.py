@@ -278,3 +278,13 @@ def test_probe_png_reads_what_probe_reads(spark):
     got = df.select("i", probe_png("content").alias("png"), (probe_png("content") == probe("content")).alias("same")).orderBy("i").collect()
     assert [r["png"]["ok"] for r in got] == [True, False, False, False, False] and all(r["same"] for r in got)
     assert got[0]["png"][:4] == ("PNG", 64, 65, "RGBA")
+
+
+def test_fetch_hands_on_few_megabytes(spark):
+    """Ten bodies of 3 MB leave a task in several batches."""
+    urls = spark.createDataFrame([(i, f"u{i}") for i in range(10)], "k long, image_url string").coalesce(1)
+    got = fetch(urls, lambda url, attempt: Response("image/png", b"x" * 3_000_000), "k", tasks=1).select(F.octet_length("content").alias("n"))
+    assert got.agg(F.sum("n")).first()[0] == 30_000_000
+    from captrellis.sources import fetch as stage
+
+    assert stage.FLUSH_BYTES <= 8 * 1024 * 1024

@@ -1,10 +1,12 @@
 """CIDEr-D caption scores as one distributed TF-IDF aggregation.
 
-Sentences are spread by ``(item, reference)`` while they are still text, over as
+Items of at most :data:`ITEM_BYTES` of text and one candidate are scored in blocks of whole items (:mod:`captrellis.operators.blocks`).
+
+Others, and all items where the frequencies are given, are spread by ``(item, reference)`` while they are still text, over as
 many tasks as their bytes ask for (:data:`TASK_BYTES`). The exploded grams inherit that partitioning, so counting them per sentence, and
 counting the candidate's grams beside each reference's, needs no further
 exchange. Three gram-level steps shuffle: document frequency, the look-up of that
-frequency, and the sum per sentence. No sentence, item or gram is ever collected
+frequency, and the sum per sentence. There no sentence, item or gram is ever collected
 into one group.
 
 Input is a :class:`Captions`: the candidates, one row per item, and the pairs,
@@ -19,7 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from captrellis.functions.text import PIECE_CHARS, grams, pieces, token_count, tokens
+from captrellis.operators.blocks import block_values
 from captrellis.operators.skew import HOT_ROWS, lookup, salted_join
+from captrellis.session import shuffles_dropped, stage
 
 #: ``ref_no`` that marks the candidate sentence among an item's sentences.
 CANDIDATE = -1
@@ -27,12 +31,16 @@ CANDIDATE = -1
 #: Text that one task turns into grams; counting them takes about 300 times as much memory.
 TASK_BYTES = 2 * 1024 * 1024
 
+#: Text of an item, with its candidate, up to which it is held in one block.
+ITEM_BYTES = 4 * 1024 * 1024
+
 
 class Captions(NamedTuple):
     """Predicted captions and their references."""
 
     cands: DataFrame  # item_id, pred
     pairs: DataFrame  # item_id, pred, ref_no (>= 0), ref
+    rows: DataFrame | None = None  # item_id, ref_no, text: both without a join; references of other items take no part
 
 
 class Frequency(NamedTuple):
@@ -48,7 +56,13 @@ def captions_from_arrays(
     """One row per item with an array of references; needs no shuffle."""
     cands = items.select(F.col(item_id).alias("item_id"), F.col(pred).alias("pred"), F.col(refs).alias("refs"))
     pairs = cands.select("item_id", "pred", F.posexplode("refs").alias("ref_no", "ref"))
-    return Captions(cands.drop("refs"), pairs)
+
+    def sentence(no: Column, text: Column) -> Column:
+        return F.struct(no.alias("ref_no"), text.alias("text"))
+
+    mine = F.coalesce(F.transform("refs", lambda t, i: sentence(i, t)), F.array().cast("array<struct<ref_no:int,text:string>>"))
+    rows = cands.select("item_id", F.inline(F.concat(F.array(sentence(F.lit(CANDIDATE), F.col("pred"))), mine)).alias("ref_no", "text"))
+    return Captions(cands.drop("refs"), pairs, rows)
 
 
 def captions_from_tables(preds: DataFrame, refs: DataFrame, threshold: int = HOT_ROWS) -> Captions:
@@ -65,7 +79,13 @@ def captions_from_tables(preds: DataFrame, refs: DataFrame, threshold: int = HOT
         spread_by=["ref_no"],
         threshold=threshold,
     )
-    return Captions(cands, pairs.select("item_id", "pred", "ref_no", "ref"))
+    rows = _rows(cands, refs.where(F.col("item_id").isNotNull()).select("item_id", F.col("ref_no").cast("int").alias("ref_no"), "ref"))
+    return Captions(cands, pairs.select("item_id", "pred", "ref_no", "ref"), rows)
+
+
+def _rows(cands: DataFrame, refs: DataFrame) -> DataFrame:
+    mine = cands.select("item_id", F.lit(CANDIDATE).alias("ref_no"), F.col("pred").alias("text"))
+    return mine.unionByName(refs.select("item_id", "ref_no", F.col("ref").alias("text")))
 
 
 def sentence_words(caps: Captions, tokenizer: str = "words", n: int = 4, chars: int = PIECE_CHARS) -> DataFrame:
@@ -196,10 +216,39 @@ def weighted_grams(
     return found.withColumn("idf", _idf(frequency.n_items))
 
 
+def _values(
+    caps: Captions, n: int, sigma: float, tokenizer: str, norms: bool
+) -> tuple[DataFrame, tuple[Captions, Frequency] | None]:
+    """:func:`block_values` of the items that fit a block; the others, if there are any, with the frequencies in all items."""
+    rows = caps.rows if caps.rows is not None else _rows(caps.cands, caps.pairs)
+    sizes = rows.groupBy("item_id").agg(
+        F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes"), F.count_if(F.col("ref_no") == CANDIDATE).alias("cands")
+    )
+    apart = (F.col("bytes") > ITEM_BYTES) | (F.col("cands") > 1)
+    with shuffles_dropped(rows.sparkSession):
+        found = sizes.agg(F.sum("bytes"), F.sum("cands"), F.count_if(apart)).first()
+    total, n_items, n_large = (x or 0 for x in found)
+    if not n_large:
+        return block_values(rows, total, n_items, n, sigma, tokenizer, norms)[0], None
+    large = stage(sizes.where(apart).select(F.col("item_id").alias("_large")), "large-items")
+
+    def of(table: DataFrame, how: str) -> DataFrame:
+        return table.join(large, F.col("item_id").eqNullSafe(F.col("_large")), how)
+
+    big = Captions(of(caps.cands, "left_semi"), of(caps.pairs, "left_semi"))
+    others = stage(document_frequency(sentence_words(big, tokenizer, n), n), "large-grams")
+    values, sums = block_values(of(rows, "left_anti"), total, n_items, n, sigma, tokenizer, norms, others)
+    return values, (big, Frequency(sums, F.lit(n_items)))
+
+
 def sentence_norms(caps: Captions, n: int = 4, tokenizer: str = "words", threshold: int = HOT_ROWS) -> DataFrame:
     """``item_id, ref_no, n, norm``: L2 norm of each sentence's TF-IDF vector per gram length."""
-    return (
-        weighted_grams(caps, n, tokenizer, threshold)
+    values, large = _values(caps, n, 1.0, tokenizer, norms=True)
+    norms = values.select("item_id", "ref_no", "n", F.col("value").alias("norm"))
+    if large is None:
+        return norms
+    return norms.unionByName(
+        weighted_grams(large[0], n, tokenizer, threshold, large[1])
         .where(F.col("gram").isNotNull())
         .groupBy("item_id", "ref_no", "n")
         .agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("norm"))
@@ -214,6 +263,7 @@ def score_items(
 
     ``frequency`` replaces counting the references of ``caps``, for a corpus that is kept in a store
     (:mod:`captrellis.operators.frequency`) and must have been made with the same ``n`` and ``tokenizer``.
+    Without it the grams are weighed, length by length, when this is called.
 
     Per reference and gram length the similarity is the clipped product of the
     two TF-IDF vectors over their norms, damped by the difference in bigram
@@ -223,7 +273,21 @@ def score_items(
         raise ValueError("n must be at least 1")
     if sigma <= 0:
         raise ValueError("sigma must be positive")
-    w = weighted_grams(caps, n, tokenizer, threshold, frequency)
+    if frequency is not None:
+        items = _sums(weighted_grams(caps, n, tokenizer, threshold, frequency), n, sigma)
+    else:
+        values, large = _values(caps, n, sigma, tokenizer, norms=False)
+        items = values.groupBy("item_id").agg(F.max("n_refs").alias("n_refs"), F.sum("value").alias("total"))
+        if large is not None:
+            items = items.unionByName(_sums(weighted_grams(large[0], n, tokenizer, threshold, large[1]), n, sigma))
+    checked = F.when(F.col("n_refs") > 0, F.col("n_refs")).otherwise(
+        F.raise_error(F.concat(F.lit("item without references: "), F.col("item_id").cast("string"))).cast("bigint")
+    )
+    return items.withColumn("n_refs", checked).select("item_id", "n_refs", (F.lit(10.0) * F.col("total") / n / F.col("n_refs")).alias("cider"))
+
+
+def _sums(w: DataFrame, n: int, sigma: float) -> DataFrame:
+    """``item_id, n_refs, total`` of :func:`weighted_grams`: similarities added up over references and lengths."""
     squared = F.pow("idf", 2)
     mine = F.col("tf")
     shared = F.least("tf_cand", "tf") * mine
@@ -247,10 +311,7 @@ def score_items(
         (F.when(F.col(f"norm{k}") > 0, F.col(f"sim{k}") / F.col(f"norm{k}")).otherwise(0.0) for k in range(1, n + 1)),
         F.lit(0.0),
     )
-    checked = F.when(F.col("n_refs") > 0, F.col("n_refs")).otherwise(
-        F.raise_error(F.concat(F.lit("item without references: "), F.col("item_id").cast("string"))).cast("bigint")
-    )
-    return items.withColumn("n_refs", checked).select("item_id", "n_refs", (F.lit(10.0) * total / n / F.col("n_refs")).alias("cider"))
+    return items.select("item_id", "n_refs", total.alias("total"))
 
 
 def score_corpus(scores: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql.types import BinaryType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, DataType, StringType, StructField, StructType
 
 from captrellis.llm.common import BATCH_BYTES, bounded_batches, worker_cache
 
@@ -37,6 +37,8 @@ WORD_END = "</w>"
 END_PLANE = 0xE000
 #: Chunks remembered by a Python worker; half of them are forgotten at a time.
 CACHED_CHUNKS = 400_000
+#: Pairs of tokens remembered by a Python worker; their number grows with the text, so beyond this all are forgotten.
+KNOWN_PAIRS = 1 << 18
 #: Stands for the last token of an empty prefix.
 FIRST = (1 << 20) - 1
 
@@ -233,6 +235,8 @@ class Encoder:
                 key = before << 20 | t
                 ok = fits.get(key)
                 if ok is None:
+                    if len(fits) >= KNOWN_PAIRS:
+                        fits.clear()
                     ok = fits[key] = self._fits(before, t)
                 if ok:
                     last.append(t)
@@ -297,43 +301,55 @@ def _encoder(definition, encodes: bool) -> Encoder:
     return held[key]
 
 
-def _with_column(df: DataFrame, name: str, kind, source: str, step: str, tokenizer: str) -> DataFrame:
-    if name in df.columns:
-        raise ValueError(f"column {name} exists already")
+def _with_columns(df: DataFrame, added: list[tuple[str, DataType, str]], source: str, tokenizer: str) -> DataFrame:
+    """``df`` plus one column, ``(name, type, step)``, for each step; a step goes on from what the one before it gave.
+
+    All steps run in one worker of a task, which holds the vocabulary once.
+    """
+    for name, _, _ in added:
+        if name in df.columns:
+            raise ValueError(f"column {name} exists already")
     spark = df.sparkSession
     bounded_batches(spark)
     definition = spark.sparkContext.broadcast(_definition(tokenizer))
-    schema = StructType([*df.schema.fields, StructField(name, kind)])
-    arrow = pa.binary() if kind == BinaryType() else pa.string()
+    names, steps = [name for name, _, _ in added], [step for _, _, step in added]
+    schema = StructType([*df.schema.fields, *(StructField(name, kind) for name, kind, _ in added)])
+    arrow = [pa.binary() if kind == BinaryType() else pa.string() for _, kind, _ in added]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(definition, step == "encode")
+        encoder = _encoder(definition, "encode" in steps)
+        made = [getattr(encoder, step) for step in steps]
         for batch in batches:
             values = batch.column(source)
             at = done = held = 0
-            out: list = []
+            out: list[list] = [[] for _ in made]
             for value in values:  # results leave in pieces: ids and token texts are larger than the text
-                out.append(getattr(encoder, step)(value.as_py()))
-                held += len(out[-1])
+                got = value.as_py()
+                for step, column in zip(made, out):
+                    got = step(got)
+                    column.append(got)
+                    held += len(got)
                 at += 1
                 if held > BATCH_BYTES or at == batch.num_rows:
                     part = batch.slice(done, at - done)
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, arrow)], [*batch.schema.names, name])
-                    done, out, held = at, [], 0
+                    yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, out, arrow)], [*batch.schema.names, *names])
+                    done, out, held = at, [[] for _ in made], 0
 
     return df.mapInArrow(apply, schema)
 
 
-def bpe_encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def bpe_encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """``df`` plus packed ids of column ``text``; ``tokenizer`` is the path of a vocabulary file.
 
     Ids are little-endian unsigned 32-bit integers in one binary value, the form tensors are read from. Equal to
     ``Tokenizer.encode(text, add_special_tokens=False)``. Every row is kept, with all its columns; a null text
-    has empty ids.
+    has empty ids. ``decoded`` names a further column, that of :func:`bpe_decode` over the ids: made here it needs
+    no second worker in each task.
     """
-    return _with_column(df, ids, BinaryType(), text, "encode", tokenizer)
+    added = [(ids, BinaryType(), "encode"), *([(decoded, StringType(), "decode")] if decoded else [])]
+    return _with_columns(df, added, text, tokenizer)
 
 
 def bpe_decode(df: DataFrame, tokenizer: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``df`` plus the text of packed ids, equal to ``Tokenizer.decode(ids, skip_special_tokens=False)``."""
-    return _with_column(df, decoded, StringType(), ids, "decode", tokenizer)
+    return _with_columns(df, [(decoded, StringType(), "decode")], ids, tokenizer)

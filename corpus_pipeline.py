@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from captrellis.llm.bagminhash import keep_first
-from captrellis.llm.bpe import bpe_decode, bpe_encode
+from captrellis.llm.bpe import bpe_encode
 from captrellis.llm.compression import fit_quality, score_quality
 from captrellis.llm.decontaminate import contamination
 from captrellis.llm.pii import fit_pii, redact_pii
@@ -43,8 +43,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed token ids, and the digest of the text that they decode to."""
-    encoded = bpe_encode(docs.select("doc_id", "lang", "source", "text"), TOKENIZER).drop("text")
-    return bpe_decode(encoded, TOKENIZER).select(
+    return bpe_encode(docs.select("doc_id", "lang", "source", "text"), TOKENIZER, decoded="decoded").select(
         "doc_id", "lang", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256")
     )
 

@@ -5,6 +5,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from captrellis.llm import bpe
 from captrellis.llm.bpe import Encoder, bpe_decode, bpe_encode
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -45,3 +46,24 @@ def test_operator_keeps_rows_and_columns(spark):
     assert bpe_encode(df.limit(0), PATH).count() == 0
     with pytest.raises(ValueError):
         bpe_encode(out, PATH)
+
+
+def test_one_pass_equals_two(spark):
+    rows = [(1, "A cat", "x"), (1, "A cat", "x"), (2, None, None), (None, "", "y"), (3, "Été I'll " * 40_000, "z"), *((9, t, "") for t in odd_texts()[:200])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, note string").repartition(2)
+    once = bpe_encode(df, PATH, decoded="decoded")
+    twice = bpe_decode(bpe_encode(df, PATH), PATH)
+    assert once.schema == twice.schema
+    assert sorted(map(repr, once.collect())) == sorted(map(repr, twice.collect()))
+    with pytest.raises(ValueError):
+        bpe_encode(df, PATH, decoded="note")
+
+
+def test_known_pairs_are_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "KNOWN_PAIRS", 100)
+    with open(PATH, encoding="utf-8") as f:
+        encoder = Encoder(f.read())
+    library = Tokenizer.from_file(PATH)
+    for text in ["".join(random.Random(7).choices("aeiourstnlhdm", k=2000)), *odd_texts()[:300]]:
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        assert len(encoder.fits) <= 100

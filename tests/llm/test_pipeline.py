@@ -134,6 +134,14 @@ def test_bpe_stage(spark, corpus):
     assert got == sorted(want, key=repr)
 
 
+def test_bpe_stage_has_one_worker_a_task(spark, corpus):
+    """Two Python steps in a stage are two workers in each of its tasks, each with a vocabulary."""
+    folder, _, _ = corpus
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    plan = P.encode(spark, docs, folder)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_run_is_its_stages(spark, corpus):
     folder, _, _ = corpus
     docs = spark.read.parquet(f"{folder}/documents.parquet")
